@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import langid, lines, mixing, quality
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op9_language_id": langid.op9_language_id,
 }
 
 SQL = {
     "op2_curriculum_mix": mixing.SQL,
+    "op5_line_dedup": lines.SQL,
     "op6_quality_rules": quality.SQL,
 }
