@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, quality
+from . import dartminhash, langid, lines, mixing, pieces, quality
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_dartminhash": dartminhash.op7_dartminhash,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": langid.op9_language_id,
 }
 
