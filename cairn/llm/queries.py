@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import dartminhash, langid, lines, mixing, pieces, quality
+from . import dartminhash, imatch, langid, lines, mixing, pieces, quality, warc
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
+    "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_dartminhash": dartminhash.op7_dartminhash,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": langid.op9_language_id,
+    "op10_imatch": imatch.op10_imatch,
 }
 
 SQL = {
     "op2_curriculum_mix": mixing.SQL,
+    "op4_warc_salvage": warc.SQL,
     "op5_line_dedup": lines.SQL,
     "op6_quality_rules": quality.SQL,
+    "op10_imatch": imatch.SQL,
 }
