@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import dartminhash, imatch, langid, lines, mixing, pieces, quality, warc
+from . import dartminhash, imatch, langid, lines, mixing, pieces, quality, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_line_dedup": lines.op5_line_dedup,
