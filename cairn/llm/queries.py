@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import dartminhash, imatch, langid, lines, mixing, pieces, quality, toxicity, warc
+from . import dartminhash, imatch, langid, lines, mixing, pieces, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
