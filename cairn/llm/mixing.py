@@ -45,7 +45,7 @@ def source_targets(sums: DataFrame, weights: Sequence[float] = WEIGHTS, share: f
     demand = F.sum("source_size").over(everything) * F.lit(float(share))
     level = (demand - full_before) / weight_left
     levelled = ranked.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    at = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    at = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     return levelled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("weight") * at, F.col("cap")))).select("skey", "rank", "source_size", "target")
 
 
@@ -112,6 +112,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **op
     hit = sized.join(copies.drop("_rows"), sized[id_col].eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
     cut = let(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), lambda w: F.array_join(F.slice(w, F.lit(1), F.col("_copy.n").cast("int")), " "))
     shaped = hit.withColumn(text_col, F.when(F.col("_copy.n") < F.col("_size"), cut).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        shaped = shaped.withColumn("n_chars", F.when(F.col("_copy.n") < F.col("_size"), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
     return shaped.orderBy(F.col("_copy.at"), id_col).select(*docs.columns)
 
 
@@ -136,7 +138,7 @@ levelled AS (
          / sum(weight) OVER (ORDER BY cap / weight, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM ranked),
 targets AS (
-  SELECT skey, rnk, source_size, CASE WHEN cap <= level * weight THEN cap ELSE least(weight * min(CASE WHEN cap > level * weight THEN level END) OVER (), cap) END AS target
+  SELECT skey, rnk, source_size, CASE WHEN cap <= level * weight THEN cap ELSE least(weight * max(CASE WHEN cap > level * weight THEN level END) OVER (), cap) END AS target
   FROM levelled),
 placed AS (
   SELECT s.*, t.rnk, t.source_size, t.target,
