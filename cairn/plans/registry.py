@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_aggregate
+from . import queries_aggregate, queries_relational
 
-MODULES = (queries_aggregate,)
+MODULES = (queries_aggregate, queries_relational)
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
