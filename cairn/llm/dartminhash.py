@@ -6,8 +6,8 @@ dart of each coordinate is the signature: two documents agree in a coordinate wi
 Jaccard similarity. A document of n elements costs about n + k log k darts instead of n times k hashes.
 
 Signatures are cut into bands; texts that share a band become candidates and are compared exactly. Equal texts are one node
-throughout. Small buckets are compared in all pairs; in large ones each text meets the bucket's pivots, and those that fit
-none go on to further pivots until none is left, so a hot bucket never becomes pairs of its members.
+throughout. Small buckets are compared in all pairs; in large ones texts meet pivots only (see `near_links`), so a hot
+bucket never becomes pairs of its members.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, stash, text_of
+from .common import load, release, stash, text_of
 from .components import components
 
 U = np.uint64
@@ -220,41 +220,50 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool
     return two.select("a", "b", (score("left", "right") >= threshold).alias("ok"))
 
 
-def near_links(texts: DataFrame, *, threshold: float, weighted: bool, small: int) -> DataFrame:
-    """Pairs ``a < b`` of text hashes found alike, among ``texts(th, n, bands, shingles)``."""
-    rows = texts.select("th", "n", F.explode("bands").alias("key"))
+def near_links(signed: DataFrame, *, threshold: float, weighted: bool, small: int) -> DataFrame:
+    """Pairs ``a < b`` of text hashes found alike, among ``signed(th, n, bands, shingles)``; enough of them to connect each class.
+
+    Buckets of up to ``small`` texts are compared in all pairs. In a larger one each text meets the bucket's most
+    popular text, the one that shares most band places with others, as an original does with its edited copies. Texts
+    that are not connected to it then, by whatever links were found, meet further pivots, one for each of eight hash
+    classes of the bucket that change from round to round, until a round finds no link.
+    """
+    one = signed.where("n > 0").select("th", "n", "bands").dropDuplicates(["th"])
+    rows = one.select("th", "n", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = stash(rows.join(sizes, "key"), "members")
-    near = lambda x, y: F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"]) if not weighted else F.lit(True)
+    members = stash(rows.join(stash(sizes, "sizes"), "key"), "members")
+    popular = members.groupBy("th").agg(F.sum("members").alias("pop"))
+    sets = stash(signed.select("th", "shingles").join(popular.select("th"), "th", "left_semi").dropDuplicates(["th"]), "sets")
+    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) if not weighted else F.lit(True)
     listed = members.where(F.col("members") <= small).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("th", "n"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & near(x, y)), lambda y: F.struct(x["th"].alias("a"), y["th"].alias("b")))))
-    fresh = listed.select(F.inline(pairs)).distinct()
-    open_ = members.where(F.col("members") > small).select("key", "th", "n")
-    found, tested, turn = None, None, 0
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & near(x["n"], y["n"])), lambda y: F.struct(x["th"].alias("a"), y["th"].alias("b")))))
+    wanted = listed.select(F.inline(pairs)).distinct()
+    large = stash(members.where(F.col("members") > small).drop("members").join(popular, "th"), "large")
+    open_, links, tested, first, turn = large, None, None, None, 0
     while True:
-        # One pivot per bucket at first; later one for each of eight hash classes of what is left in it.
-        classes = 1 if turn == 0 else 8
-        pivots = open_.groupBy("key", F.pmod(F.xxhash64("th"), F.lit(classes)).alias("c")).agg(F.min(F.struct("th", "n")).alias("p"))
-        meet = open_.join(pivots, "key").where("th <> p.th")
-        if not weighted:
-            meet = meet.withColumn("near", near({"n": F.col("n")}, {"n": F.col("p.n")}))
-        else:
-            meet = meet.withColumn("near", F.lit(True))
-        meet = stash(meet.select("key", "th", "n", F.least("th", "p.th").alias("a"), F.greatest("th", "p.th").alias("b"), "near", (F.col("th") == F.col("p.th")).alias("is_pivot")), "meet")
-        wanted = meet.where("near").select("a", "b").union(fresh).distinct() if turn == 0 else meet.where("near").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        verdict = stash(compared(wanted, texts, threshold, weighted), "verdict")
-        tested = verdict if tested is None else tested.union(verdict)
+        among = large if turn == 0 else large.join(open_.select("key").distinct(), "key", "left_semi")
+        part = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("key", "th", F.lit(turn)), F.lit(8))
+        pivots = stash(among.groupBy("key", part.alias("part")).agg(F.max(F.struct("pop", "th", "n")).alias("p")), "pivots")
+        first = first if turn else pivots.select("key", F.col("p.th").alias("main"))
+        meet = open_.join(pivots, "key").where((F.col("th") != F.col("p.th")) & near(F.col("n"), F.col("p.n")))
+        meet = meet.select(F.least("th", "p.th").alias("a"), F.greatest("th", "p.th").alias("b")).distinct()
+        wanted = wanted.union(meet).distinct() if turn == 0 else meet.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        verdict = stash(compared(wanted, sets, threshold, weighted), "verdict")
         alike = verdict.where("ok").select("a", "b")
-        found = alike if found is None else found.union(alike)
-        solved = meet.join(tested.where("ok"), ["a", "b"], "left_semi").select("key", "th").distinct()
-        before = pivots.select("key", F.col("p.th").alias("th"))
-        open_ = stash(open_.join(solved.union(before).distinct(), ["key", "th"], "left_anti"), "open")
-        turn += 1
+        tested, links = (verdict, alike) if turn == 0 else (tested.union(verdict), links.union(alike))
+        release(signed.sparkSession)
+        if turn and alike.isEmpty():
+            return links
+        roots = stash(components(links), "roots")
+        root_of = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
+        mains = stash(root_of(first, "main").select("key", F.col("root").alias("main_root")), "mains")
+        open_ = stash(root_of(large, "th").join(mains, "key").where("root <> main_root").select("th", "key", "n"), "open")
         if open_.isEmpty():
-            return found
+            return links
+        turn += 1
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 12) -> DataFrame:
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 16) -> DataFrame:
     """``id_col, class_id`` for every row: the least id of its class of near copies.
 
     Classes are connected components of texts whose shingle similarity reaches ``threshold`` (weighting "binary": sets;
@@ -265,11 +274,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("th"), text.alias("text"))
     signed = stash(signatures(given, k=k, bands=bands, width=width, weighting=weighting), "signed")
     firsts = signed.groupBy("th").agg(F.min("id").alias("first"))
-    texts = stash(signed.where("n > 0").dropDuplicates(["th"]).select("th", "n", "bands", "shingles"), "texts")
-    links = near_links(texts, threshold=threshold, weighted=weighting == "tf", small=small)
+    links = near_links(signed, threshold=threshold, weighted=weighting == "tf", small=small)
     roots = components(links)
     rooted = stash(firsts.join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
+    named = stash(rooted.groupBy("root").agg(F.min("first").alias("class_id")), "named")
     by_text = rooted.select("th", "root").join(named, "root").select("th", "class_id")
     return signed.select("id", "th").join(by_text, "th").select(F.col("id").alias(id_col), "class_id")
 
