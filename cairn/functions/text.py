@@ -65,8 +65,12 @@ def folded(text: Column) -> Column:
 
 def shingles(words: Column, least: int = 2, most: int = 3) -> Column:
     """All runs of ``least`` to ``most`` words, joined by spaces."""
-    runs = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
-    return F.concat(*runs)
+
+    def run(n: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[run(n) for n in range(least, most + 1)])
 
 
 def topic_tags(text: Column, topics: Mapping[str, str]) -> Column:

@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_aggregate, queries_relational
+from . import queries_aggregate, queries_graph, queries_relational, queries_search
 
-MODULES = (queries_aggregate, queries_relational)
+MODULES = (queries_aggregate, queries_relational, queries_search, queries_graph)
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
