@@ -49,22 +49,25 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Lines without a word are in no window and stay. A null text is empty. Documents with fewer than ``width`` worded
     lines lose nothing. Rows with equal ids count as one document at one place, so neither loses lines to the other;
-    a null id sorts first. Columns named ``n_lines``, ``n_removed`` or ``gone`` are replaced, all others pass through.
+    a null id sorts first. Columns named ``n_lines`` or ``n_removed`` are replaced, all others pass through.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone", text_col)]
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, width=width)
-    both = docs.select(*kept, text_of(text_col).alias(text_col)).join(gone.withColumnRenamed("id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    lines = both.withColumn("_lines", F.split(text_col, "\n", -1)).withColumn("n_lines", F.size("_lines")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("gone")), lambda i: F.get("_lines", i))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return lines.withColumn(text_col, text).select(*[c for c in docs.columns if c in kept or c == text_col], "n_lines", "n_removed")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, width=width).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
+    both = docs.select(*kept).withColumn(text_col, text_of(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    counted = both.withColumns({"_lines": F.split(text_col, "\n", -1), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}).withColumn("n_lines", F.size("_lines"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return counted.withColumn(text_col, text).select(*kept, "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents after line dedup with the columns of ``docs``; one whose every worded line went is dropped."""
-    cut = dedup_lines(docs, id_col=id_col, text_col=text_col)
-    out = cut.where((F.col("n_removed") == 0) | F.col(text_col).rlike(WORD))
-    return (out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out).select(*docs.columns)
+    packed = docs.select(id_col, text_col, F.struct(*docs.columns).alias("_row"))
+    cut = dedup_lines(packed, id_col=id_col, text_col=text_col).where((F.col("n_removed") == 0) | F.col(text_col).rlike(WORD))
+    changed = F.col("_row").withField(text_col, F.col(text_col))
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length(text_col).cast("long"))
+    return cut.select(F.when(F.col("n_removed") > 0, changed).otherwise(F.col("_row")).alias("_row")).select("_row.*")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
