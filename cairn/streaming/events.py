@@ -14,14 +14,19 @@ def source(spark: SparkSession, path: str, schema: StructType, form: str = "parq
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(form).load(path)
 
 
+def timed(stream: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone; one without is read in the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
     """One row per key within the watermark; state older than that is dropped."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def histogram(stream: DataFrame, time: str, width: str, late: str, by: list[str]) -> DataFrame:
     """Counts by window; in append mode a window is given once, when the watermark has passed it."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("bucket"), *by, "n")
+    return timed(stream, time).withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("bucket"), *by, "n")
 
 
 def upsert_into(stream: DataFrame, path: str, checkpoint: str, keys: list[str], newest: str) -> StreamingQuery:
