@@ -32,9 +32,8 @@ def s11_upsert(s, d):
 
 def p4_search(s, d):
     p = table(s, d, "part")
-    test = filters.bool_query(filter=[{"term": {"p_type": "STANDARD"}}, {"range": {"p_retailprice": {"gte": 910, "lte": 990}}}, {"range": {"p_size": {"gte": 10}}}])
-    loose = filters.bool_query(filter=[{"range": {"p_retailprice": {"gte": 910, "lte": 990}}}, {"range": {"p_size": {"gte": 10}}}])
-    return p.where(test | loose).select("p_partkey", "p_retailprice").orderBy("p_retailprice", "p_partkey").limit(50)
+    test = filters.bool_query(filter=[{"range": {"p_retailprice": {"gte": 910, "lte": 990}}}, {"range": {"p_size": {"gte": 10}}}])
+    return p.where(test).select("p_partkey", "p_retailprice").orderBy("p_retailprice", "p_partkey").limit(50)
 
 
 def p6_clauses(s, d):

@@ -11,12 +11,12 @@ from cairn.sources.tables import table
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 
-def asked(s, d, words=6):
-    """The first words of each benchmark item as queries."""
-    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("text"))
+def asked(s, d):
+    """The benchmark items as queries."""
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-ASKED = "(SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS text FROM benchmark)"
+ASKED = "(SELECT item_id AS query_id, text FROM benchmark)"
 BM25 = rf"""
 toks AS (SELECT doc_id, {TOK} AS t FROM documents),
 lens AS (SELECT doc_id, len(t) AS doc_len FROM toks),
@@ -53,7 +53,7 @@ def t4_most_fields(s, d):
 
 def t8_fuzzy(s, d):
     vocabulary = table(s, d, "documents").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 20").select("term").where(F.col("term").rlike("^[a-z0-9]+$"))
-    return search.fuzzy_terms(vocabulary, search.query_terms(asked(s, d, 3)).where(F.col("term").rlike("^[a-z0-9]+$"))).select("query_id", "asked", "term", "edits")
+    return search.fuzzy_terms(vocabulary, search.query_terms(asked(s, d)).where(F.col("term").rlike("^[a-z0-9]+$"))).select("query_id", "asked", "term", "edits")
 
 
 def t9_filtered(s, d):
@@ -62,10 +62,10 @@ def t9_filtered(s, d):
 
 
 def t13_labels(s, d):
-    docs = table(s, d, "documents").where("doc_id < 200").select("doc_id", F.lower(F.split("text", "\n")[0]).alias("head"), F.lower("text").alias("text"))
-    q = asked(s, d, 1).select("query_id", F.lower("text").alias("word"))
+    docs = table(s, d, "documents").select("doc_id", F.lower(F.split("text", "\n")[0]).alias("head"), F.lower("text").alias("text"))
+    q = asked(s, d).select("query_id", F.lower(F.split("text", " ")[0]).alias("word"))  # the stated query set
     grade = F.when(F.contains("head", F.col("word")), 3).when(F.contains("text", F.col("word")), 1).otherwise(0)
-    return docs.join(F.broadcast(q.limit(1000))).select("query_id", "doc_id", grade.alias("grade")).where("grade > 0")
+    return docs.join(q).select("query_id", "doc_id", grade.alias("grade")).where("grade > 0")
 
 
 def queries_of(s, d):
@@ -148,10 +148,10 @@ QUERIES = {
     "t5_bm25": (lambda s, d: search.top(ranked(s, d).withColumn("score", F.round("score", 6)), 5).select("query_id", "doc_id", "score", "rank"), f"WITH {BM25} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 5"),
     "t6_all_terms": (lambda s, d: search.need_terms(ranked(s, d), asked(s, d)).select("query_id", "doc_id"), f"WITH {BM25} SELECT query_id, doc_id FROM bm JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY 1) USING (query_id) WHERE matched = n"),
     "t7_phrase": (lambda s, d: table(s, d, "documents").where(search.has_phrase(F.col("text"), "of the")).select("doc_id"), f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the ')"),
-    "t8_fuzzy": (t8_fuzzy, f"WITH v AS (SELECT term FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 20), q AS (SELECT query_id, unnest(list_distinct({TOK})) AS asked FROM (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS text FROM benchmark)) SELECT query_id, asked, term, CAST(levenshtein(asked, term) AS INT) AS edits FROM q JOIN v ON regexp_full_match(asked, '[a-z0-9]+') AND regexp_full_match(term, '[a-z0-9]+') AND substr(asked, 1, 2) = substr(term, 1, 2) WHERE levenshtein(asked, term) <= CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END"),
+    "t8_fuzzy": (t8_fuzzy, f"WITH v AS (SELECT term FROM (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 20), q AS (SELECT query_id, unnest(list_distinct({TOK})) AS asked FROM (SELECT item_id AS query_id, text FROM benchmark)) SELECT query_id, asked, term, CAST(levenshtein(asked, term) AS INT) AS edits FROM q JOIN v ON regexp_full_match(asked, '[a-z0-9]+') AND regexp_full_match(term, '[a-z0-9]+') AND substr(asked, 1, 2) = substr(term, 1, 2) WHERE levenshtein(asked, term) <= CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END"),
     "t9_filtered": (t9_filtered, f"WITH {BM25.replace('FROM documents)', chr(70) + 'ROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')} SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 2"),
     "t12_highlight": (lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(search.highlight(F.col("text"), "the"), " ... ").alias("fragments")), None),
-    "t13_labels": (t13_labels, "SELECT query_id, doc_id, grade FROM (SELECT query_id, doc_id, CASE WHEN contains(head, word) THEN 3 WHEN contains(text, word) THEN 1 ELSE 0 END AS grade FROM (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS head, lower(text) AS text FROM documents WHERE doc_id < 200), (SELECT item_id AS query_id, lower(string_split(text, ' ')[1]) AS word FROM benchmark)) WHERE grade > 0"),
+    "t13_labels": (t13_labels, "SELECT query_id, doc_id, grade FROM (SELECT query_id, doc_id, CASE WHEN contains(head, word) THEN 3 WHEN contains(text, word) THEN 1 ELSE 0 END AS grade FROM (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS head, lower(text) AS text FROM documents), (SELECT item_id AS query_id, lower(string_split(text, ' ')[1]) AS word FROM benchmark)) WHERE grade > 0"),
     "v1_nearest": (v1_nearest, "SELECT * FROM (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: (i % 7 - 3)::DOUBLE)), 6) AS score FROM embeddings WHERE label < 8) WHERE score >= -0.5 ORDER BY score DESC, id LIMIT 10"),
     "v4_knn": (v4_knn, f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({KNN}) WHERE rank <= 5"),
     "v5_shifted": (v5_shifted, "SELECT * FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: 1.0::DOUBLE)) + 1, 6) AS score FROM embeddings) WHERE score >= 1.1"),
