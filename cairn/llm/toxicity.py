@@ -40,7 +40,7 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets; n-gram buckets with the index of their word, sorted by word."""
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     begin = np.cumsum(sizes) - sizes
     whole = np.zeros(len(words), np.uint64)
     grams, owners, h = [], [], np.zeros(len(codes), np.uint64)
@@ -53,9 +53,9 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = h[:m] * U(0x9E3779B97F4A7C15) + codes[n - 1 :] + U(n)
         if n in GRAM_SIZES:
             inside = owner[:m] == owner[n - 1 :]
-            grams.append(spread(h[inside]) % U(GRAM_BUCKETS))
+            grams.append((spread(h[inside]) % U(GRAM_BUCKETS)).astype(np.int32))
             owners.append(owner[:m][inside])
-    gram, own = np.concatenate(grams).astype(np.int64), np.concatenate(owners)
+    gram, own = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     return (spread(whole) % U(WORD_BUCKETS)).astype(np.int64), gram[order], own[order]
 
@@ -239,8 +239,9 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 8, seed: int = 7) -> Tox
         kinds = np.unique(t)
         model.word_counts[y, np.unique(word[kinds])] += 1
         model.gram_counts[y, np.unique(np.concatenate([gram[cut[k] : cut[k + 1]] for k in kinds]))] += 1
+    del texts, vocabulary
     # Rows of the tables are words as clean texts see them, then as toxic ones do.
-    given = np.concatenate([model.given(words, 0)[0], model.given(words, 1)[0]])
+    given = np.concatenate([model.given(words[a : a + 20_000], y)[0] for y in (0, 1) for a in range(0, len(words), 20_000)])
     sizes, flat = np.array([len(t) for t in ids]), np.concatenate(ids) + np.repeat(labels * len(words), [len(t) for t in ids])
     starts, count = np.cumsum(sizes) - sizes, np.maximum(np.bincount(own, minlength=len(words)), 1)[:, None]
     w, adam = model.weights, Adam(0.02)
@@ -339,7 +340,7 @@ class Scorer:
         return out
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1500, max_clean: int = 3000, max_chars: int = 20_000) -> ToxicModel:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000, max_chars: int = 20_000) -> ToxicModel:
     """Train on a bounded sample of labelled rows: so many of each label at most, no longer than ``max_chars``, by a hash of the id.
 
     The bounds keep the sample within tens of MB on the driver; no other row is held back from scoring.
