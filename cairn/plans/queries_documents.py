@@ -10,8 +10,9 @@ from cairn.plans import medallion
 from cairn.plans.queries_aggregate import LISTED
 from cairn.plans.queries_relational import FEATS
 from cairn.plans.queries_search import KNN, queries_of
-from cairn.sources import sinks
+from cairn.sources import shared, sinks
 from cairn.sources.tables import table
+from cairn.streaming import events
 
 
 def e1_tags(s, d):
@@ -164,6 +165,24 @@ def i3c_routed(s, d):
     return kept.select("doc_id", F.lit("").alias("reason")).unionByName(gone.select("doc_id", "reason"))
 
 
+def streamed(s, d, made, mode):
+    """Run a stream over the events table to its end, and read what it wrote."""
+    stream = events.source(s, f"{d}/event[s].parquet", table(s, d, "events").schema)
+    out = made(stream)
+    path = shared.new_path(s, "stream")
+    events.written(out, path, shared.new_path(s, "offsets"), mode).awaitTermination()
+    return s.read.schema(out.schema).parquet(path)
+
+
+def i4_stream_dedup(s, d):
+    """Events arrive twice; one of each remains."""
+    return streamed(s, d, lambda e: events.deduplicated(e.union(e), ["event_id"], "ts", "40 days").select("event_id", "event_type"), "append")
+
+
+def i5_stream_histogram(s, d):
+    return streamed(s, d, lambda e: events.histogram(e, "ts", "1 day", "1 hour", ["event_type"]), "complete")
+
+
 GOLD_SEG = "CASE WHEN price < 100000 THEN 'budget' WHEN price < 200000 THEN 'affordable' WHEN price < 400000 THEN 'premium' ELSE 'luxury' END"
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 CH = f"(SELECT doc_id, i, len(st) AS total, array_to_string(list_slice(w, st[i + 1] + 1, st[i + 1] + 100), ' ') AS chunk FROM (SELECT doc_id, w, st, unnest(range(len(st))) AS i FROM (SELECT doc_id, w, range(0, greatest(len(w) - 20, 1), 80) AS st FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) > 0)))"
@@ -212,5 +231,7 @@ QUERIES = {
     "i2_upsert": (i2_upsert, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id) AS turn FROM events) WHERE turn = 1"),
     "i3_cache": (i3_cache, "SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) THEN 'known' ELSE 'new' END AS result FROM documents"),
     "i3c_routed": (i3c_routed, "SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN '' ELSE 'language ' || lang END AS reason FROM documents"),
+    "i4_stream_dedup": (i4_stream_dedup, "SELECT event_id, event_type FROM events"),
+    "i5_stream_histogram": (i5_stream_histogram, "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "f17_normalized": (lambda s, d: table(s, d, "part").select("p_partkey", text.slug(F.col("p_type")).alias("type_slug"), text.topic_tags(F.col("p_name"), {"r": "red", "w": "widget"}).alias("t")).select("p_partkey", "type_slug", F.array_join("t", ",").alias("tags")), "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS type_slug, concat_ws(',', CASE WHEN contains(p_name, 'red') THEN 'r' END, CASE WHEN contains(p_name, 'widget') THEN 'w' END) AS tags FROM part"),
 }

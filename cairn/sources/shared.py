@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut in the shared folder."""
     ready(df.sparkSession)
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/cairn-{uuid.uuid4().hex}/{name}"

@@ -45,3 +45,12 @@ def upsert_into(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
         out.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Write the available input's result as Parquet under ``path``, then stop; complete results replace the last ones."""
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+
+    return stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
