@@ -90,7 +90,7 @@ def a14_extractions(spark, d):
 
 def a15_list_per_group(spark, d):
     li = table(spark, d, "lineitem")
-    return li.groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"), F.min_by("l_partkey", F.struct("l_orderkey", "l_linenumber")).alias("first_part"))
+    return li.groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"), F.min_by("l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("first_part"))
 
 
 def a17_samples(spark, d):
@@ -107,7 +107,7 @@ def a19_luxury_share(spark, d):
 
 
 def a20_segments(spark, d):
-    return rounded(listings(spark, d).groupBy("city", facets.ladder(F.col("price"), CUTS, BANDS).alias("segment")).agg(F.count("*").alias("n"), F.avg("price").alias("avg_price")), "avg_price", digits=4)
+    return rounded(listings(spark, d).groupBy("city", facets.ladder(F.col("price"), CUTS, BANDS).alias("segment")).agg(F.count("*").alias("n"), F.avg("price").alias("avg_price")), "avg_price", digits=2)
 
 
 def a22_hit_bands(spark, d):
@@ -186,12 +186,12 @@ QUERIES = {
     "a12_ranges": (a12_ranges, f"SELECT {BAND_SQL} AS bucket, count(*) AS doc_count, round(avg(o_totalprice), 4) AS avg_price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "a13_features": (a13_features, "SELECT feature, count(*) AS n FROM (SELECT lower(trim(unnest(string_split(p_name, ' ')))) AS feature FROM part) WHERE feature <> '' GROUP BY 1"),
     "a14_extractions": (a14_extractions, f"SELECT 'type' AS what, p_type AS name, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'city', city, count(*) FROM {LISTED} GROUP BY 2 UNION ALL SELECT 'band', {BAND_SQL.replace('o_totalprice', 'price')}, count(*) FROM {LISTED} GROUP BY 2"),
-    "a15_list_per_group": (a15_list_per_group, "SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, first(l_partkey ORDER BY l_orderkey, l_linenumber) AS first_part FROM lineitem GROUP BY 1"),
+    "a15_list_per_group": (a15_list_per_group, "SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, first(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS first_part FROM lineitem GROUP BY 1"),
     "a16_quartiles": (lambda s, d: rounded(facets.percentiles(table(s, d, "orders"), "o_totalprice", [25, 50, 75]), "value"), "SELECT p::DOUBLE AS percent, round(v, 6) AS value FROM (SELECT unnest([25, 50, 75]) AS p, unnest(quantile_cont(o_totalprice, [0.25, 0.5, 0.75])) AS v FROM orders)"),
     "a17_samples": (a17_samples, f"SELECT city, array_to_string(list_slice(list_sort(list(DISTINCT kind)), 1, 3), ',') AS kinds, count(DISTINCT place_id) AS places FROM {LISTED} GROUP BY 1"),
     "a18_having": (a18_having, f"SELECT place_id, count(*) AS n, round(avg(price), 4) AS avg_price FROM {LISTED} GROUP BY 1 HAVING count(*) >= 20"),
     "a19_luxury_share": (a19_luxury_share, f"SELECT city, count(*) FILTER (price > 300000) AS luxury, count(*) AS n, round(count(*) FILTER (price > 300000) / count(*), 6) AS share FROM {LISTED} GROUP BY 1"),
-    "a20_segments": (a20_segments, f"SELECT city, {BAND_SQL.replace('o_totalprice', 'price')} AS segment, count(*) AS n, round(avg(price), 4) AS avg_price FROM {LISTED} GROUP BY 1, 2"),
+    "a20_segments": (a20_segments, f"SELECT city, {BAND_SQL.replace('o_totalprice', 'price')} AS segment, count(*) AS n, round(avg(price), 2) AS avg_price FROM {LISTED} GROUP BY 1, 2"),
     "a21_distribution": (lambda s, d: table(s, d, "part").groupBy("p_type", "p_size").agg(F.count("*").alias("n"), F.round(F.avg(F.size(F.split("p_name", " "))), 6).alias("avg_features")), "SELECT p_type, p_size, count(*) AS n, round(avg(len(string_split(p_name, ' '))), 6) AS avg_features FROM part GROUP BY 1, 2"),
     "a22_hit_bands": (a22_hit_bands, "WITH h AS (SELECT item_id, count(doc_id) AS hits FROM (SELECT item_id, lower(string_split(text, ' ')[1]) AS word FROM benchmark) b LEFT JOIN documents d ON contains(lower(d.text), b.word) GROUP BY 1) SELECT CASE WHEN hits < 1 THEN 'none' WHEN hits < 11 THEN '1-10' WHEN hits < 101 THEN '11-100' ELSE 'over 100' END AS band, count(*) AS queries FROM h GROUP BY 1"),
     "a23_metadata_counts": (a23_metadata_counts, "SELECT 'lang' AS field, coalesce(lang, 'null') AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'null'), count(*) FROM documents GROUP BY 2"),

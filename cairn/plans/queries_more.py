@@ -77,7 +77,7 @@ def e14_derived(s, d):
     f = listing_features(s, d).groupBy("listing_id").agg(F.count("*").alias("feature_count"))
     ls = listings(s, d).join(f, "listing_id", "left").na.fill(0, ["feature_count"])
     mean = F.avg("price").over(Window.partitionBy("city"))
-    return ls.select("listing_id", "feature_count", (F.col("price") > mean * 1.5).alias("premium"), F.round(F.col("price") / F.greatest(F.col("feature_count"), F.lit(1)), 2).alias("per_feature"))
+    return ls.select("listing_id", "feature_count", (F.col("price") > mean * 1.5).alias("premium"), (F.col("price") / F.greatest(F.col("feature_count"), F.lit(1))).alias("per_feature"))
 
 
 def e16_categories(s, d):
@@ -247,7 +247,7 @@ QUERIES = {
     "e7_authority": (e7_authority, "SELECT doc_id, round(40 * least(n_chars / 5000, 1.0::DOUBLE) + 30 * coalesce(quality, 0) + 30 * CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS authority, concat_ws(',', CASE WHEN contains(text, 'the') THEN 'first' END, CASE WHEN contains(text, 'und') THEN 'second' END, CASE WHEN contains(text, 'que') THEN 'third' END) AS topics FROM documents LEFT JOIN labels USING (doc_id)"),
     "e11_rules": (e11_rules, r"SELECT doc_id, round(CASE WHEN v THEN 0.0::DOUBLE ELSE t END, 6) AS score, NOT v AND t >= 0.5 AS relevant FROM (SELECT doc_id, length(text) < 20 AS v, 0.4::DOUBLE * (source IN ('src0', 'src1', 'src2'))::INT + 0.4::DOUBLE * least(20 * (contains(l, 'the')::INT + contains(l, 'and')::INT + contains(l, 'der')::INT + contains(l, 'und')::INT) / sqrt(w) / 4, 1.0::DOUBLE) + 0.2::DOUBLE * (lang = 'en')::INT AS t FROM (SELECT *, lower(text) AS l, greatest(len(regexp_extract_all(text, '\S+')), 1) AS w FROM documents))"),
     "e13b_classified": (e13b_classified, "SELECT doc_id, round(CASE WHEN toxic = 1 THEN 0.2::DOUBLE ELSE 0.4::DOUBLE * CASE WHEN n_chars < 500 THEN 0.8::DOUBLE WHEN n_chars < 2000 THEN 0.6::DOUBLE WHEN n_chars < 8000 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END + 0.4::DOUBLE * quality + 0.2::DOUBLE END, 6) AS score FROM documents JOIN labels USING (doc_id)"),
-    "e14_derived": (e14_derived, f"SELECT listing_id, coalesce(n, 0) AS feature_count, price > 1.5 * avg(price) OVER (PARTITION BY city) AS premium, round(price / greatest(coalesce(n, 0), 1), 2) AS per_feature FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
+    "e14_derived": (e14_derived, f"SELECT listing_id, coalesce(n, 0) AS feature_count, price > 1.5 * avg(price) OVER (PARTITION BY city) AS premium, price / greatest(coalesce(n, 0), 1) AS per_feature FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
     "e16_categories": (e16_categories, "SELECT doc_id, concat_ws(',', CASE WHEN contains(l, 'the') THEN 'county' END, CASE WHEN contains(l, 'and') THEN 'city' END, CASE WHEN contains(l, 'for') THEN 'park' END, CASE WHEN contains(l, 'is') THEN 'school' END) AS categories FROM (SELECT doc_id, lower(text) AS l FROM documents)"),
     "t10_excluded": (t10_excluded, f"WITH {DOCS(chr(115) + 'ource NOT IN (' + chr(39) + 'src0' + chr(39) + ', ' + chr(39) + 'src1' + chr(39) + ')')} SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(score, 6) AS score, {TOP} AS rank FROM bm) WHERE rank <= 2"),
     "t11_routes": (t11_routes, f"WITH q AS (SELECT query_id, unnest(list_distinct({TOK})) AS term FROM {ASKED}), t AS (SELECT conv_id * 1000 + turn AS doc_id, unnest(list_distinct({TOK})) AS term FROM conversations), m AS (SELECT query_id, doc_id, count(*) AS matched FROM q JOIN t USING (term) GROUP BY 1, 2) SELECT query_id, count(*) AS hits, max(matched) AS most FROM m GROUP BY 1"),
