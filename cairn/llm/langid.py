@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, load
+from .common import bounded_sample, fold, load
 
 LETTERS = re.compile(r"[^\W\d_]+")
 # First code points of Unicode script ranges and the scripts that begin there.
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     The bound keeps the sample in the driver's memory; no other row is held back from scoring.
     """
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
-    rows = usable.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy("h", "lang", "text").limit(max_rows).collect()
+    rows = bounded_sample(usable.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "h", max_rows)
     langs = sorted({r.lang for r in rows})
     counts, by_script, seen = np.zeros((BUCKETS, max(1, len(langs)))), np.zeros((len(SCRIPTS), max(1, len(langs)))), np.zeros(max(1, len(langs)))
     for k, lang in enumerate(langs):
@@ -166,7 +166,7 @@ def best_paths(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalt
 class Labeller:
     """Scores batches of texts with a bounded cache of word scores."""
 
-    def __init__(self, model: LanguageModel, penalty: float, cache_words: int = 150_000):
+    def __init__(self, model: LanguageModel, penalty: float, cache_words: int = 100_000):
         self.model, self.penalty, self.limit = model, penalty, cache_words
         self.clear()
 
@@ -190,10 +190,12 @@ class Labeller:
 
     def label(self, texts: list[str | None], spans: bool) -> tuple[list, list, list]:
         langs, preds, shares, found = self.model.langs, [], [], []
+        if not langs:  # nothing was learned
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), [[]] * len(texts)
         begin, size = 0, len(texts)
         while begin < size:
             flat, sizes, end = [], [], begin
-            while end < size and len(flat) < 400_000:
+            while end < size and len(flat) < 150_000:
                 words = LETTERS.findall(texts[end] or "")
                 if not any(any(map(str.isalpha, w)) for w in words):
                     words = []  # digits like superscripts only
