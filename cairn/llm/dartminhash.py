@@ -6,8 +6,8 @@ dart of each coordinate is the signature: two documents agree in a coordinate wi
 Jaccard similarity. A document of n elements costs about n + k log k darts instead of n times k hashes.
 
 Signatures are cut into bands; texts that share a band become candidates and are compared exactly. Equal texts are one node
-throughout. Small buckets are compared in all pairs; in large ones texts meet pivots only (see `near_links`), so a hot
-bucket never becomes pairs of its members.
+throughout. Small buckets are compared in all pairs; in large ones texts meet one pivot first, and what it leaves apart goes
+through an exact prefix filter (see `near_links`), so a hot bucket does not become pairs of its members.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ GOLD = U(0x9E3779B97F4A7C15)
 FULL = U(0xFFFFFFFFFFFFFFFF)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 CHUNK = 1 << 21
+SLOTS = 1 << 18
 ROUND = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5), U(0xB564EF22EC7AECE5), U(0xF7C2EBC08F67F2B5))
 
 
@@ -220,13 +221,67 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool
     return two.select("a", "b", (score("left", "right") >= threshold).alias("ok"))
 
 
+def shared_prefixes(texts: DataFrame, *, threshold: float, weighted: bool) -> DataFrame:
+    """Pairs ``a < b`` of ``texts(th, root, open, shingles)`` that may be alike: unlike roots, at least one of them open.
+
+    Shingles are put in one order, those that are rare among the open texts first. Two texts that reach the threshold
+    share a shingle before the point where less than ``threshold`` of either one's weight is left, and at the first shingle
+    that they share enough weight must be left in both. No pair that reaches the threshold is lost, whatever the order;
+    so counts in a table of fixed size, where some shingles share a slot, will do for it.
+    """
+    spark, item = texts.sparkSession, 6 if weighted else 4
+
+    def parts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(packed) // item
+        return np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, n * 4).astype(np.int64) if weighted else np.ones(n, np.int64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for packed in batch.column("shingles"):
+                np.add.at(total, parts(packed.as_py())[0] % SLOTS, 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    counts = texts.where("open").select("shingles").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.int64)
+    table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            which, shingle, rest, whole = [], [], [], []
+            for i, packed in enumerate(batch.column("shingles")):
+                keys, weight = parts(packed.as_py())
+                order = np.lexsort((keys, often[keys % SLOTS]))
+                keys, weight = keys[order], weight[order]
+                total = int(weight.sum())
+                left = total - np.cumsum(weight) + weight
+                use = (left >= threshold * total - 1e-6) & (often[keys % SLOTS] > 0)  # the others are in no open text
+                which.append(np.full(int(use.sum()), i))
+                shingle.append(keys[use].astype(np.int64))
+                rest.append(left[use])
+                whole.append(np.full(int(use.sum()), total))
+            if which:
+                at = pa.array(np.concatenate(which))
+                head = [batch.column(c).take(at) for c in ("th", "root", "open")]
+                yield pa.RecordBatch.from_arrays([*head, *[pa.array(np.concatenate(x)) for x in (shingle, rest, whole)]], ["th", "root", "open", "shingle", "rest", "whole"])
+
+    posts = stash(texts.select("th", "root", "open", "shingles").mapInArrow(prefixes, "th binary, root binary, open boolean, shingle long, rest long, whole long"), "posts")
+    x = posts.where("open").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("th", "root", "rest", "whole")])
+    enough = F.least("x_rest", "rest") >= F.lit(threshold / (1 + threshold)) * (F.col("x_whole") + F.col("whole")) - 1e-6
+    met = x.join(posts, "shingle").where((F.col("x_root") != F.col("root")) & enough)
+    return met.select(F.least("x_th", "th").alias("a"), F.greatest("x_th", "th").alias("b")).distinct()
+
+
 def near_links(signed: DataFrame, *, threshold: float, weighted: bool, small: int) -> DataFrame:
     """Pairs ``a < b`` of text hashes found alike, among ``signed(th, n, bands, shingles)``; enough of them to connect each class.
 
     Buckets of up to ``small`` texts are compared in all pairs. In a larger one each text meets the bucket's most
-    popular text, the one that shares most band places with others, as an original does with its edited copies. Texts
-    that are not connected to it then, by whatever links were found, meet further pivots, one for each of eight hash
-    classes of the bucket that change from round to round, until a round finds no link.
+    popular text, the one that shares most band places with others, as an original does with its edited copies. That only
+    saves comparisons: every text that is not connected to it then, by whatever links were found, is compared with all
+    texts of such buckets that are in another class and may be alike, which is exact (`shared_prefixes`).
     """
     one = signed.where("n > 0").select("th", "n", "bands").dropDuplicates(["th"])
     rows = one.select("th", "n", F.explode("bands").alias("key"))
@@ -239,28 +294,24 @@ def near_links(signed: DataFrame, *, threshold: float, weighted: bool, small: in
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & near(x["n"], y["n"])), lambda y: F.struct(x["th"].alias("a"), y["th"].alias("b")))))
     wanted = listed.select(F.inline(pairs)).distinct()
     large = stash(members.where(F.col("members") > small).drop("members").join(popular, "th"), "large")
-    open_, links, tested, first, turn = large, None, None, None, 0
-    while True:
-        among = large if turn == 0 else large.join(open_.select("key").distinct(), "key", "left_semi")
-        part = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("key", "th", F.lit(turn)), F.lit(8))
-        pivots = stash(among.groupBy("key", part.alias("part")).agg(F.max(F.struct("pop", "th", "n")).alias("p")), "pivots")
-        first = first if turn else pivots.select("key", F.col("p.th").alias("main"))
-        meet = open_.join(pivots, "key").where((F.col("th") != F.col("p.th")) & near(F.col("n"), F.col("p.n")))
-        meet = meet.select(F.least("th", "p.th").alias("a"), F.greatest("th", "p.th").alias("b")).distinct()
-        wanted = wanted.union(meet).distinct() if turn == 0 else meet.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        verdict = stash(compared(wanted, sets, threshold, weighted), "verdict")
-        alike = verdict.where("ok").select("a", "b")
-        tested, links = (verdict, alike) if turn == 0 else (tested.union(verdict), links.union(alike))
-        release(signed.sparkSession)
-        if turn and alike.isEmpty():
-            return links
-        roots = stash(components(links), "roots")
-        root_of = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
-        mains = stash(root_of(first, "main").select("key", F.col("root").alias("main_root")), "mains")
-        open_ = stash(root_of(large, "th").join(mains, "key").where("root <> main_root").select("th", "key", "n"), "open")
-        if open_.isEmpty():
-            return links
-        turn += 1
+    pivots = stash(large.groupBy("key").agg(F.max(F.struct("pop", "th", "n")).alias("p")), "pivots")
+    meet = large.join(pivots, "key").where((F.col("th") != F.col("p.th")) & near(F.col("n"), F.col("p.n")))
+    wanted = wanted.union(meet.select(F.least("th", "p.th").alias("a"), F.greatest("th", "p.th").alias("b"))).distinct()
+    tested = stash(compared(wanted, sets, threshold, weighted), "verdict")
+    links = tested.where("ok").select("a", "b")
+    release(signed.sparkSession)
+    roots = stash(components(links), "roots")
+    root_of = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
+    mains = root_of(pivots.select("key", F.col("p.th").alias("main")), "main").select("key", F.col("root").alias("main_root"))
+    open_ = stash(root_of(large, "th").join(mains, "key").where("root <> main_root").select("th", "key"), "open")
+    if open_.isEmpty():
+        return links
+    held = root_of(large.join(open_.select("key").distinct(), "key", "left_semi").select("th").distinct(), "th")
+    flagged = held.join(open_.select("th", F.lit(True).alias("open")).distinct(), "th", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    maybe = shared_prefixes(stash(flagged.join(sets, "th"), "held"), threshold=threshold, weighted=weighted)
+    verdict = stash(compared(maybe.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold, weighted), "verdict")
+    release(signed.sparkSession)
+    return links.union(verdict.where("ok").select("a", "b"))
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 16) -> DataFrame:

@@ -185,6 +185,26 @@ def test_near_classes(spark):
     assert dartminhash.near_classes(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_separate_pairs_of_one_large_bucket(spark, weighted):
+    """Pairs that share a bucket with many unlike texts of one template; the unlike ones come first as pivots."""
+
+    def row(name, keys):
+        packed = np.sort(np.array(keys, np.uint32)).tobytes() + (np.ones(len(keys), np.uint16).tobytes() if weighted else b"")
+        return bytearray(f"{name:016}".encode()), len(keys), [7], bytearray(packed)
+
+    rows, want = [], set()
+    for i in range(60):
+        own = [1000 + 100 * i + k for k in range(50)]
+        rows.append(row(2 * i, [*range(50), *own]))
+        if i < 30:
+            rows.append(row(2 * i + 1, [*range(50), *own[:45]]))
+            want.add((2 * i, 2 * i + 1))
+    signed = spark.createDataFrame(rows, "th binary, n long, bands array<long>, shingles binary")
+    links = dartminhash.near_links(signed, threshold=0.8, weighted=weighted, small=16)
+    assert {(int(r.a), int(r.b)) for r in links.collect()} == want
+
+
 def test_weighted_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     a = rng.exponential(2, 300) * (rng.random(300) < 0.8)
