@@ -314,6 +314,18 @@ def near_links(signed: DataFrame, *, threshold: float, weighted: bool, small: in
     return links.union(verdict.where("ok").select("a", "b"))
 
 
+def rooted_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows, and for each text hash ``th`` its least id ``first``, how many ``rows`` have it, and the ``root`` of its class."""
+    text = text_of(text_col)
+    given = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("th"), text.alias("text"))
+    signed = stash(signatures(given, k=k, bands=bands, width=width, weighting=weighting), "signed")
+    per_id = signed.groupBy("th", "id").agg(F.count("*").alias("rows"))
+    firsts = per_id.groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rows")).alias("f")).select("th", F.col("f.id").alias("first"), F.col("f.rows").alias("rows"))
+    links = near_links(signed, threshold=threshold, weighted=weighting == "tf", small=small)
+    roots = components(links)
+    return signed, stash(firsts.join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "rooted")
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 16) -> DataFrame:
     """``id_col, class_id`` for every row: the least id of its class of near copies.
 
@@ -321,23 +333,24 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     "tf": counts). Words are runs of anything but ASCII white space. A null text is empty; empty texts, and other texts without a word, are only
     alike if equal. Equal texts share a class. A null id loses to any other. Repeated rows each get their row.
     """
-    text = text_of(text_col)
-    given = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("th"), text.alias("text"))
-    signed = stash(signatures(given, k=k, bands=bands, width=width, weighting=weighting), "signed")
-    firsts = signed.groupBy("th").agg(F.min("id").alias("first"))
-    links = near_links(signed, threshold=threshold, weighted=weighting == "tf", small=small)
-    roots = components(links)
-    rooted = stash(firsts.join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "rooted")
+    signed, rooted = rooted_texts(docs, id_col, text_col, threshold, k, bands, width, weighting, small)
     named = stash(rooted.groupBy("root").agg(F.min("first").alias("class_id")), "named")
     by_text = rooted.select("th", "root").join(named, "root").select("th", "class_id")
     return signed.select("id", "th").join(by_text, "th").select(F.col("id").alias(id_col), "class_id")
 
 
 def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their class."""
-    classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    """Exactly one row of each class: of its least id, and of the rows that share that id and text the one with the least hash."""
+    _, rooted = rooted_texts(docs, id_col, text_col, **options)
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "th", "rows")).alias("b"))
+    keep = stash(best.select(F.col("b.first").alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "keep")
+    th = F.unhex(F.md5(text_of(text_col).cast("binary")))
+    hit = lambda kept: docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th")))
+    one, many = hit(keep.where("_rows = 1")).select(*docs.columns), keep.where("_rows > 1")
+    if many.isEmpty():
+        return one
+    least = hit(many).groupBy("_id", "_th").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return one.unionByName(least.select("_row.*"))
 
 
 def op7_dartminhash(spark, sf_dir: str) -> DataFrame:

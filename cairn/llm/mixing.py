@@ -77,22 +77,29 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     per copy. A null text has no words; a null source is a source of its own; equal rows are taken as separate
     documents; an empty table gives no rows; further columns are ignored.
     """
+    return _plan(_sized(docs, id_col, text_col, source_col), weights, share, epochs).withColumnRenamed("id", id_col)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, more: Sequence[str] = ()) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
     order = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    sized = stash(docs.select(F.col(id_col).alias("id"), key.alias("skey"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("h")), "sized")
+    return stash(docs.select(F.col(id_col).alias("id"), key.alias("skey"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("h"), *more), "sized")
+
+
+def _plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2, more: Sequence[str] = ()) -> DataFrame:
     sized = sized.withColumn("cell", F.shiftright("h", 60 - BUCKET_BITS))
     cells = sized.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size")), weights, share, epochs)
     before = F.coalesce(F.sum("cell_size").over(Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("skey", "cell", before.alias("cell_start")).join(targets, "skey")
-    inside = Window.partitionBy("skey", "cell").orderBy("h", "id", "size")
+    inside = Window.partitionBy("skey", "cell").orderBy("h", "id", "size", *more)
     start = F.col("cell_start") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = sized.join(cells, ["skey", "cell"]).withColumn("start", start)
     words = F.round("target").cast("long")
     took = [F.greatest(F.least(words - F.lit(e) * F.col("source_size") - F.col("start"), F.col("size")), F.lit(0)) for e in range(epochs)]
     placed = placed.withColumn("taken_by_copy", F.array(*took))
     at = [F.when(F.col("taken_by_copy")[e] > 0, invert_schedule((F.lit(e) * F.col("source_size") + F.col("start") + F.col("taken_by_copy")[e] / 2) / F.col("target"), F.col("rank"))) for e in range(epochs)]
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", F.aggregate("taken_by_copy", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), at[0].alias("position"), "taken_by_copy", F.array(*at).alias("positions"))
+    return placed.select("id", *more, "size", "source_size", "target", F.aggregate("taken_by_copy", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), at[0].alias("position"), "taken_by_copy", F.array(*at).alias("positions"))
 
 
 def range_sorted(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -100,16 +107,23 @@ def range_sorted(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return plan.orderBy(F.col("position").asc_nulls_last(), id_col)
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The training stream: each taken copy of each document once, in order of position.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """The training stream: each taken copy of each row once, in order of position.
 
     The columns of ``docs`` stay as they are; the text of a copy that its source's target cuts holds the words before
-    the cut, joined by spaces. Rows that share an id share a plan row; of rows with equal ids all are emitted.
+    the cut, joined by spaces. Rows are told apart by a 128-bit hash of all their columns; the copies planned for equal
+    rows are all made from one of them.
     """
-    plan = plan_mix(docs, id_col=id_col, text_col=text_col, **options)
-    copies = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.explode(F.arrays_zip(F.col("taken_by_copy").alias("n"), F.col("positions").alias("at"))).alias("_copy")).where("_copy.n > 0").groupBy("_id", "_size", "_copy").agg(F.count("*").alias("_rows"))
-    sized = docs.withColumn("_n", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    hit = sized.join(copies.drop("_rows"), sized[id_col].eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    kind = ["_k1", "_k2"]
+    cells = [F.col(c) for c in docs.columns] + [F.col(c).isNull() for c in docs.columns]
+    marked = docs.withColumns({"_k1": F.xxhash64(*cells), "_k2": F.xxhash64(F.lit(1), *cells)})
+    sized = _sized(marked, id_col, text_col, source_col, kind)
+    plan = _plan(sized, weights, share, epochs, kind)
+    copies = plan.select(*kind, F.col("size").alias("_size"), F.explode(F.arrays_zip(F.col("taken_by_copy").alias("n"), F.col("positions").alias("at"))).alias("_copy")).where("_copy.n > 0")
+    again = stash(sized.groupBy(*kind).agg(F.count("*").alias("n")).where("n > 1").select(*kind), "again")
+    if not again.isEmpty():
+        marked = marked.join(again, kind, "left_anti").unionByName(marked.join(again, kind, "left_semi").dropDuplicates(kind))
+    hit = marked.join(copies, kind)
     cut = let(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), lambda w: F.array_join(F.slice(w, F.lit(1), F.col("_copy.n").cast("int")), " "))
     shaped = hit.withColumn(text_col, F.when(F.col("_copy.n") < F.col("_size"), cut).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:

@@ -87,6 +87,14 @@ def test_mix_repeated_rows_and_empty(spark):
     assert mixing.plan_mix(docs(spark, [])).count() == 0
 
 
+def test_mix_emits_repeated_and_null_rows_as_planned(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e f"), (None, "g h i"), (None, "g h i"), (None, "k l m"), (2, "n o p q"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)
+    got = [r.text for r in mixing.mix(df).collect()]
+    assert sum(len(WORD.findall(t)) for t in got) == mixing.plan_mix(df).agg(F.sum("taken")).first()[0] == 33
+    assert max(collections.Counter(got).values()) <= 4 and mixing.mix(df).columns == df.columns
+
+
 # 6: quality
 
 
@@ -185,6 +193,15 @@ def test_near_classes(spark):
     assert dartminhash.near_classes(docs(spark, [])).count() == 0
 
 
+def test_one_row_per_class_of_repeated_and_null_rows(spark):
+    base = sample(80)
+    rows = [(1, base, "x"), (1, base, "x"), (1, base, "y"), (1, sample(80, 5), "z"), (None, sample(80, 6), "x"), (None, sample(80, 6), "y"), (None, edited(sample(80, 6), 1, 3), "x"), (None, base, "x")]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], SCHEMA)
+    got = dartminhash.one_per_class(df).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]
+    assert {r.text for r in got if r.doc_id} == {base, rows[3][1]}
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_separate_pairs_of_one_large_bucket(spark, weighted):
     """Pairs that share a bucket with many unlike texts of one template; the unlike ones come first as pivots."""
