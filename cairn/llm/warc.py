@@ -4,7 +4,8 @@ Writing: each record is a gzip member of its own. Spark's text writer puts the m
 its commit protocol; an empty member serves as its line separator, so a file is a valid sequence of members.
 
 Reading: a file is walked member by member, or record by record where it is not compressed. Where a check fails, the
-reader searches for the next valid member or version line, goes on there, and reports the bytes in between as a gap.
+reader searches for the next valid member or version line, goes on there, and reports the bytes in between as a gap. Inside
+a member it goes on at the next version line, so that one bad record does not cost the others.
 """
 
 from __future__ import annotations
@@ -102,26 +103,40 @@ class Damaged(ValueError):
     pass
 
 
-def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends; its CRC and length are checked."""
+def inflate(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, where it ends, and what is wrong with it ("": its CRC and length are right).
+
+    Of a member that is cut off or damaged, the content is what inflates before that place.
+    """
     unpacker, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpacker.eof:
-            if pos >= len(data):
-                raise Damaged("member cut off")
-            part = data[pos : pos + PIECE]
+    while not unpacker.eof:
+        if pos >= len(data):
+            return b"".join(out), len(data), "member cut off"
+        part, before = data[pos : pos + PIECE], unpacker.copy()
+        try:
             out.append(unpacker.decompress(part))
-            pos += len(part)
-    except zlib.error as e:
-        raise Damaged("member damaged") from e
-    return b"".join(out), pos - len(unpacker.unused_data)
+        except zlib.error:
+            for k in range(len(part)):
+                try:
+                    out.append(before.decompress(part[k : k + 1]))
+                except zlib.error:
+                    return b"".join(out), pos + k, "member damaged"
+        pos += len(part)
+    return b"".join(out), pos - len(unpacker.unused_data), ""
 
 
 def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``."""
-    window = bytes(data[at : at + PIECE])
-    cut = window.find(END)
-    if not VERSION.match(window) or cut < 0:
+    if not VERSION.match(bytes(data[at : at + 16])):
+        raise Damaged("no record header")
+    size = PIECE
+    while True:  # headers have no greatest length: a url may be long
+        window = bytes(data[at : at + size])
+        cut = window.find(END)
+        if cut >= 0 or at + size >= len(data):
+            break
+        size *= 4
+    if cut < 0:
         raise Damaged("no record header")
     head = {}
     for line in window[:cut].decode("utf-8", "replace").split("\r\n")[1:]:
@@ -151,32 +166,66 @@ def checked(head: dict[str, str], block: bytes) -> dict:
     return {"kind": kind, "headers": head, "payload": payload, "payload_bytes": size, "payload_digest": digest}
 
 
+def member_rows(inside: bytes, whole: bool) -> tuple[list[dict], str]:
+    """The records of an inflated member that pass, and the reason of the first check that failed.
+
+    In a member whose own check failed for damage only a payload that has the digest of its header counts as passed.
+    """
+    rows, pos, why = [], 0, ""
+    while pos < len(inside):
+        try:
+            head, block, end = parse(inside, pos)
+            row = checked(head, block)
+            if not whole and (row["kind"] == "revisit" or not row["payload_digest"]):
+                raise Damaged("record of a damaged member without a check of its own")
+            rows.append(row)
+            pos = end
+        except Damaged as e:
+            why = why or str(e)
+            found = VERSION.search(inside, pos + 1)
+            pos = found.start() if found else len(inside)
+    return rows, why
+
+
 def salvage(content: bytes) -> Iterator[dict]:
-    """Rows of one file in order: records with their byte range, and gaps with the reason of the failed check."""
+    """Rows of one file in order: records with their byte range, and gaps with the reason of the failed check.
+
+    Records from a compressed file have the range of their member, so has the gap of a member in which only some passed.
+    """
     data, at, gap, why = memoryview(content), 0, None, ""
+    taken, until = [], 0  # records saved from a damaged member, and where it ends: stored blocks show them once more
     while at < len(data):
-        try:
-            rows = []
-            if data[at : at + 3] == MAGIC:
-                inside, end = inflate(data, at)
-                pos = 0
-                while pos < len(inside):
-                    head, block, pos = parse(inside, pos)
-                    rows.append(checked(head, block))
-            else:
+        rows, bad, end = [], "", at
+        if data[at : at + 3] == MAGIC:
+            inside, end, broken = inflate(data, at)
+            rows, bad = member_rows(inside, broken != "member damaged")
+            bad = broken or bad
+            if broken:
+                rows = [r for r in rows if at >= until or r not in taken]
+        else:
+            broken = ""
+            try:
                 head, block, end = parse(data, at)
-                rows.append(checked(head, block))
-        except Damaged as e:
-            if gap is None:
-                gap, why = at, str(e)
-            found = SIGN.search(content, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if gap is not None:
+                rows = [checked(head, block)]
+            except Damaged as e:
+                broken = bad = str(e)
+            if at < until:
+                rows = [r for r in rows if r not in taken]
+        if gap is not None and (rows or not broken):
             yield {"kind": "gap", "begin": gap, "end": at, "reason": why}
             gap = None
         for row in rows:
             yield row | {"begin": at, "end": end}
+        if broken:
+            if rows:
+                taken, until = (taken if at < until else []) + rows, max(until, end)
+            if gap is None:
+                gap, why = at, bad
+            found = SIGN.search(content, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if bad:
+            yield {"kind": "gap", "begin": at, "end": end, "reason": bad}
         at = end
     if gap is not None:
         yield {"kind": "gap", "begin": gap, "end": len(data), "reason": why}

@@ -318,6 +318,36 @@ def test_salvage_finds_later_records(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def raw_record(i, url="u"):
+    body = f"payload {i} ".encode() * 50
+    return warc.record_bytes(i, url, body, len(body), __import__("base64").b32encode(hashlib.sha1(body).digest()).decode(), "response", None, "2024-01-01T00:00:00Z")
+
+
+def saved(data):
+    return [r["headers"]["X-Page-Id"] for r in warc.salvage(bytes(data)) if r["kind"] == "response"]
+
+
+def test_long_urls_are_read_back():
+    for url in ("data:" + "x" * 70_000, "y" * 300_000):
+        assert saved(warc.gzip_member(raw_record(1, url)) + raw_record(2, url)) == ["1", "2"]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_members_of_many_records_give_what_passes(level):
+    raws = [raw_record(i) for i in range(6)]
+    bad = raws[2].replace(b"payload 2 payload", b"payload 2 paXload", 1)
+    one = warc.gzip_member(b"".join([*raws[:2], bad, *raws[3:]]), level)
+    rows = list(warc.salvage(one + warc.gzip_member(raws[0])))
+    assert saved(one + warc.gzip_member(raws[0])) == ["0", "1", "3", "4", "5", "0"] and [r["reason"] for r in rows if r["kind"] == "gap"] == ["payload digest differs"]
+    whole = warc.gzip_member(b"".join(raws), level)
+    assert saved(whole[:-8]) == [str(i) for i in range(6)]
+    wrong = bytearray(whole)
+    wrong[-6] ^= 255
+    assert saved(wrong + warc.gzip_member(raws[0])) == ["0", "1", "2", "3", "4", "5", "0"]
+    some = saved(whole[: len(whole) * 3 // 4])
+    assert some == [str(i) for i in range(len(some))] and (level or len(some) == 4)
+
+
 # 8: pieces
 
 
