@@ -115,11 +115,11 @@ def v2_like_this(s, d):
 
 
 def v3_lsh(s, d):
-    """Candidates by random projections of unit vectors, exact scores after; close to the exact join, not equal to it."""
+    """Candidates by random projections of unit vectors, exact scores after; close to the exact join, not equal to it. No two unit vectors are 2.1 apart."""
     e = table(s, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
     unit = Normalizer(inputCol="v", outputCol="u").transform(e)
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=0.7, numHashTables=6, seed=5).fit(unit)
-    pairs = model.approxSimilarityJoin(unit.where("vec_id % 50 = 0"), unit, 1.2, "dist").where("datasetA.vec_id <> datasetB.vec_id")
+    pairs = model.approxSimilarityJoin(unit.where("vec_id % 50 = 0"), unit, 2.1, "dist").where("datasetA.vec_id <> datasetB.vec_id")
     scored = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("id"), (1 - F.col("dist") * F.col("dist") / 2).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 5").select("query_id", "id", F.round("score", 6).alias("score"))
 

@@ -156,3 +156,11 @@ def test_stream_histogram_equals_batch(spark, tmp_path, small):
     q.awaitTermination(60)
     batch = spark.read.parquet(f"{small}/events.parquet").groupBy(F.date_trunc("day", "ts").alias("bucket"), "event_type").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, spark.table("hist").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_lsh_recall(spark, small):
+    from cairn.plans import queries_more, queries_search
+
+    exact = {(r.query_id, r.id) for r in queries_search.v4_knn(spark, small).collect()}
+    got = {(r.query_id, r.id) for r in queries_more.v3_lsh(spark, small).collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
