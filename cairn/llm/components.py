@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, as joins and grouped minima."""
+"""Connected components of an edge table by contraction, as joins and grouped minima."""
 
 from __future__ import annotations
 
@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from .common import stash
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """Point the larger (or the smaller and own) neighbours of each node to the least node around it."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    least = stash(least, "least")  # a table of its own, so that the join can split a node with very many neighbours
-    met = both.join(least, "u")
-    moved = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
-
-
 def components(pairs: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``pairs(a, b)`` other than the roots: the least node that it is connected to."""
-    now, seen = stash(pairs.where("a <> b").select("a", "b"), "edges"), None
-    while True:
-        now = stash(_star(_star(now, True), False), "edges")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+    """``node, root`` for every node of ``pairs(a, b)`` other than the roots: the least node that it is connected to.
+
+    In a round each node steps to the least node around it, and edges are kept between the nodes stepped to. The least
+    node of a component never leaves itself, so it is what is left when no edge is. A group around its least node takes
+    one round; node names in random order halve the rest in a round or better. Null nodes and loops are ignored.
+    """
+    edges, steps = stash(pairs.where("a <> b").select("a", "b"), "edges"), []
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("v")))
+        # a table of its own, so that the joins can split a node with very many neighbours
+        step = stash(both.groupBy("node").agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("to")), "step")
+        at = lambda c, step=step: step.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+        moved = edges.join(at("a"), "a").join(at("b"), "b").where("to_a <> to_b")
+        edges = stash(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        steps.append(step)
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = steps.pop()
+    while steps:
+        roots = steps.pop().join(roots.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    return roots.where("node <> to").select("node", F.col("to").alias("root"))

@@ -7,7 +7,10 @@ Jaccard similarity. A document of n elements costs about n + k log k darts inste
 
 Signatures are cut into bands; texts that share a band become candidates and are compared exactly. Equal texts are one node
 throughout. Small buckets are compared in all pairs; in large ones texts meet one pivot first, and what it leaves apart goes
-through an exact prefix filter (see `near_links`), so a hot bucket does not become pairs of its members.
+through an exact prefix filter (see `near_roots`), so a hot bucket does not become pairs of its members.
+
+Weights are whole numbers. For the exact comparison an element of weight w stands as w elements, the first, second, ... of its
+kind: Jaccard similarity of these is the weighted one.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, release, stash, text_of
+from .common import load, stash, text_of
 from .components import components
 
 U = np.uint64
@@ -161,9 +164,9 @@ def band_hashes(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, k: int, bands: int, width: int, weighting: str) -> DataFrame:
-    """``id, th`` as given, and for each text its number of distinct shingles, its bands and its shingle set.
+    """``id, th`` as given, and for each text its number of shingles, its bands and its shingles.
 
-    The set is a binary column of sorted 32-bit hashes with 16-bit counts behind them if weights count.
+    The shingles are a binary column of sorted 32-bit hashes; a shingle of weight w is there w times under different hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +179,17 @@ def signatures(docs: DataFrame, *, k: int, bands: int, width: int, weighting: st
                 end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK, side="right")) - 1)
                 n, own = end - begin, offsets[begin : end + 1]
                 doc, h, times = shingle_sets(data[own[0] : own[-1]], own - own[0], width)
-                weight = times if weighting == "tf" else np.ones(len(h))
+                weight = {"binary": np.ones_like(times), "tf": times, "log": np.frexp(times)[1]}[weighting]
                 sig = band_hashes(dart_signatures(doc, mix(h + U(1)), weight, n, k), bands)
+                if weighting != "binary":
+                    turn = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                    doc, h = np.repeat(doc, weight), np.repeat(h, weight)
+                    h = np.where(turn > 0, mix(h + turn.astype(U) * GOLD) >> U(20), h)
+                    h = h[np.argsort((doc.astype(U) << U(44)) | h)]
                 size = np.bincount(doc, minlength=n)
                 cut = np.concatenate([[0], np.cumsum(size)])
                 keys = (h >> U(12)).astype(np.uint32)
-                heavy = np.minimum(times, 65535).astype(np.uint16)
-                sets = [keys[a:b].tobytes() + (heavy[a:b].tobytes() if weighting == "tf" else b"") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                sets = [keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 full = np.flatnonzero(size)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32), pa.array(sig[full].ravel()))
                 head = batch.slice(begin, n)
@@ -193,53 +200,43 @@ def signatures(docs: DataFrame, *, k: int, bands: int, width: int, weighting: st
     return docs.select("id", "th", "text").mapInArrow(run, kind)
 
 
-def similarity(left: bytes, right: bytes, weighted: bool) -> float:
-    """(Weighted) Jaccard similarity of two shingle sets."""
-    item = 6 if weighted else 4
-    a, b = (np.frombuffer(x, np.uint32, len(x) // item) for x in (left, right))
+def similarity(left: bytes, right: bytes) -> float:
+    """Jaccard similarity of two sorted lists of shingle hashes; equal hashes in one list count once each."""
+    a, b = np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32)
     if not len(a) or not len(b):
         return 0.0
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    same = b[at] == a
-    if not weighted:
-        both = int(same.sum())
-        return both / (len(a) + len(b) - both)
-    wa, wb = (np.frombuffer(x, np.uint16, len(x) // item, len(x) // item * 4).astype(np.int64) for x in (left, right))
-    both = int(np.minimum(wa[same], wb[at[same]]).sum())
-    return both / int(wa.sum() + wb.sum() - both)
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
 
 
-def compared(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """``pairs(a, b)`` with ``ok``: whether the exact similarity reaches the threshold."""
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``pairs(a, b, ...)`` with ``ok``: whether the exact similarity reaches the threshold."""
 
     @F.pandas_udf("double")
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, weighted) for x, y in zip(left, right, strict=True)])
+        return pd.Series([similarity(x, y) for x, y in zip(left, right, strict=True)])
 
     one = pairs.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("left")), "a")
     two = one.join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("right")), "b")
-    return two.select("a", "b", (score("left", "right") >= threshold).alias("ok"))
+    return two.select(*pairs.columns, (score("left", "right") >= threshold).alias("ok"))
 
 
-def shared_prefixes(texts: DataFrame, *, threshold: float, weighted: bool) -> DataFrame:
-    """Pairs ``a < b`` of ``texts(th, root, open, shingles)`` that may be alike: unlike roots, at least one of them open.
+def shared_prefixes(texts: DataFrame, *, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` (and their roots ``root_a, root_b``) of ``texts(th, root, open, shingles)`` that may be alike: unlike roots, at least one of them open.
 
     Shingles are put in one order, those that are rare among the open texts first. Two texts that reach the threshold
-    share a shingle before the point where less than ``threshold`` of either one's weight is left, and at the first shingle
-    that they share enough weight must be left in both. No pair that reaches the threshold is lost, whatever the order;
+    share a shingle before the point where less than ``threshold`` of either one's shingles are left, and at the first
+    shingle that they share enough must be left in both. No pair that reaches the threshold is lost, whatever the order;
     so counts in a table of fixed size, where some shingles share a slot, will do for it.
     """
-    spark, item = texts.sparkSession, 6 if weighted else 4
-
-    def parts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = len(packed) // item
-        return np.frombuffer(packed, np.uint32, n), np.frombuffer(packed, np.uint16, n, n * 4).astype(np.int64) if weighted else np.ones(n, np.int64)
+    spark = texts.sparkSession
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for packed in batch.column("shingles"):
-                np.add.at(total, parts(packed.as_py())[0] % SLOTS, 1)
+                np.add.at(total, np.frombuffer(packed.as_py(), np.uint32) % SLOTS, 1)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
 
@@ -253,16 +250,14 @@ def shared_prefixes(texts: DataFrame, *, threshold: float, weighted: bool) -> Da
         for batch in batches:
             which, shingle, rest, whole = [], [], [], []
             for i, packed in enumerate(batch.column("shingles")):
-                keys, weight = parts(packed.as_py())
-                order = np.lexsort((keys, often[keys % SLOTS]))
-                keys, weight = keys[order], weight[order]
-                total = int(weight.sum())
-                left = total - np.cumsum(weight) + weight
-                use = (left >= threshold * total - 1e-6) & (often[keys % SLOTS] > 0)  # the others are in no open text
+                keys = np.frombuffer(packed.as_py(), np.uint32)
+                keys = keys[np.lexsort((keys, often[keys % SLOTS]))]
+                left = len(keys) - np.arange(len(keys))
+                use = (left >= threshold * len(keys) - 1e-6) & (often[keys % SLOTS] > 0)  # the others are in no open text
                 which.append(np.full(int(use.sum()), i))
                 shingle.append(keys[use].astype(np.int64))
                 rest.append(left[use])
-                whole.append(np.full(int(use.sum()), total))
+                whole.append(np.full(int(use.sum()), len(keys)))
             if which:
                 at = pa.array(np.concatenate(which))
                 head = [batch.column(c).take(at) for c in ("th", "root", "open")]
@@ -272,78 +267,85 @@ def shared_prefixes(texts: DataFrame, *, threshold: float, weighted: bool) -> Da
     x = posts.where("open").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("th", "root", "rest", "whole")])
     enough = F.least("x_rest", "rest") >= F.lit(threshold / (1 + threshold)) * (F.col("x_whole") + F.col("whole")) - 1e-6
     met = x.join(posts, "shingle").where((F.col("x_root") != F.col("root")) & enough)
-    return met.select(F.least("x_th", "th").alias("a"), F.greatest("x_th", "th").alias("b")).distinct()
+    first = F.col("x_th") < F.col("th")
+    return met.select(F.least("x_th", "th").alias("a"), F.greatest("x_th", "th").alias("b"), F.when(first, F.col("x_root")).otherwise(F.col("root")).alias("root_a"), F.when(first, F.col("root")).otherwise(F.col("x_root")).alias("root_b")).distinct()
 
 
-def near_links(signed: DataFrame, *, threshold: float, weighted: bool, small: int) -> DataFrame:
-    """Pairs ``a < b`` of text hashes found alike, among ``signed(th, n, bands, shingles)``; enough of them to connect each class.
+def near_roots(signed: DataFrame, *, threshold: float, small: int = 16) -> DataFrame:
+    """``node, root`` over text hashes: the classes of texts found alike among ``signed(th, n, bands, shingles)``, for all nodes but roots.
 
-    Buckets of up to ``small`` texts are compared in all pairs. In a larger one each text meets the bucket's most
-    popular text, the one that shares most band places with others, as an original does with its edited copies. That only
-    saves comparisons: every text that is not connected to it then, by whatever links were found, is compared with all
-    texts of such buckets that are in another class and may be alike, which is exact (`shared_prefixes`).
+    Buckets of up to ``small`` texts are compared in all pairs. In a larger one each text meets the bucket's pivot, its
+    most popular text: the one that shares most places of large buckets with others, as an original does with its edited
+    copies. That only saves comparisons: every text that is not connected to its pivot then, by whatever links were found,
+    is compared with all texts of such buckets that are in another class and may be alike, which is exact (`shared_prefixes`).
     """
-    one = signed.where("n > 0").select("th", "n", "bands").dropDuplicates(["th"])
+    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
+    one = stash(signed.where("n > 0").select("th", "n", "bands").dropDuplicates(["th"]), "one")
     rows = one.select("th", "n", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = stash(rows.join(stash(sizes, "sizes"), "key"), "members")
-    popular = members.groupBy("th").agg(F.sum("members").alias("pop"))
-    sets = stash(signed.select("th", "shingles").join(popular.select("th"), "th", "left_semi").dropDuplicates(["th"]), "sets")
-    near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) if not weighted else F.lit(True)
-    listed = members.where(F.col("members") <= small).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("th", "n"))).alias("m"))
+    listed = members.where(F.col("members") <= small).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("th", "n"))).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: (j > i) & near(x["n"], y["n"])), lambda y: F.struct(x["th"].alias("a"), y["th"].alias("b")))))
-    wanted = listed.select(F.inline(pairs)).distinct()
-    large = stash(members.where(F.col("members") > small).drop("members").join(popular, "th"), "large")
-    pivots = stash(large.groupBy("key").agg(F.max(F.struct("pop", "th", "n")).alias("p")), "pivots")
-    meet = large.join(pivots, "key").where((F.col("th") != F.col("p.th")) & near(F.col("n"), F.col("p.n")))
-    wanted = wanted.union(meet.select(F.least("th", "p.th").alias("a"), F.greatest("th", "p.th").alias("b"))).distinct()
-    tested = stash(compared(wanted, sets, threshold, weighted), "verdict")
-    links = tested.where("ok").select("a", "b")
-    release(signed.sparkSession)
-    roots = stash(components(links), "roots")
-    root_of = lambda df, c: df.join(roots.withColumnRenamed("node", c), c, "left").withColumn("root", F.coalesce("root", c))
-    mains = root_of(pivots.select("key", F.col("p.th").alias("main")), "main").select("key", F.col("root").alias("main_root"))
-    open_ = stash(root_of(large, "th").join(mains, "key").where("root <> main_root").select("th", "key"), "open")
-    if open_.isEmpty():
-        return links
-    held = root_of(large.join(open_.select("key").distinct(), "key", "left_semi").select("th").distinct(), "th")
-    flagged = held.join(open_.select("th", F.lit(True).alias("open")).distinct(), "th", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    maybe = shared_prefixes(stash(flagged.join(sets, "th"), "held"), threshold=threshold, weighted=weighted)
-    verdict = stash(compared(maybe.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold, weighted), "verdict")
-    release(signed.sparkSession)
-    return links.union(verdict.where("ok").select("a", "b"))
-
-
-def rooted_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 16) -> tuple[DataFrame, DataFrame]:
-    """The signatures of the rows, and for each text hash ``th`` its least id ``first``, how many ``rows`` have it, and the ``root`` of its class."""
+    many = members.where(F.col("members") > small)
+    popular = many.groupBy("th").agg(F.sum("members").alias("pop"))
+    pivots = stash(many.join(popular, "th").groupBy("key").agg(F.max(F.struct("pop", "th", "n")).alias("pivot")), "pivots")
+    large = stash(many.join(pivots, "key").where(F.col("th") != F.col("pivot.th")).select("key", "th", "n", "pivot"), "large")
+    meet = large.where(near(F.col("n"), F.col("pivot.n"))).select(F.least("pivot.th", "th").alias("a"), F.greatest("pivot.th", "th").alias("b"))
+    wanted = listed.select(F.inline(pairs)).union(meet).distinct()
+    sets = stash(signed.select("th", "shingles").join(members.select("th"), "th", "left_semi").dropDuplicates(["th"]), "sets")
+    tested = stash(compared(wanted, sets, threshold), "tested")
+    roots = stash(components(tested.where("ok")), "roots")
+
+    root_of = lambda df, c, to: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    placed = root_of(root_of(large.select("key", "th", F.col("pivot.th").alias("pivot")), "th", "root"), "pivot", "main")
+    placed = stash(placed.select("key", "th", "root", (F.col("root") != F.col("main")).alias("open")).union(placed.select("key", F.col("pivot").alias("th"), F.col("main").alias("root"), F.lit(False))).distinct(), "placed")
+    doors = placed.where("open").select("key").distinct()
+    if doors.isEmpty():
+        return roots
+    held = placed.join(doors, "key", "left_semi").groupBy("th").agg(F.any_value("root").alias("root"), F.max("open").alias("open"))
+    maybe = shared_prefixes(stash(held.join(sets, "th"), "held"), threshold=threshold)
+    more = stash(compared(maybe.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold).where("ok").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "more")
+    if more.isEmpty():
+        return roots
+    joined = stash(components(more), "joined")
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return stash(moved.select("node", F.coalesce("to", "root").alias("root")).union(joined), "roots")
+
+
+def signed_texts(docs: DataFrame, id_col: str, text_col: str, *, k: int, bands: int, width: int, weighting: str) -> DataFrame:
+    """`signatures` of the texts, stored, under the MD5 ``th`` of each."""
     text = text_of(text_col)
     given = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("th"), text.alias("text"))
-    signed = stash(signatures(given, k=k, bands=bands, width=width, weighting=weighting), "signed")
-    per_id = signed.groupBy("th", "id").agg(F.count("*").alias("rows"))
-    firsts = per_id.groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rows")).alias("f")).select("th", F.col("f.id").alias("first"), F.col("f.rows").alias("rows"))
-    links = near_links(signed, threshold=threshold, weighted=weighting == "tf", small=small)
-    roots = components(links)
-    return signed, stash(firsts.join(roots.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")), "rooted")
+    return stash(signatures(given, k=k, bands=bands, width=width, weighting=weighting), "signed")
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 16) -> DataFrame:
     """``id_col, class_id`` for every row: the least id of its class of near copies.
 
     Classes are connected components of texts whose shingle similarity reaches ``threshold`` (weighting "binary": sets;
-    "tf": counts). Words are runs of anything but ASCII white space. A null text is empty; empty texts, and other texts without a word, are only
-    alike if equal. Equal texts share a class. A null id loses to any other. Repeated rows each get their row.
+    "tf": a shingle weighs the times it occurs; "log": 1 plus the whole part of the binary logarithm of these, so that
+    repeated lines count for more than once without outweighing the rest). Words are runs of anything but ASCII white space. A null text is empty;
+    empty texts, and other texts without a word, are only alike if equal. Equal texts share a class. A null id loses to
+    any other. Repeated rows each get their row, very long texts are read whole, an empty table gives no rows, and other
+    columns are ignored.
     """
-    signed, rooted = rooted_texts(docs, id_col, text_col, threshold, k, bands, width, weighting, small)
-    named = stash(rooted.groupBy("root").agg(F.min("first").alias("class_id")), "named")
-    by_text = rooted.select("th", "root").join(named, "root").select("th", "class_id")
-    return signed.select("id", "th").join(by_text, "th").select(F.col("id").alias(id_col), "class_id")
+    signed = signed_texts(docs, id_col, text_col, k=k, bands=bands, width=width, weighting=weighting)
+    roots = near_roots(signed, threshold=threshold, small=small).select(F.col("node").alias("th"), "root")
+    labelled = stash(signed.select("id", "th").join(roots, "th", "left").select("id", F.coalesce("root", "th").alias("root")), "labelled")
+    named = stash(labelled.groupBy("root").agg(F.min("id").alias("class_id")), "named")
+    return labelled.join(named, "root").select(F.col("id").alias(id_col), "class_id")
 
 
-def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Exactly one row of each class: of its least id, and of the rows that share that id and text the one with the least hash."""
-    _, rooted = rooted_texts(docs, id_col, text_col, **options)
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "th", "rows")).alias("b"))
-    keep = stash(best.select(F.col("b.first").alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "keep")
+def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, k: int = 100, bands: int = 20, width: int = 5, weighting: str = "binary", small: int = 16) -> DataFrame:
+    """Exactly one row of each class: of its least id, and of the rows that share that id and text the one with the least hash.
+
+    Classes, nulls, empty and long texts as in `near_classes`; all columns stay as they are.
+    """
+    signed = signed_texts(docs, id_col, text_col, k=k, bands=bands, width=width, weighting=weighting)
+    roots = near_roots(signed, threshold=threshold, small=small).select(F.col("node").alias("th"), "root")
+    rows = signed.groupBy("th", "id").agg(F.count("*").alias("rows")).join(roots, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rows")).alias("b"))
+    keep = stash(best.select(F.col("b.id").alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "keep")
     th = F.unhex(F.md5(text_of(text_col).cast("binary")))
     hit = lambda kept: docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th")))
     one, many = hit(keep.where("_rows = 1")).select(*docs.columns), keep.where("_rows > 1")
@@ -354,4 +356,4 @@ def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op7_dartminhash(spark, sf_dir: str) -> DataFrame:
-    return near_classes(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_classes(load(spark, sf_dir, "documents").select("doc_id", "text"), weighting="log")

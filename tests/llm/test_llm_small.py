@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn.llm import components, dartminhash, imatch, langid, lines, mixing, pieces, quality, suffixes, toxicity, warc
@@ -202,12 +203,11 @@ def test_one_row_per_class_of_repeated_and_null_rows(spark):
     assert {r.text for r in got if r.doc_id} == {base, rows[3][1]}
 
 
-@pytest.mark.parametrize("weighted", [False, True])
-def test_separate_pairs_of_one_large_bucket(spark, weighted):
+def test_separate_pairs_of_one_large_bucket(spark):
     """Pairs that share a bucket with many unlike texts of one template; the unlike ones come first as pivots."""
 
     def row(name, keys):
-        packed = np.sort(np.array(keys, np.uint32)).tobytes() + (np.ones(len(keys), np.uint16).tobytes() if weighted else b"")
+        packed = np.sort(np.array(keys, np.uint32)).tobytes()
         return bytearray(f"{name:016}".encode()), len(keys), [7], bytearray(packed)
 
     rows, want = [], set()
@@ -218,8 +218,8 @@ def test_separate_pairs_of_one_large_bucket(spark, weighted):
             rows.append(row(2 * i + 1, [*range(50), *own[:45]]))
             want.add((2 * i, 2 * i + 1))
     signed = spark.createDataFrame(rows, "th binary, n long, bands array<long>, shingles binary")
-    links = dartminhash.near_links(signed, threshold=0.8, weighted=weighted, small=16)
-    assert {(int(r.a), int(r.b)) for r in links.collect()} == want
+    roots = dartminhash.near_roots(signed, threshold=0.8)
+    assert {(int(r.root), int(r.node)) for r in roots.collect()} == want
 
 
 def test_weighted_signatures_estimate_weighted_jaccard():
@@ -238,6 +238,50 @@ def test_counted_shingles(spark):
     assert got[0] == got[1] == 0 and got[2] == 2
 
 
+def test_counted_shingles_with_damped_weights(spark):
+    """A phrase repeated very often neither makes unlike texts alike nor counts only once."""
+    texts = [f"{'very same words again and ' * 200} {sample(60, i)}" for i in range(3)] + [sample(80)]
+    got = [r.class_id for r in dartminhash.near_classes(docs(spark, texts), weighting="log").orderBy("doc_id").collect()]
+    assert got == [0, 1, 2, 3]
+    assert [r.class_id for r in dartminhash.near_classes(docs(spark, texts), weighting="tf").orderBy("doc_id").collect()] == [0, 0, 0, 3]
+
+
+@pytest.mark.parametrize("small", [2, 16])
+def test_all_near_pairs_of_the_tables_are_linked(spark, small):
+    """Recall and precision over all pairs of sf0.01 that share a shingle; small=2 sends every larger bucket through the pivots."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in given.select("doc_id", "text").collect()]
+    weights, holders = [], collections.defaultdict(list)
+    for i, (_, t) in enumerate(rows):
+        w = WORD.findall(t)
+        times = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+        weights.append({s: n.bit_length() for s, n in times.items()})
+        for s in times:
+            holders[s].append(i)
+    shared = collections.Counter()
+    for s, at in holders.items():
+        for x, i in enumerate(at):
+            for j in at[x + 1 :]:
+                shared[i, j] += min(weights[i][s], weights[j][s])
+    mass = [sum(w.values()) for w in weights]
+    alike = {p for p, both in shared.items() if both >= 0.8 * (mass[p[0]] + mass[p[1]] - both) - 1e-9}
+    assert len(alike) > 50
+    got = {r.doc_id: r.class_id for r in dartminhash.near_classes(given, weighting="log", small=small).collect()}
+    found = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in alike)
+    assert found >= 0.99 * len(alike)
+    root = {d: d for d, _ in rows}
+    for i, j in alike:
+        a, b = root[rows[i][0]], root[rows[j][0]]
+        for d, r in root.items():
+            if r == max(a, b):
+                root[d] = min(a, b)
+    same_text = collections.defaultdict(set)
+    for d, t in rows:
+        same_text[t].add(root[d])
+    assert all(got[a] == got[b] for t in same_text.values() for a in t for b in t)
+    assert found < len(alike) or len(set(got.values())) >= len(set(root.values())) - sum(len(t) - 1 for t in same_text.values())
+
+
 def test_components(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 4), (10, 9)], "a int, b int")
     got = {r.node: r.root for r in components.components(df).collect()}
@@ -362,10 +406,26 @@ def test_pieces_equal_the_library(spark):
     for i, t in enumerate(texts):
         ids = lib.encode(t or "")
         assert got[i] == (",".join(map(str, ids)), len(ids), lib.decode(ids))
+    empty = pieces.encode_decode(docs(spark, []), add=("ids_sha256", "n_pieces"))
+    assert empty.columns[-2:] == ["ids_sha256", "n_pieces"] and empty.count() == 0
     rows = spark.createDataFrame([(1, lib.encode("hello wörld")), (2, []), (3, None)], "id int, ids array<int>")
     assert [r.decoded for r in pieces.decode_ids(rows).orderBy("id").collect()] == ["hello wörld", "", ""]
 
 
+def test_pieces_of_long_texts_with_full_caches():
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    with open(pieces.default_model(), "rb") as f:
+        small = pieces.PieceTable(f.read(), cache_units=50, cache_pairs=40)
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("etaoinshrdlu日ß") for _ in range(30_000)), None, sample(30_000), "a" * 100_000, "", " x" * 500, sample(40)]
+    for _ in range(2):
+        got = [pair for part in pieces.slices(pa.array(texts)) for pair in small.both(part)]
+        assert got == [(",".join(map(str, lib.encode(t or ""))), lib.decode(lib.encode(t or ""))) for t in texts]
+    assert len(small.units) + len(small.odd) < 40_000
+
+
 # 9: languages
 
 
