@@ -7,7 +7,6 @@ docs. All but the last keep the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm import dartminhash, langid, lines, mixing, pieces
 from cairn.llm.common import fold, load, stash
@@ -25,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id stays."""
-    return dartminhash.one_per_class(docs)
+    return dartminhash.one_per_class(docs, weighting="log")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, their number, and a digest of the text decoded from them."""
-    coded = pieces.encode_decode(docs)
-    return coded.select(*docs.columns, F.col("n_pieces").alias("n_tokens"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = pieces.encode_decode(docs, add=("n_pieces", "piece_ids", "decoded_sha256"))
+    return coded.withColumnRenamed("n_pieces", "n_tokens")
 
 
 STAGES = [
