@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, stash, text_of
+from .common import load, stash, text_of, unused
 from .components import components
 
 U = np.uint64
@@ -292,7 +292,7 @@ def near_roots(signed: DataFrame, *, threshold: float, small: int = 16) -> DataF
     large = stash(many.join(pivots, "key").where(F.col("th") != F.col("pivot.th")).select("key", "th", "n", "pivot"), "large")
     meet = large.where(near(F.col("n"), F.col("pivot.n"))).select(F.least("pivot.th", "th").alias("a"), F.greatest("pivot.th", "th").alias("b"))
     wanted = listed.select(F.inline(pairs)).union(meet).distinct()
-    sets = stash(signed.select("th", "shingles").join(members.select("th"), "th", "left_semi").dropDuplicates(["th"]), "sets")
+    sets = stash(signed.select("th", "shingles").dropDuplicates(["th"]).join(members.select("th"), "th", "left_semi"), "sets")
     tested = stash(compared(wanted, sets, threshold), "tested")
     roots = stash(components(tested.where("ok")), "roots")
 
@@ -345,14 +345,15 @@ def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     roots = near_roots(signed, threshold=threshold, small=small).select(F.col("node").alias("th"), "root")
     rows = signed.groupBy("th", "id").agg(F.count("*").alias("rows")).join(roots, "th", "left").withColumn("root", F.coalesce("root", "th"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rows")).alias("b"))
-    keep = stash(best.select(F.col("b.id").alias("_id"), F.col("b.th").alias("_th"), F.col("b.rows").alias("_rows")), "keep")
+    own_id, own_th, n, row = (unused(docs, c) for c in ("id", "th", "n", "row"))
+    keep = stash(best.select(F.col("b.id").alias(own_id), F.col("b.th").alias(own_th), F.col("b.rows").alias(n)), "keep")
     th = F.unhex(F.md5(text_of(text_col).cast("binary")))
-    hit = lambda kept: docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")) & (th == F.col("_th")))
-    one, many = hit(keep.where("_rows = 1")).select(*docs.columns), keep.where("_rows > 1")
+    hit = lambda kept: docs.join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (th == F.col(own_th)))
+    one, many = hit(keep.where(F.col(n) == 1)).select(*docs.columns), keep.where(F.col(n) > 1)
     if many.isEmpty():
         return one
-    least = hit(many).groupBy("_id", "_th").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
-    return one.unionByName(least.select("_row.*"))
+    least = hit(many).groupBy(own_id, own_th).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row))
+    return one.unionByName(least.select(f"{row}.*"))
 
 
 def op7_dartminhash(spark, sf_dir: str) -> DataFrame:
