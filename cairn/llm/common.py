@@ -16,8 +16,10 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. A temporary one stands in only where none is named, as in local tests."""
+    """The folder that the cluster shares. Only a local session, as in tests, gets a temporary one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(named)
@@ -69,13 +71,19 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def bounded_sample(rows: DataFrame, hash_col: str, most: int) -> list:
-    """At most ``most`` rows, those with the least 64-bit hash, brought to the driver.
+def bounded_sample(rows: DataFrame, hash_col: str, most: int, by: str | None = None, least: int = 1) -> list:
+    """At most ``most`` rows, those with the least 64-bit hash, brought to the driver; shared by the values of ``by`` if named, ``least`` each.
 
     Counting first lets the tasks send little more than the sample: only hashes below the share that is wanted.
     """
-    n = rows.count()
-    if n > 2 * most:
-        share = (1.2 * most + 100) / n
-        rows = rows.where(F.col(hash_col) < F.lit(int(-(2**63) + share * 2**64)))
-    return rows.orderBy(hash_col, *[c for c in rows.columns if c != hash_col]).limit(most).collect()
+    groups = rows.groupBy(F.col(by) if by else F.lit(0)).count().collect()
+    each = max(least, most // max(1, len(groups)))
+    share = lambda n: min(1.0, (1.2 * each + 100) / n)
+    cut = F.lit(None).cast("long")
+    for value, n in groups:
+        top = min(2**63 - 1, int(-(2**63) + share(n) * 2**64))
+        cut = F.when(F.col(by) == value, F.lit(top)).otherwise(cut) if by else F.lit(top)
+    drawn = {}
+    for row in sorted(rows.where(F.col(hash_col) <= cut).collect(), key=lambda r: (r[hash_col], str(r))):
+        drawn.setdefault(row[by] if by else 0, []).append(row)
+    return [row for group in drawn.values() for row in group[:each]]

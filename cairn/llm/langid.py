@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, load
+from .common import bounded_sample, fold, load, unused
 
 LETTERS = re.compile(r"[^\W\d_]+")
 # First code points of Unicode script ranges and the scripts that begin there.
@@ -95,13 +95,17 @@ class LanguageModel:
         return (out - out.max(1, keepdims=True)).astype(np.float32)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, max_chars: int = 100_000) -> LanguageModel:
-    """Fit on at most ``max_rows`` labelled rows of at most ``max_chars`` characters, chosen by a hash of their id.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, least_rows: int = 50, max_chars: int = 100_000) -> LanguageModel:
+    """Fit on a sample of labelled rows, chosen by a hash of their id.
 
-    The bound keeps the sample in the driver's memory; no other row is held back from scoring.
+    Each language gives ``max_rows`` shared by the number of languages, but ``least_rows`` at least, so a rare one is learned
+    too. Of a row longer than ``max_chars`` so many characters are learned from, from a place that the hash picks. These bounds
+    keep the sample in the driver's memory; no row is held back from scoring.
     """
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= max_chars))
-    rows = bounded_sample(usable.select(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "h", max_rows)
+    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(9))
+    begin = F.pmod(h, F.greatest(F.length(text_col) - max_chars, F.lit(0)) + 1).cast("int") + 1
+    rows = bounded_sample(usable.select(h.alias("h"), F.substring(F.col(text_col), begin, F.lit(max_chars)).alias("text"), F.col(lang_col).alias("lang")), "h", max_rows, "lang", least_rows)
     langs = sorted({r.lang for r in rows})
     counts, by_script, seen = np.zeros((BUCKETS, max(1, len(langs)))), np.zeros((len(SCRIPTS), max(1, len(langs)))), np.zeros(max(1, len(langs)))
     for k, lang in enumerate(langs):
@@ -173,8 +177,10 @@ class Labeller:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, len(self.model.langs)), np.float32)
+        self.known = np.zeros(0, bool)
 
-    def words(self, words: list[str]) -> np.ndarray:
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of words, and whether any language is written in their script."""
         if len(self.index) > self.limit:
             self.clear()
         get, fresh = self.index.get, len(self.index)
@@ -185,8 +191,10 @@ class Labeller:
                     self.index[w] = len(self.index)
             new = list(self.index)[fresh:]
             self.table = np.concatenate([self.table, *[self.model.word_scores(new[a : a + 50_000]) for a in range(0, len(new), 50_000)]])
+            self.known = np.concatenate([self.known, self.model.allowed[scripts_of(new)].any(1)])
             ids = [self.index[w] for w in words]
-        return self.table[np.array(ids, dtype=np.int64)]
+        at = np.array(ids, dtype=np.int64)
+        return self.table[at], self.known[at]
 
     def label(self, texts: list[str | None], spans: bool) -> tuple[list, list, list]:
         langs, preds, shares, found = self.model.langs, [], [], []
@@ -204,14 +212,15 @@ class Labeller:
                 end += 1
             sizes = np.array(sizes)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            scores = self.words(flat) + (1e-6 * self.model.prior).astype(np.float32) if flat else np.zeros((0, max(1, len(langs))), np.float32)
+            scores, known = self.words(flat) if flat else (np.zeros((0, len(langs)), np.float32), np.zeros(0, bool))
+            scores = scores + (1e-6 * self.model.prior).astype(np.float32)
             path = best_paths(scores, starts, sizes, self.penalty)
             letters = np.fromiter(map(len, flat), np.float64, len(flat))
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            weight = np.bincount(doc * max(1, len(langs)) + path, letters, len(sizes) * max(1, len(langs))).reshape(len(sizes), -1)
-            best, total = weight.argmax(1), weight.sum(1)
+            weight = np.bincount(doc * len(langs) + path, letters * known, len(sizes) * len(langs)).reshape(len(sizes), -1)
+            best, total = weight.argmax(1), np.bincount(doc, letters, len(sizes))
             for d in range(len(sizes)):
-                ok = total[d] > 0 and langs
+                ok = total[d] > 0
                 preds.append(langs[best[d]] if ok else UNDETERMINED)
                 shares.append(float(weight[d, best[d]] / total[d]) if ok else 0.0)
                 if spans:
@@ -235,8 +244,10 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", penalty: float = 8.0, spans: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` (share of letters in spans of that language) and, if asked, ``lang_spans``.
 
-    A null text, or one without a letter, is `und` with score 0 and no spans. Ties go to the language first by name.
-    Texts of any length are read whole. All other columns pass through; ones named like the new ones are replaced.
+    A null text, or one without a letter, is `und` with score 0 and no spans. Letters of a script that no language is written in
+    count for none: a text of only such letters has score 0. Ties go to the language first by name. Texts of any length
+    are read whole. Repeated rows get equal values, an empty table gives no rows, and a model of no languages says `und`.
+    All other columns pass through; ones named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
@@ -248,14 +259,16 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", p
             preds, shares, found = labeller.label(texts.tolist(), spans)
             yield pd.DataFrame({"lang": preds, "score": shares, "spans": found if spans else [None] * len(preds)})
 
-    made = docs.withColumn("_lang", label(F.col(text_col))).withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score")})
-    return (made.withColumn("lang_spans", F.col("_lang.spans")) if spans else made).drop("_lang")
+    out = unused(docs, "lang")
+    made = docs.withColumn(out, label(F.col(text_col))).withColumns({"lang_pred": F.col(out)["lang"], "lang_score": F.col(out)["score"]})
+    return (made.withColumn("lang_spans", F.col(out)["spans"]) if spans else made).drop(out)
 
 
 def accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with a letter and at least share ``least`` of letters in one language; their columns as they were."""
-    marked = identify(docs.withColumn("_row", F.struct(*docs.columns)), model, text_col=text_col)
-    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select("_row.*")
+    row = unused(docs, "row")
+    marked = identify(docs.select(text_col, F.struct(*docs.columns).alias(row)), model, text_col=text_col)
+    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(f"{row}.*")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every window of three lines that have a word is hashed; the first place of each window in the corpus, by document id and
 line, stays, and a later place covers its lines. Covered lines of a document are merged and removed. Only hashes and
-places are shuffled by window; texts move once, to meet the places that they lose.
+places are shuffled by window; texts move once, to meet the places that they lose. A document goes by its id and a hash
+of its text, so different texts under one id are different documents.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, load, text_of
+from .common import WORD, load, text_of, unused
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -22,41 +23,44 @@ def worded_lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id``, the window's 128-bit hash ``h1, h2``, its place ``at``, and the numbers of its lines."""
-    lines = docs.select(F.col(id_col).alias("id"), worded_lines(text_of(text_col)).alias("l")).where(F.size("l") >= width)
+    """``id`` and text hash ``th`` of the document, the window's 128-bit hash ``h1, h2``, its place ``at``, and the numbers of its lines."""
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), worded_lines(text_of(text_col)).alias("l")).where(F.size("l") >= width)
 
     def one(i: Column) -> Column:
         s = [F.element_at("l", i + k)["s"] for k in range(width)]
         return F.struct(F.xxhash64(*s).alias("h1"), F.xxhash64(F.lit("again"), *s).alias("h2"), i.alias("at"), F.array(*[F.element_at("l", i + k)["n"] for k in range(width)]).alias("lines"))
 
-    return lines.select("id", F.inline(F.transform(F.sequence(F.lit(1), F.size("l") - (width - 1)), one)))
+    return lines.select("id", "th", F.inline(F.transform(F.sequence(F.lit(1), F.size("l") - (width - 1)), one)))
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``id`` and ``gone``: the sorted line numbers that later places of repeated windows cover, where there are any.
+    """``id``, ``th`` and ``gone``: the sorted line numbers that later places of repeated windows cover, where there are any.
 
     Only windows that repeat are joined back, so a window in a third of all documents is one row on the small side and
     a key that adaptive execution can split on the other.
     """
     found = windows(docs, id_col, text_col, width)
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).where(~F.struct("id", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("gone"))
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "at").eqNullSafe(F.col("first")))
+    return later.groupBy("id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``docs`` with the text less its repeated lines, plus ``n_lines`` and ``n_removed``.
 
     Lines without a word are in no window and stay. A null text is empty. Documents with fewer than ``width`` worded
-    lines lose nothing. Rows with equal ids count as one document at one place, so neither loses lines to the other;
-    a null id sorts first. Columns named ``n_lines`` or ``n_removed`` are replaced, all others pass through.
+    lines lose nothing; very long texts are read whole; an empty table gives no rows. Rows with equal ids and texts count as
+    one document at one place, so neither loses lines to the other; rows with equal ids and other texts are documents of
+    their own, in the order of a hash of the text. A null id sorts first. Columns named ``n_lines`` or ``n_removed`` are replaced, all others pass through.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, width=width).select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    both = docs.select(*kept).withColumn(text_col, text_of(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    counted = both.withColumns({"_lines": F.split(text_col, "\n", -1), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}).withColumn("n_lines", F.size("_lines"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    own_id, own_th, own_gone, own_lines = (unused(docs, c) for c in ("id", "th", "gone", "lines"))
+    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, width=width).toDF(own_id, own_th, own_gone)
+    given = docs.select(*kept).withColumn(text_col, text_of(text_col))
+    both = given.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_th)), "left")
+    counted = both.withColumns({own_lines: F.split(text_col, "\n", -1), "n_removed": F.coalesce(F.size(own_gone), F.lit(0))}).withColumn("n_lines", F.size(own_lines))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col(own_gone)), lambda i: F.get(own_lines, i))
+    text = F.when(F.col(own_gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return counted.withColumn(text_col, text).select(*kept, "n_lines", "n_removed")
 
 

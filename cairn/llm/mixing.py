@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, load, let, stash
+from .common import WORD, load, let, stash, unused
 
 WEIGHTS = (5, 2, 1)
 #: Knot times shared by all schedules, and the densities of the sources in turn: fading, level, rising.
 KNOTS = (0.0, 0.5, 1.0)
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-BUCKET_BITS = 10
+#: Cells of a source hold about so many rows.
+CELL_ROWS = 4096
 
 
 def source_targets(sums: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -87,7 +88,8 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, more: S
 
 
 def _plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2, more: Sequence[str] = ()) -> DataFrame:
-    sized = sized.withColumn("cell", F.shiftright("h", 60 - BUCKET_BITS))
+    bits = min(40, max(4, (sized.count() // CELL_ROWS).bit_length()))  # the more rows, the more cells; the plan is the same with any number
+    sized = sized.withColumn("cell", F.shiftright("h", 60 - bits))
     cells = sized.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
     targets = source_targets(cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size")), weights, share, epochs)
     before = F.coalesce(F.sum("cell_size").over(Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -112,23 +114,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     The columns of ``docs`` stay as they are; the text of a copy that its source's target cuts holds the words before
     the cut, joined by spaces. Rows are told apart by a 128-bit hash of all their columns; the copies planned for equal
-    rows are all made from one of them.
+    rows are all made from one of them. Null and empty texts have no words and are not taken; an empty table gives no rows.
     """
-    kind = ["_k1", "_k2"]
+    kind, own_size, copy = [unused(docs, "k1"), unused(docs, "k2")], unused(docs, "size"), unused(docs, "copy")
     cells = [F.col(c) for c in docs.columns] + [F.col(c).isNull() for c in docs.columns]
-    marked = docs.withColumns({"_k1": F.xxhash64(*cells), "_k2": F.xxhash64(F.lit(1), *cells)})
+    marked = docs.withColumns({kind[0]: F.xxhash64(*cells), kind[1]: F.xxhash64(F.lit(1), *cells)})
     sized = _sized(marked, id_col, text_col, source_col, kind)
     plan = _plan(sized, weights, share, epochs, kind)
-    copies = plan.select(*kind, F.col("size").alias("_size"), F.explode(F.arrays_zip(F.col("taken_by_copy").alias("n"), F.col("positions").alias("at"))).alias("_copy")).where("_copy.n > 0")
+    copies = plan.select(*kind, F.col("size").alias(own_size), F.explode(F.arrays_zip(F.col("taken_by_copy").alias("n"), F.col("positions").alias("at"))).alias(copy)).where(F.col(copy)["n"] > 0)
     again = stash(sized.groupBy(*kind).agg(F.count("*").alias("n")).where("n > 1").select(*kind), "again")
     if not again.isEmpty():
         marked = marked.join(again, kind, "left_anti").unionByName(marked.join(again, kind, "left_semi").dropDuplicates(kind))
     hit = marked.join(copies, kind)
-    cut = let(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), lambda w: F.array_join(F.slice(w, F.lit(1), F.col("_copy.n").cast("int")), " "))
-    shaped = hit.withColumn(text_col, F.when(F.col("_copy.n") < F.col("_size"), cut).otherwise(F.col(text_col)))
+    n, short = F.col(copy)["n"], F.col(copy)["n"] < F.col(own_size)
+    cut = let(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), lambda w: F.array_join(F.slice(w, F.lit(1), n.cast("int")), " "))
+    shaped = hit.withColumn(text_col, F.when(short, cut).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        shaped = shaped.withColumn("n_chars", F.when(F.col("_copy.n") < F.col("_size"), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return shaped.orderBy(F.col("_copy.at"), id_col).select(*docs.columns)
+        shaped = shaped.withColumn("n_chars", F.when(short, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+    return shaped.orderBy(F.col(copy)["at"], id_col).select(*docs.columns)
 
 
 def op2_curriculum_mix(spark, sf_dir: str) -> DataFrame:
