@@ -4,13 +4,15 @@ Terms whose document frequency lies in a band form the lexicon. A document keeps
 and hashes those that fall into each of several random subsets of the lexicon; the hashes side by side are its fingerprint,
 and the share of equal hashes is the likeness of two documents.
 
-The lexicon becomes an array literal of the plan. Its size is bounded twice: a term in a share ``low`` of all documents
-occurs at most (mean distinct terms) / ``low`` times, and of these at most ``max_terms`` stay, chosen by hash, which is one more
-random subset. With it, a fingerprint is a projection: no term is shuffled after counting.
+The lexicon becomes an array literal of the plan. Its size has a bound that does not grow with the corpus: each of its terms
+is in a share ``low`` of all documents at least, so there are at most (mean distinct terms of a document) / ``low`` of them.
+With it, a fingerprint is a projection: no term is shuffled after counting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,12 +29,15 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = 0.02, high: float = 0.2, max_terms: int = 8192) -> list[str]:
-    """The sorted terms with a document frequency from ``low`` to ``high`` of all rows: the chosen band of idf."""
+def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = 0.02, high: float = 0.2) -> list[str]:
+    """The sorted terms with a document frequency from ``low`` to ``high`` of all rows: the chosen band of idf.
+
+    A term counts once a row, repeated rows count each, a null text has none; an empty table has an empty lexicon.
+    """
     n = docs.count()
     each = docs.select(F.explode(F.array_distinct(terms(text_of(text_col)))).alias("term"))
     band = each.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= low * n) & (F.col("df") <= high * n))
-    return sorted((r.term for r in band.select("term").orderBy(F.md5(F.col("term").cast("binary")), "term").limit(max_terms).collect()), key=lambda t: t.encode())
+    return sorted((r.term for r in band.select("term").collect()), key=lambda t: t.encode())
 
 
 def fingerprint(text: Column, words: list[str], subsets: int = SUBSETS) -> Column:
@@ -58,7 +63,11 @@ def likeness(a: Column, b: Column, subsets: int = SUBSETS) -> Column:
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", words: list[str] | None = None, **band) -> DataFrame:
-    """``docs`` with ``fingerprint`` (hashes joined by dashes) and ``fingerprint_parts``. A null text counts as empty."""
+    """``docs`` with ``fingerprint`` (hashes joined by dashes) and ``fingerprint_parts``.
+
+    A null text counts as empty. Equal texts, so repeated rows too, have equal fingerprints; texts of any length are read
+    whole; an empty table gives no rows. Columns with the new names are replaced, all others pass through.
+    """
     words = lexicon(docs, text_col=text_col, **band) if words is None else words
     made = docs.withColumn("fingerprint_parts", fingerprint(text_of(text_col), words))
     return made.withColumn("fingerprint", F.array_join("fingerprint_parts", "-"))
@@ -79,32 +88,34 @@ def range_bucket(value: Column, bounds: list[int]) -> Column:
     return found["lo"]
 
 
-def with_next(rows: DataFrame, id_col: str, carried: list[str], rows_per_bucket: int = 512, most_buckets: int = 20_000) -> DataFrame:
-    """``rows`` with ``next`` (a struct of ``carried``): the row after it in descending order of a whole-number id, after the last the first.
+def with_next(rows: DataFrame, id_col: str, carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda rows: rows, rows_per_bucket: int = 512, most_buckets: int = 20_000) -> DataFrame:
+    """``derive(rows)`` with ``next`` (all its columns, of the next row): the row after it in descending order of a whole-number id, after the last the first.
 
-    Buckets are ranges of ids of about equal size, from approximate quantiles, so that no task orders all rows. A window
-    finds the next row inside a bucket; a bucket's last row gets the first row of the bucket below. Equal ids are
-    ordered by the carried columns; null ids come last.
+    Buckets are ranges of ids of about equal size, from approximate quantiles, so that no task orders all rows; beyond
+    ``rows_per_bucket * most_buckets`` rows they grow, and a task sorts its bucket with spilling. A window finds the next row
+    inside a bucket; a bucket's last row gets the first row of the bucket below. Equal ids are ordered by the
+    ``carried`` columns; null ids come last. ``derive`` adds columns row by row; of the first rows they are made again.
     """
     n = rows.count()
     buckets = max(1, min(most_buckets, n // rows_per_bucket))
     cuts = rows.agg(F.percentile_approx(F.col(id_col), [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] if buckets > 1 else None
     bucketed = rows.withColumn("_bucket", range_bucket(F.col(id_col), sorted(set(cuts or []))))
     order = Window.partitionBy("_bucket").orderBy(F.col(id_col).desc_nulls_last(), *carried)
-    placed = bucketed.withColumn("_next", F.lead(F.struct(*carried)).over(order)).withColumn("_turn", F.row_number().over(order))
-    heads = placed.where("_turn = 1").select(F.col("_bucket").alias("_below"), F.struct(*carried).alias("_head"))
+    heads = derive(bucketed.withColumn("_turn", F.row_number().over(order)).where("_turn = 1"))
+    made = [c for c in heads.columns if c not in ("_bucket", "_turn")]
+    heads = heads.select(F.col("_bucket").alias("_below"), F.struct(*made).alias("_head"))
+    placed = derive(bucketed).withColumn("_next", F.lead(F.struct(*made)).over(order))
     down = Window.orderBy(F.col("_below").desc())
     links = heads.select("_below", F.lead("_below").over(down).alias("_to"), F.max("_below").over(Window.partitionBy()).alias("_top"))
     heads = links.select(F.col("_below").alias("_bucket"), F.coalesce("_to", "_top").alias("_below")).join(heads, "_below").drop("_below")
     joined = placed.join(heads, (placed["_bucket"] == heads["_bucket"]) & placed["_next"].isNull(), "left")
-    return joined.select(*rows.columns, F.coalesce("_next", "_head").alias("next"))
+    return joined.select(*made, F.coalesce("_next", "_head").alias("next"))
 
 
 def op10_imatch(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
     words = lexicon(docs)
-    own = docs.withColumn("fp", fingerprint(F.col("text"), words))
-    pairs = with_next(own, "doc_id", ["text", "fp"]).withColumn("n_chars", F.length("text"))
+    pairs = with_next(docs, "doc_id", ["text"], lambda rows: rows.withColumn("fp", fingerprint(F.col("text"), words))).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring(F.col("next.text"), F.lit(1), half))
     done = pairs.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"), let(edited, lambda t: F.struct(F.sha2(t.cast("binary"), 256).alias("sha"), fingerprint(t, words).alias("fp"))).alias("e"))
@@ -126,8 +137,7 @@ v AS (SELECT doc_id, 0 AS v, text FROM e UNION ALL
       SELECT doc_id, 1, substr(text, 1, length(text) - length(text) // 2) || substr(nxt, 1, length(text) // 2) FROM e),
 w AS (SELECT DISTINCT doc_id, v, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM v),
 band AS (SELECT term FROM w WHERE v = 0 GROUP BY term HAVING count(*) >= 0.02 * (SELECT count(*) FROM t) AND count(*) <= 0.2 * (SELECT count(*) FROM t)),
-lex AS (SELECT term FROM band ORDER BY md5(term), term LIMIT 8192),
-f AS (SELECT doc_id, v, [{_PARTS}] AS fp FROM w JOIN lex USING (term) GROUP BY doc_id, v),
+f AS (SELECT doc_id, v, [{_PARTS}] AS fp FROM w JOIN band USING (term) GROUP BY doc_id, v),
 a AS (SELECT v.doc_id, v.v, v.text, coalesce(f.fp, list_transform(range({SUBSETS}), lambda i: substr(md5('text ' || lower(v.text)), 1, 16))) AS fp FROM v LEFT JOIN f USING (doc_id, v))
 SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(b.text) AS edited_sha256, array_to_string(o.fp, '-') AS fingerprint, array_to_string(b.fp, '-') AS edited_fingerprint,
        {_LIKE("o.fp", "b.fp")} AS near_edited, {_LIKE("o.fp", "n.fp")} AS near_next
