@@ -11,8 +11,10 @@ Round by round k grows towards ``length``. Spark groups the anchors by rank:
 - a rank whose anchors agree in all bytes that their windows cover: all repeat, they are past the threshold;
 - anything else is ranked again with a larger k, a range with the same bytes being carried on once.
 
-With k = length each window is its own anchor, so the last round decides what is left. Only hashes and places are shuffled by
-rank, in rows that are counted before they move, and texts move by their own hash.
+With k = length each window is its own anchor, so the last round decides what is left. Strings count as equal if two hashes of
+64 bits agree: rank and content cover different bytes, and in the last round, where both cover the window, the content is
+hashed to another base. Only hashes and places are shuffled by rank, in rows that are counted before they move, and texts move
+by their MD5.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, release, stash, text_of
-from .dartminhash import LETTER, U, mix, tables
+from .common import load, release, stash, text_of, unused
+from .dartminhash import LETTER, U, mix, powers, tables
 
 CHUNK = 1 << 20
 SEGMENT = 1 << 22
 PLACE = U((1 << 24) - 1)
+OTHER_BASE = 0xD6E8FEB86659FD93
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,6 +66,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     fits = first <= last
     first, last, owner = first[fits], last[fits], owner[fits]
     place = at[first]
+    if k == length:
+        steps = powers(OTHER_BASE, length)
+        content = np.zeros(len(first), np.uint64)
+        for i in range(length):
+            content += LETTER[data[first + i]] * steps[i]
+        return owner, first - offsets[owner], last - offsets[owner], h[place], mix(content)
     content = mix(mix((total[last + length] - total[first]) * inverse[first]) + ((place - first) * 65_536 + (last - first)).astype(np.uint64))
     return owner, first - offsets[owner], last - offsets[owner], h[place], content
 
@@ -95,7 +104,7 @@ def scan(pieces: DataFrame, length: int, k: int) -> DataFrame:
                         break
                 begin = end
 
-    return pieces.select("ref", "base", "known", "bytes").mapInArrow(run, "rank long, content long, ref long, base long, known boolean, first long, last long")
+    return pieces.select("ref", "base", "known", "bytes").mapInArrow(run, "rank long, content long, ref binary, base long, known boolean, first long, last long")
 
 
 def resolve(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,24 +158,25 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = 200
 
     A byte goes if a window that covers it starts anywhere else too, in the same document or another; every place of
     such a window loses it. Texts are UTF-8; null is empty; texts shorter than ``length`` lose nothing. Repeated rows
-    and equal texts are separate documents, so they lose all but what is too short. Texts are told apart by a 64-bit
-    hash. Columns with the new names are replaced, others pass through.
+    and equal texts are separate documents, so they lose all but what is too short. An empty table gives no rows.
+    Columns with the new names are replaced, others pass through.
     """
     made = ["kept", "n_bytes", "n_removed", "n_spans", "spans"]
     rest = [c for c in docs.columns if c not in made]
-    given = docs.select(*rest, text_of(text_col).cast("binary").alias("_bytes")).withColumn("_ref", F.xxhash64("_bytes"))
-    gone = repeated_windows(given.select(F.col("_ref").alias("ref"), F.col("_bytes").alias("bytes")), length, steps)
-    spans = stash(gone.groupBy("ref").agg(F.collect_set(F.struct("first", F.col("last").alias("last"))).alias("w")), "spans")
+    raw, ref, found, out = (unused(docs, c) for c in ("bytes", "ref", "found", "out"))
+    given = docs.select(*rest, text_of(text_col).cast("binary").alias(raw)).withColumn(ref, F.unhex(F.md5(raw)))
+    gone = repeated_windows(given.select(F.col(ref).alias("ref"), F.col(raw).alias("bytes")), length, steps)
+    spans = stash(gone.groupBy("ref").agg(F.collect_set(F.struct("first", "last")).alias(found)).withColumnRenamed("ref", ref), "spans")
     release(docs.sparkSession)
-    joined = given.join(spans, given["_ref"] == spans["ref"], "left")
+    joined = given.join(spans, ref, "left")
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>")
     def carve(texts: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
         rows = [carved(t, a, b, length) for t, a, b in zip(texts, first, last, strict=True)]
         return pd.DataFrame(rows, columns=["kept", "n_removed", "n_spans", "spans"])
 
-    done = joined.withColumn("_out", carve("_bytes", "w.first", "w.last"))
-    return done.select(*rest, F.octet_length("_bytes").cast("long").alias("n_bytes"), "_out.*")
+    done = joined.withColumn(out, carve(raw, F.col(found)["first"], F.col(found)["last"]))
+    return done.select(*rest, F.octet_length(raw).cast("long").alias("n_bytes"), f"{out}.*")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
