@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import tokens
+
 
 def clause(spec: Mapping) -> Column:
     """One clause: term, terms, range, exists, prefix, wildcard or contains.
@@ -62,6 +64,54 @@ def should_score(should: Sequence[tuple[Mapping, float]]) -> Column:
     return sum((F.when(clause(c), F.lit(float(b))).otherwise(0.0) for c, b in should), F.lit(0.0))
 
 
+def node_test(node: Mapping) -> tuple[Column, float]:
+    """The condition and the boost of a query node.
+
+    ``match`` with ``operator`` "or" / "and" and ``fuzziness`` "AUTO", ``match_phrase``, ``range`` and ``term``; each takes
+    ``boost`` beside its own settings.
+    """
+    ((kind, body),) = node.items()
+    ((field, given),) = body.items()
+    rest = dict(given)
+    boost = float(rest.pop("boost", 1.0))
+    if kind == "range":
+        return clause({"range": {field: rest}}), boost
+    if kind == "term":
+        return F.col(field) == F.lit(rest["value"]), boost
+    words = tokens(F.col(field))
+    if kind == "match_phrase":
+        asked = " ".join(rest["query"].lower().split())
+        return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {asked} ")), boost
+    if kind == "match":
+        auto = rest.get("fuzziness") == "AUTO"
+        tests = [_has_word(words, w, (0 if len(w) <= 2 else 1 if len(w) <= 5 else 2) if auto else 0) for w in rest["query"].lower().split()]
+        return (all_of if rest.get("operator", "or") == "and" else any_of)(tests), boost
+    raise ValueError(f"unknown node {kind}")
+
+
+def _has_word(words: Column, word: str, edits: int) -> Column:
+    if not edits:
+        return F.array_contains(words, word)
+    return F.exists(words, lambda t: t.startswith(word[:2]) & (F.levenshtein(t, F.lit(word)) <= edits))
+
+
+def node_score(nodes: Sequence[Mapping]) -> Column:
+    """The sum over nodes of the boost of each that holds; a ``multi_match`` counts its best field."""
+
+    def worth(test: Column, boost: float) -> Column:
+        return F.when(test, F.lit(boost)).otherwise(0.0)
+
+    parts = []
+    for node in nodes:
+        if "multi_match" in node:
+            rest = dict(node["multi_match"])
+            fields = [worth(*node_test({"match": {f: {"boost": b, **{k: v for k, v in rest.items() if k != "fields"}}}})) for f, b in rest["fields"].items()]
+            parts.append(F.greatest(*fields) if len(fields) > 1 else fields[0])
+        else:
+            parts.append(worth(*node_test(node)))
+    return sum(parts, F.lit(0.0))
+
+
 def page(df: DataFrame, order: Sequence[Column], start: int, size: int, most: int = 100) -> DataFrame:
     """Rows ``start`` to ``start + size`` in the order given, at most ``most``."""
     return df.orderBy(*order).offset(start).limit(min(size, most))

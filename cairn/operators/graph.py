@@ -39,6 +39,22 @@ def pair_counts(facts: DataFrame, item: str, feature: str, least: int = 1, most_
     return lists.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)
 
 
+def shared_pairs(facts: DataFrame, item: str, feature: str, least: int = 1) -> DataFrame:
+    """``a, b, together``: pairs of items ``a < b`` with at least ``least`` common features, and how many they have.
+
+    Each item's features are put in order, rare ones first. Two items with ``least`` common features out of n have one
+    among the first n - ``least`` + 1 of either, so only these are met on; common features join no rows unless an item has
+    nothing rarer. A pair counts where its first common feature is met, so it comes once without being grouped.
+    """
+    once = facts.select(item, feature).distinct()
+    often = once.groupBy(feature).agg(F.count("*").alias("n"))
+    lists = once.join(often, feature).groupBy(item).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", feature))), lambda x: x[feature]).alias("f"))
+    rows = lists.where(F.size("f") >= least).select(F.col(item).alias("i"), "f", F.explode(F.slice("f", F.lit(1), F.size("f") - (least - 1))).alias("met"))
+    a, b = rows.select(F.col("i").alias("a"), F.col("f").alias("fa"), "met"), rows.select(F.col("i").alias("b"), F.col("f").alias("fb"), "met")
+    both = a.join(b, "met").where("a < b").withColumn("common", F.array_intersect("fa", "fb"))
+    return both.where((F.get("common", F.lit(0)) == F.col("met")) & (F.size("common") >= least)).select("a", "b", F.size("common").cast("long").alias("together"))
+
+
 def lift(facts: DataFrame, item: str, feature: str, least: int = 5) -> DataFrame:
     """Feature pairs with lift = together x items / (count a x count b)."""
     single = facts.select(item, feature).distinct().groupBy(feature).agg(F.count("*").alias("n"))
@@ -82,11 +98,11 @@ def degrees(edge_table: DataFrame) -> DataFrame:
     return undirected(edge_table).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def component_labels(edge_table: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, label``: the least node that is connected, by minimum labels that jump to their label's label."""
+def component_labels(edge_table: DataFrame) -> DataFrame:
+    """``node, label``: the least node that is connected, by minimum labels that jump to their label's label, until none changes."""
     both = cut(undirected(edge_table))
     labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels.node == near.u).select("node", F.least("label", "near").alias("label"))
         jump = stepped.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -94,7 +110,6 @@ def component_labels(edge_table: DataFrame, rounds: int = 50) -> DataFrame:
         if new.join(labels, ["node", "label"], "left_anti").isEmpty():
             return new
         labels = new
-    return labels
 
 
 def top_per(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:

@@ -21,13 +21,8 @@ def nearest(corpus: DataFrame, vector: list[float], k: int, *, id_col: str = "ve
     return (scored if least is None else scored.where(F.col("score") >= least)).orderBy(F.desc("score"), "id").limit(k)
 
 
-def nearest_join(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2000, same: bool = False) -> DataFrame:
-    """``query_id, id, score, rank``: for each query its ``k`` nearest rows of the corpus.
-
-    Both sides are dealt into blocks by hash; a pair of blocks is one matrix product in an Arrow batch that returns ``k``
-    rows per query, and a window takes the best of those. The work is queries times corpus, in pieces of bounded size,
-    for a stated query set against all rows. ``same`` leaves out a row as its own neighbour.
-    """
+def block_pairs(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, block: int) -> DataFrame:
+    """``i, qv, ci, cv``: each pair of a block of queries and a block of the corpus, about ``block`` rows each, dealt by hash."""
     spark = corpus.sparkSession
     nq, nc = max(1, -(-queries.count() // block)), max(1, -(-corpus.count() // block))
 
@@ -36,17 +31,45 @@ def nearest_join(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str =
         return dealt.groupBy(f"{name}b").agg(F.collect_list(F.struct("i", "v")).alias(name))  # about ``block`` rows each
 
     pairs = spark.range(nq * nc).select((F.col("id") % nq).cast("int").alias("qb"), F.floor(F.col("id") / nq).cast("int").alias("cb"))
-    met = pairs.join(packed(queries, nq, "q"), "qb").join(packed(corpus, nc, "c"), "cb").select("q.i", F.col("q.v").alias("qv"), F.col("c.i").alias("ci"), F.col("c.v").alias("cv"))
+    return pairs.join(packed(queries, nq, "q"), "qb").join(packed(corpus, nc, "c"), "cb").select("q.i", F.col("q.v").alias("qv"), F.col("c.i").alias("ci"), F.col("c.v").alias("cv"))
+
+
+def block_scores(row, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of both blocks and their cosines; with ``same`` a row's own is minus infinity."""
+    a, b = (np.array([list(x) for x in m], np.float64) for m in (row.qv, row.cv))
+    na, nb = np.linalg.norm(a, axis=1, keepdims=True), np.linalg.norm(b, axis=1, keepdims=True)
+    score = (a / np.where(na == 0, 1, na)) @ (b / np.where(nb == 0, 1, nb)).T
+    qi, ci = np.array(row.i), np.array(row.ci)
+    if same:
+        score[qi[:, None] == ci[None, :]] = -np.inf
+    return qi, ci, score
+
+
+def pairs_reaching(queries: DataFrame, corpus: DataFrame, cuts: list[float], *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2000, same: bool = False) -> DataFrame:
+    """``cut, pairs``: how many pairs of the query set and the corpus reach each threshold, counted inside the blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                score = np.round(block_scores(row, same)[2], 9)
+                yield pd.DataFrame({"cut": cuts, "pairs": [int((score >= c).sum()) for c in cuts]})
+
+    return block_pairs(queries, corpus, id_col, vec_col, block).mapInPandas(run, "cut double, pairs long").groupBy("cut").agg(F.sum("pairs").alias("pairs"))
+
+
+def nearest_join(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2000, same: bool = False) -> DataFrame:
+    """``query_id, id, score, rank``: for each query its ``k`` nearest rows of the corpus.
+
+    Both sides are dealt into blocks by hash; a pair of blocks is one matrix product in an Arrow batch that returns ``k``
+    rows per query, and a window takes the best of those. The work is queries times corpus, in pieces of bounded size,
+    for a stated query set against all rows. ``same`` leaves out a row as its own neighbour.
+    """
+    met = block_pairs(queries, corpus, id_col, vec_col, block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                a, b = (np.array([list(x) for x in m], np.float64) for m in (row.qv, row.cv))
-                na, nb = np.linalg.norm(a, axis=1, keepdims=True), np.linalg.norm(b, axis=1, keepdims=True)
-                score = (a / np.where(na == 0, 1, na)) @ (b / np.where(nb == 0, 1, nb)).T
-                qi, ci = np.array(row.i), np.array(row.ci)
-                if same:
-                    score[qi[:, None] == ci[None, :]] = -np.inf
+                qi, ci, score = block_scores(row, same)
                 order = np.lexsort((np.broadcast_to(ci, score.shape), -np.round(score, 9)), axis=1)[:, :k]
                 out = pd.DataFrame({"query_id": np.repeat(qi, order.shape[1]), "id": ci[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
                 yield out[np.isfinite(out.score)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import geo
+from cairn.functions.text import tokens
 from cairn.operators import facets
 from cairn.plans.binding import listings, tagged_parts
 from cairn.sources.tables import table
@@ -111,8 +112,11 @@ def a20_segments(spark, d):
 
 
 def a22_hit_bands(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "benchmark").select(F.lower(F.split("text", " ")[0]).alias("word"), "item_id"), F.contains(F.lower("text"), F.col("word")))
-    hits = table(spark, d, "benchmark").select("item_id").join(docs.groupBy("item_id").agg(F.count("*").alias("hits")), "item_id", "left").na.fill(0, ["hits"])
+    """How many documents have any term of a query, in bands of that number."""
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    asked = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    found = docs.join(asked, "term").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("hits"))
+    hits = table(spark, d, "benchmark").select("item_id").join(found, "item_id", "left").na.fill(0, ["hits"])
     return hits.groupBy(facets.ladder(F.col("hits"), (1, 11, 101), ("none", "1-10", "11-100", "over 100")).alias("band")).agg(F.count("*").alias("queries"))
 
 
@@ -193,7 +197,7 @@ QUERIES = {
     "a19_luxury_share": (a19_luxury_share, f"SELECT city, count(*) FILTER (price > 300000) AS luxury, count(*) AS n, round(count(*) FILTER (price > 300000) / count(*), 6) AS share FROM {LISTED} GROUP BY 1"),
     "a20_segments": (a20_segments, f"SELECT city, {BAND_SQL.replace('o_totalprice', 'price')} AS segment, count(*) AS n, round(avg(price), 2) AS avg_price FROM {LISTED} GROUP BY 1, 2"),
     "a21_distribution": (lambda s, d: table(s, d, "part").groupBy("p_type", "p_size").agg(F.count("*").alias("n"), F.round(F.avg(F.size(F.split("p_name", " "))), 6).alias("avg_features")), "SELECT p_type, p_size, count(*) AS n, round(avg(len(string_split(p_name, ' '))), 6) AS avg_features FROM part GROUP BY 1, 2"),
-    "a22_hit_bands": (a22_hit_bands, "WITH h AS (SELECT item_id, count(doc_id) AS hits FROM (SELECT item_id, lower(string_split(text, ' ')[1]) AS word FROM benchmark) b LEFT JOIN documents d ON contains(lower(d.text), b.word) GROUP BY 1) SELECT CASE WHEN hits < 1 THEN 'none' WHEN hits < 11 THEN '1-10' WHEN hits < 101 THEN '11-100' ELSE 'over 100' END AS band, count(*) AS queries FROM h GROUP BY 1"),
+    "a22_hit_bands": (a22_hit_bands, "WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS term FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS term FROM documents), h AS (SELECT item_id, count(DISTINCT doc_id) AS hits FROM benchmark LEFT JOIN (SELECT item_id, doc_id FROM q JOIN t USING (term)) USING (item_id) GROUP BY 1) SELECT CASE WHEN hits < 1 THEN 'none' WHEN hits < 11 THEN '1-10' WHEN hits < 101 THEN '11-100' ELSE 'over 100' END AS band, count(*) AS queries FROM h GROUP BY 1"),
     "a23_metadata_counts": (a23_metadata_counts, "SELECT 'lang' AS field, coalesce(lang, 'null') AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'null'), count(*) FROM documents GROUP BY 2"),
     "a25_describe": (a25_describe, "SELECT p_type, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(median(p_retailprice), 4) AS median, round(stddev_samp(p_retailprice), 4) AS std FROM part GROUP BY 1"),
     "a26_correlation": (a26_correlation, "SELECT round(corr(l_extendedprice, l_quantity), 6) AS l_quantity, round(corr(l_extendedprice, l_discount), 6) AS l_discount, round(corr(l_extendedprice, l_tax), 6) AS l_tax FROM lineitem"),

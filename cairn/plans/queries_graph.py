@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from cairn.functions import text
 from cairn.operators import facets, graph
-from cairn.plans.binding import listing_features, listings, tagged_parts
+from cairn.plans.binding import listing_features, listing_parts, listings, tagged_parts
 from cairn.plans.queries_aggregate import BAND_SQL, BANDS, CUTS, LISTED
-from cairn.plans.queries_relational import FEATS
+from cairn.plans.queries_relational import FEATS, PARTS
 from cairn.sources.tables import table
 
 PB = BAND_SQL.replace("o_totalprice", "price")
@@ -19,13 +19,9 @@ def band():
     return facets.ladder(F.col("price"), CUTS, BANDS)
 
 
-def dear(s, d, least=380_000):
-    """Features of the dearest listings."""
-    few = listings(s, d).where(F.col("price") > least).select("listing_id", "price", "city", "place_id")
-    return listing_features(s, d).join(few, "listing_id")
-
-
-DEAR = f"(SELECT f.listing_id, f.feature, l.price, l.city, l.place_id FROM {FEATS} f JOIN {LISTED} l USING (listing_id) WHERE price > 380000)"
+def alike(s, d, least):
+    """Pairs of listings that share at least so many parts."""
+    return graph.shared_pairs(listing_parts(s, d), "listing_id", "feature", least)
 
 
 def g1_nodes(s, d):
@@ -68,13 +64,13 @@ def g15_dangling(s, d):
 
 
 def g20i_profile(s, d):
-    ls = listings(s, d).where("price > 450000").select("listing_id", "price", "city")
+    ls = listings(s, d).select("listing_id", "price", "city")
     f = listing_features(s, d)
     return ls.join(f, "listing_id", "left").groupBy("listing_id", "city").agg(F.array_join(F.slice(F.array_sort(F.collect_set("feature")), 1, 3), ",").alias("features"), F.countDistinct("feature").alias("n"))
 
 
 def g21_luxury(s, d):
-    return dear(s, d).where(F.col("feature").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21")).groupBy("listing_id").agg(F.array_join(F.array_sort(F.collect_set("feature")), ",").alias("has")).where(F.contains("has", F.lit(",")))
+    return listing_features(s, d).where(F.col("feature").isin("Brand#11", "Brand#12", "Brand#13", "Brand#21")).groupBy("listing_id").agg(F.array_join(F.array_sort(F.collect_set("feature")), ",").alias("has")).where(F.contains("has", F.lit(",")))
 
 
 def g22_pairs(s, d):
@@ -92,7 +88,7 @@ def g24_premium(s, d):
 
 
 def g25_rarity(s, d):
-    n = dear(s, d).groupBy("feature").agg(F.count("*").alias("n"))
+    n = listing_parts(s, d).groupBy("feature").agg(F.count("*").alias("n"))
     return n.withColumn("tier", facets.ladder(F.col("n"), (3, 10, 25), ("unique", "rare", "uncommon", "common"), closed_right=True))
 
 
@@ -102,7 +98,10 @@ def g27_tiers(s, d):
 
 
 def g28_type_city(s, d):
-    return listings(s, d).groupBy("kind", "city").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("place_id") > 0, F.col("price") / F.col("place_id"))), 4).alias("per_unit"))
+    """The units of a listing stand for its area."""
+    units = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("listing_id")).agg(F.sum("l_quantity").alias("units"))
+    per = F.when(F.col("units") > 0, F.col("price") / F.col("units"))
+    return listings(s, d).join(units, "listing_id", "left").groupBy("kind", "city").agg(F.count("*").alias("n"), F.round(F.avg(per), 4).alias("per_unit"))
 
 
 def g29_undervalued(s, d):
@@ -128,9 +127,8 @@ def g31_adoption(s, d):
 
 
 def g32_competitors(s, d):
-    """Listings with at least three others that share three features: pairs of listings are counted by feature."""
-    pairs = graph.pair_counts(dear(s, d, 440_000), "feature", "listing_id", 2)
-    return graph.undirected(pairs).groupBy(F.col("u").alias("listing_id")).agg(F.count("*").alias("competitors")).where("competitors >= 3")
+    """Listings with at least three others that share two features."""
+    return graph.undirected(alike(s, d, 2)).groupBy(F.col("u").alias("listing_id")).agg(F.count("*").alias("competitors")).where("competitors >= 3")
 
 
 def g33_direct(s, d):
@@ -143,13 +141,13 @@ def g34_gaps(s, d):
 
 
 def g36_distribution(s, d):
-    pairs = graph.pair_counts(dear(s, d, 440_000), "feature", "listing_id")
-    return pairs.agg(F.round(F.percentile("together", 0.5), 4).alias("median"), F.round(F.avg("together"), 6).alias("mean"), F.max("together").alias("most"))
+    """From how many pairs share each number of features, which is all that the median needs."""
+    by = alike(s, d, 1).groupBy("together").agg(F.count("*").alias("n"))
+    return by.agg(F.round(F.percentile("together", 0.5, F.col("n")), 4).alias("median"), F.round(F.sum(F.col("together") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.max("together").alias("most"))
 
 
 def g37_hubs(s, d):
-    pairs = graph.pair_counts(dear(s, d, 440_000), "feature", "listing_id", 2)
-    return graph.degrees(pairs).where("degree >= 3")
+    return graph.degrees(alike(s, d, 2)).where("degree >= 3")
 
 
 def g38_influence(s, d):
@@ -174,13 +172,13 @@ def g40_upgrades(s, d):
 
 
 def g42_paths(s, d):
-    pairs = graph.pair_counts(dear(s, d, 440_000), "feature", "listing_id", 2)
+    pairs = alike(s, d, 2)
     start = pairs.select(F.min("a").alias("node"))
     return graph.shortest_paths(pairs, start, 5).select("node", "hops")
 
 
 def g44_components(s, d):
-    return graph.component_labels(graph.pair_counts(dear(s, d, 440_000), "feature", "listing_id", 2))
+    return graph.component_labels(alike(s, d, 2))
 
 
 def g45_coverage(s, d):
@@ -197,7 +195,7 @@ def g47_correlation(s, d):
     return tagged_parts(s, d).select(F.explode("tags").alias("tag"), "brand").groupBy("tag", "brand").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-PAIRS = f"(SELECT a.listing_id AS a, b.listing_id AS b, count(*) AS together FROM {DEAR.replace('380000', '440000')} a JOIN {DEAR.replace('380000', '440000')} b ON a.feature = b.feature AND a.listing_id < b.listing_id GROUP BY 1, 2)"
+PAIRS = f"(SELECT a.listing_id AS a, b.listing_id AS b, count(*) AS together FROM {PARTS} a JOIN {PARTS} b ON a.feature = b.feature AND a.listing_id < b.listing_id GROUP BY 1, 2)"
 SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
 QUERIES = {
     "g1_nodes": (g1_nodes, f"SELECT 'listing' AS node_label, count(DISTINCT listing_id) AS n FROM {LISTED} UNION ALL SELECT 'place', count(DISTINCT place_id) FROM {LISTED} UNION ALL SELECT 'city', count(DISTINCT city) FROM {LISTED} UNION ALL SELECT 'state', count(DISTINCT state) FROM {LISTED} UNION ALL SELECT 'feature', count(DISTINCT feature) FROM {FEATS} UNION ALL SELECT 'band', count(DISTINCT {PB}) FROM {LISTED}"),
@@ -205,14 +203,14 @@ QUERIES = {
     "g8_describes": (g8_describes, "SELECT DISTINCT 'article:' || doc_id AS from_id, 'place:' || unnest([doc_id % 10, doc_id % 7]) AS to_id, 'DESCRIBES' AS relationship_type, 1.0::DOUBLE AS weight FROM labels"),
     "g13_near": (g13_near, f"WITH p AS (SELECT DISTINCT place_id, city FROM {LISTED}) SELECT a.place_id AS a, b.place_id AS b FROM p a JOIN p b USING (city) WHERE a.place_id <> b.place_id"),
     "g15_dangling": (g15_dangling, "SELECT 'to' AS \"end\", count(*) AS n FROM orders WHERE o_custkey % 7 = 0"),
-    "g20i_profile": (g20i_profile, f"SELECT listing_id, city, coalesce(array_to_string(list_slice(list_sort(list(DISTINCT feature) FILTER (feature IS NOT NULL)), 1, 3), ','), '') AS features, count(DISTINCT feature) AS n FROM (SELECT * FROM {LISTED} WHERE price > 450000) LEFT JOIN {FEATS} USING (listing_id) GROUP BY 1, 2"),
-    "g21_luxury": (g21_luxury, f"SELECT listing_id, string_agg(feature, ',' ORDER BY feature) AS has FROM {DEAR} WHERE feature IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') GROUP BY 1 HAVING count(*) > 1"),
+    "g20i_profile": (g20i_profile, f"SELECT listing_id, city, coalesce(array_to_string(list_slice(list_sort(list(DISTINCT feature) FILTER (feature IS NOT NULL)), 1, 3), ','), '') AS features, count(DISTINCT feature) AS n FROM {LISTED} LEFT JOIN {FEATS} USING (listing_id) GROUP BY 1, 2"),
+    "g21_luxury": (g21_luxury, f"SELECT listing_id, string_agg(feature, ',' ORDER BY feature) AS has FROM {FEATS} WHERE feature IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') GROUP BY 1 HAVING count(*) > 1"),
     "g22_pairs": (g22_pairs, f"SELECT a.feature AS a, b.feature AS b, count(*) AS together FROM {FEATS} a JOIN {FEATS} b ON a.listing_id = b.listing_id AND a.feature < b.feature GROUP BY 1, 2 HAVING count(*) >= 5 ORDER BY 3 DESC, 1, 2 LIMIT 15"),
     "g23_lift": (g23_lift, f"WITH f AS (SELECT * FROM {FEATS}), n AS (SELECT feature, count(*) AS n FROM f GROUP BY 1), t AS (SELECT count(DISTINCT listing_id) AS items FROM f) SELECT * FROM (SELECT p.a, p.b, together, round(together * items / (x.n * y.n), 6) AS lift FROM (SELECT a.feature AS a, b.feature AS b, count(*) AS together FROM f a JOIN f b ON a.listing_id = b.listing_id AND a.feature < b.feature GROUP BY 1, 2 HAVING count(*) >= 5) p JOIN n x ON x.feature = p.a JOIN n y ON y.feature = p.b, t) WHERE lift > 1.0"),
     "g24_premium": (g24_premium, f"WITH x AS (SELECT feature, count(*) AS n, sum(price) AS s FROM {FEATS} JOIN {LISTED} USING (listing_id) GROUP BY 1), t AS (SELECT count(*) AS an, sum(price) AS asum FROM {LISTED}) SELECT feature, n, round(s / n, 4) AS with_avg, round((asum - s) / (an - n), 4) AS without_avg, round((s / n - (asum - s) / (an - n)) / ((asum - s) / (an - n)) * 100, 4) AS percent FROM x, t WHERE an - n >= 10"),
-    "g25_rarity": (g25_rarity, f"SELECT feature, count(*) AS n, CASE WHEN count(*) <= 3 THEN 'unique' WHEN count(*) <= 10 THEN 'rare' WHEN count(*) <= 25 THEN 'uncommon' ELSE 'common' END AS tier FROM {DEAR} GROUP BY 1"),
+    "g25_rarity": (g25_rarity, f"SELECT feature, count(*) AS n, CASE WHEN count(*) <= 3 THEN 'unique' WHEN count(*) <= 10 THEN 'rare' WHEN count(*) <= 25 THEN 'uncommon' ELSE 'common' END AS tier FROM {PARTS} GROUP BY 1"),
     "g27_tiers": (g27_tiers, f"SELECT place_id, CASE WHEN avg(price) < 150000 THEN 'entry' WHEN avg(price) < 250000 THEN 'middle' WHEN avg(price) < 300000 THEN 'upper' ELSE 'top' END AS tier FROM {LISTED} GROUP BY 1"),
-    "g28_type_city": (g28_type_city, f"SELECT kind, city, count(*) AS n, round(avg(CASE WHEN place_id > 0 THEN price / place_id END), 4) AS per_unit FROM {LISTED} GROUP BY 1, 2"),
+    "g28_type_city": (g28_type_city, f"SELECT kind, city, count(*) AS n, round(avg(CASE WHEN n > 0 THEN price / n END), 4) AS per_unit FROM {LISTED} LEFT JOIN (SELECT l_orderkey AS listing_id, sum(l_quantity) AS n FROM lineitem GROUP BY 1) USING (listing_id) GROUP BY 1, 2"),
     "g29_undervalued": (g29_undervalued, f"WITH g AS (SELECT city, place_id, avg(features) AS f, avg(price) AS p FROM {LISTED} JOIN (SELECT listing_id, count(*) AS features FROM {FEATS} GROUP BY 1) USING (listing_id) GROUP BY 1, 2) SELECT * FROM (SELECT city, place_id, round(f / avg(f) OVER w, 6) AS feature_ratio, round(p / avg(p) OVER w, 6) AS price_ratio FROM g WINDOW w AS (PARTITION BY city)) WHERE feature_ratio > 1.1 AND price_ratio < 0.9"),
     "g30_diversity": (g30_diversity, f"SELECT place_id, count(DISTINCT kind) * count(DISTINCT feature) AS diversity FROM {LISTED} JOIN {FEATS} USING (listing_id) GROUP BY 1"),
     "g31_adoption": (g31_adoption, "WITH p AS (SELECT DISTINCT p_brand AS brand, p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part), n AS (SELECT tag, brand, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT p_brand AS brand, count(*) AS parts FROM part GROUP BY 1) SELECT * FROM (SELECT tag, brand, round(n / parts, 6) AS adoption, round(n / sum(n) OVER (PARTITION BY tag), 6) AS concentration FROM n JOIN t USING (brand)) WHERE adoption > 0.2"),

@@ -14,7 +14,7 @@ from cairn.plans.queries_aggregate import BANDS, CUTS, LISTED
 from cairn.plans.queries_documents import run_and_grades
 from cairn.plans.queries_graph import PB
 from cairn.plans.queries_relational import FEATS
-from cairn.plans.queries_search import ASKED, BM25, TOK, asked, ranked
+from cairn.plans.queries_search import ASKED, ASKED_KNN, BM25, KNN, TOK, asked, ranked, vector_list
 from cairn.sources import sinks
 from cairn.sources.tables import table
 
@@ -75,9 +75,9 @@ def e13b_classified(s, d):
 
 def e14_derived(s, d):
     f = listing_features(s, d).groupBy("listing_id").agg(F.count("*").alias("feature_count"))
-    ls = listings(s, d).join(f, "listing_id", "left").na.fill(0, ["feature_count"])
-    mean = F.avg("price").over(Window.partitionBy("city"))
-    return ls.select("listing_id", "feature_count", (F.col("price") > mean * 1.5).alias("premium"), (F.col("price") / F.greatest(F.col("feature_count"), F.lit(1))).alias("per_feature"))
+    means = listings(s, d).groupBy("city").agg(F.avg("price").alias("mean"))
+    ls = listings(s, d).join(means, "city").join(f, "listing_id", "left").na.fill(0, ["feature_count"])
+    return ls.select("listing_id", "feature_count", (F.col("price") > F.col("mean") * 1.5).alias("premium"), (F.col("price") / F.greatest(F.col("feature_count"), F.lit(1))).alias("per_feature"))
 
 
 def e16_categories(s, d):
@@ -90,10 +90,15 @@ def t10_excluded(s, d):
 
 
 def t11_routes(s, d):
-    """One query over the field set of its kind: whole articles, or conversation turns."""
+    """Each query over the field set of every route: whole articles, their first lines as summaries, and turns as chunks."""
+    docs = table(s, d, "documents")
     turns = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    hits = search.bm25(turns, asked(s, d))
-    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.max("matched").alias("most"))
+    routes = {"full": docs.select("doc_id", "text"), "summaries": docs.select("doc_id", F.split("text", "\n")[0].alias("text")), "chunks": turns}
+    out = None
+    for name, rows in routes.items():
+        one = search.bm25(rows, asked(s, d)).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("matched").alias("most")).withColumn("route", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def t15_related(s, d):
@@ -110,8 +115,9 @@ def t16_insights(s, d):
 
 
 def v2_like_this(s, d):
+    """Of every row of the stated query set the ten most alike others."""
     e = table(s, d, "embeddings")
-    return vector.nearest_join(e.where("vec_id = 7"), e, 10, same=True).select("id", F.round("score", 6).alias("score"), "rank")
+    return vector.nearest_join(e.where("vec_id % 50 = 0"), e, 10, same=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def v3_lsh(s, d):
@@ -125,11 +131,11 @@ def v3_lsh(s, d):
 
 
 def v9_linear(s, d):
-    """Text score plus a vector score, either of which may be missing."""
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), (vectors.cosine(F.col("embedding"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lit(1.0))) + 1).alias("v"))
-    t = ranked(s, d).where("query_id = 3").select("doc_id", (0.5 * F.col("score")).alias("t"))
-    both = e.join(t, "doc_id", "full").select("doc_id", F.round(F.coalesce("v", F.lit(0.0)) + F.coalesce("t", F.lit(0.0)), 6).alias("score"))
-    return both.orderBy(F.desc("score"), "doc_id").limit(10)
+    """For every query: half its text score plus its vector score, over the hits of either retriever; the missing one counts 0."""
+    v = vector_list(s, d, table(s, d, "embeddings"), 20).select("query_id", "doc_id", (F.col("score") + 1).alias("v"))
+    both = v.join(ranked(s, d).select("query_id", "doc_id", (0.5 * F.col("score")).alias("t")), ["query_id", "doc_id"], "full")
+    scored = both.select("query_id", "doc_id", F.round(F.coalesce("v", F.lit(0.0)) + F.coalesce("t", F.lit(0.0)), 6).alias("score"))
+    return search.top(scored, 10).select("query_id", "doc_id", "score")
 
 
 def v13_texts(s, d):
@@ -139,18 +145,17 @@ def v13_texts(s, d):
 def h2_located(s, d):
     """Both retrievers see only the documents of the place; nothing is filtered after ranking."""
     docs = table(s, d, "documents").where("lang = 'de'")
-    hits = search.bm25(docs, asked(s, d))
-    a = search.top(hits.withColumn("score", F.round("score", 6)), 10)
-    b = search.top(hits.select("query_id", "doc_id", (F.col("matched") * 1.0).alias("score")), 10)
-    return vector.fuse({"a": a, "b": b}, size=3).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+    a = search.top(search.bm25(docs, asked(s, d)).withColumn("score", F.round("score", 6)), 10)
+    inside = table(s, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    return vector.fuse({"a": a, "b": vector_list(s, d, inside, 10)}, size=3).select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 def h4_centrality(s, d):
     """Means of four capped counts: listings of the place, of the city, features, and listings of the same band in the place."""
     ls = listings(s, d).withColumn("band", facets.ladder(F.col("price"), CUTS, BANDS))
     f = listing_features(s, d).groupBy("listing_id").agg(F.count("*").alias("features"))
-    n = lambda *by: F.count("*").over(Window.partitionBy(*by)) - 1
-    m = ls.join(f, "listing_id", "left").na.fill(0, ["features"]).select("listing_id", n("place_id").alias("a"), n("city").alias("b"), "features", n("place_id", "band").alias("c"))
+    n = lambda name, *by: ls.groupBy(*by).agg((F.count("*") - 1).alias(name))
+    m = ls.join(n("a", "place_id"), "place_id").join(n("b", "city"), "city").join(n("c", "place_id", "band"), ["place_id", "band"]).join(f, "listing_id", "left").na.fill(0, ["features"])
     part = lambda c, cap: F.least(F.col(c) / cap, F.lit(1.0))
     return m.select("listing_id", F.round((part("a", 50) + part("b", 2000) + part("features", 15) + part("c", 30)) / 4, 6).alias("centrality"))
 
@@ -250,14 +255,14 @@ QUERIES = {
     "e14_derived": (e14_derived, f"SELECT listing_id, coalesce(n, 0) AS feature_count, price > 1.5 * avg(price) OVER (PARTITION BY city) AS premium, price / greatest(coalesce(n, 0), 1) AS per_feature FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
     "e16_categories": (e16_categories, "SELECT doc_id, concat_ws(',', CASE WHEN contains(l, 'the') THEN 'county' END, CASE WHEN contains(l, 'and') THEN 'city' END, CASE WHEN contains(l, 'for') THEN 'park' END, CASE WHEN contains(l, 'is') THEN 'school' END) AS categories FROM (SELECT doc_id, lower(text) AS l FROM documents)"),
     "t10_excluded": (t10_excluded, f"WITH {DOCS(chr(115) + 'ource NOT IN (' + chr(39) + 'src0' + chr(39) + ', ' + chr(39) + 'src1' + chr(39) + ')')} SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(score, 6) AS score, {TOP} AS rank FROM bm) WHERE rank <= 2"),
-    "t11_routes": (t11_routes, f"WITH q AS (SELECT query_id, unnest(list_distinct({TOK})) AS term FROM {ASKED}), t AS (SELECT conv_id * 1000 + turn AS doc_id, unnest(list_distinct({TOK})) AS term FROM conversations), m AS (SELECT query_id, doc_id, count(*) AS matched FROM q JOIN t USING (term) GROUP BY 1, 2) SELECT query_id, count(*) AS hits, max(matched) AS most FROM m GROUP BY 1"),
+    "t11_routes": (t11_routes, f"WITH q AS (SELECT query_id, unnest(list_distinct({TOK})) AS term FROM {ASKED}), t AS (SELECT 'chunks' AS route, conv_id * 1000 + turn AS doc_id, unnest(list_distinct({TOK})) AS term FROM conversations UNION ALL SELECT 'full', doc_id, unnest(list_distinct({TOK})) FROM documents UNION ALL SELECT 'summaries', doc_id, unnest(list_distinct({TOK})) FROM (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)), m AS (SELECT route, query_id, doc_id, count(*) AS matched FROM q JOIN t USING (term) GROUP BY 1, 2, 3) SELECT route, query_id, count(*) AS hits, max(matched) AS most FROM m GROUP BY 1, 2"),
     "t15_related": (t15_related, f"WITH {BM25} SELECT query_id, doc_id, source, articles, avg_chars FROM (SELECT query_id, doc_id, {TOP} AS rank FROM bm) JOIN documents USING (doc_id) JOIN (SELECT source, count(*) AS articles, round(avg(n_chars), 4) AS avg_chars FROM documents GROUP BY 1) USING (source) WHERE rank = 1"),
     "t16_insights": (t16_insights, f"SELECT doc_id, concat_ws(',', CASE WHEN list_has_any(t, ['the', 'and']) THEN 'daily' END, CASE WHEN list_has_any(t, ['der', 'die', 'das']) THEN 'formal' END, CASE WHEN list_has_any(t, ['que', 'les']) THEN 'other' END) AS insights FROM (SELECT doc_id, {TOK} AS t FROM documents)"),
-    "v2_like_this": (v2_like_this, "SELECT id, round(x, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x, row_number() OVER (ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id = 7 AND b.vec_id <> 7) WHERE rank <= 10"),
+    "v2_like_this": (v2_like_this, f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({KNN}) WHERE rank <= 10"),
     "v3_lsh": (v3_lsh, None),
-    "v9_linear": (v9_linear, f"WITH {BM25} SELECT doc_id, round(coalesce(v, 0) + coalesce(t, 0), 6) AS score FROM (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], {ONES}) + 1 AS v FROM embeddings) FULL JOIN (SELECT doc_id, 0.5::DOUBLE * score AS t FROM bm WHERE query_id = 3) USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 10"),
+    "v9_linear": (v9_linear, f"WITH {BM25}, k AS ({ASKED_KNN}), b AS (SELECT query_id, doc_id, round(coalesce(v, 0) + coalesce(t, 0), 6) AS score FROM (SELECT query_id, id AS doc_id, score + 1 AS v FROM k WHERE rank <= 20) FULL JOIN (SELECT query_id, doc_id, 0.5::DOUBLE * score AS t FROM bm) USING (query_id, doc_id)) SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 10"),
     "v13_texts": (v13_texts, "SELECT p_partkey, concat_ws(' | ', p_name, 'brand ' || p_brand, 'size ' || p_size) AS text FROM part"),
-    "h2_located": (h2_located, f"WITH {DOCS('lang = ' + chr(39) + 'de' + chr(39))}, a AS (SELECT query_id, doc_id, {TOP} AS rank FROM bm), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, doc_id) AS rank FROM bm), u AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (FROM a WHERE rank <= 10 UNION ALL FROM b WHERE rank <= 10) GROUP BY 1, 2) SELECT query_id, doc_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 3"),
+    "h2_located": (h2_located, f"WITH {DOCS('lang = ' + chr(39) + 'de' + chr(39))}, a AS (SELECT query_id, doc_id, {TOP} AS rank FROM bm), b AS (SELECT query_id, id AS doc_id, rank FROM ({ASKED_KNN} AND b.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'de'))), u AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (FROM a WHERE rank <= 10 UNION ALL FROM b WHERE rank <= 10) GROUP BY 1, 2) SELECT query_id, doc_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 3"),
     "h4_centrality": (h4_centrality, f"SELECT listing_id, round((least((count(*) OVER (PARTITION BY place_id) - 1) / 50, 1.0::DOUBLE) + least((count(*) OVER (PARTITION BY city) - 1) / 2000, 1.0::DOUBLE) + least(coalesce(n, 0) / 15, 1.0::DOUBLE) + least((count(*) OVER (PARTITION BY place_id, {PB}) - 1) / 30, 1.0::DOUBLE)) / 4, 6) AS centrality FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
     "g4_bands": (g4_bands, f"SELECT {PB} AS band, count(*) AS n, min(price) AS least, max(price) AS most FROM {LISTED} GROUP BY 1"),
     "g26_adjacent": (g26_adjacent, f"SELECT city, place_id, gap FROM (SELECT city, place_id, round(lead(p) OVER (PARTITION BY city ORDER BY p, place_id) - p, 3) AS gap FROM (SELECT city, place_id, avg(price) AS p FROM {LISTED} GROUP BY 1, 2)) WHERE gap > 30000"),

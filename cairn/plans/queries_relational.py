@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions import geo, text
-from cairn.operators import facets, filters, spatial
-from cairn.plans.binding import listing_features, listings
+from cairn.operators import facets, filters, graph, spatial
+from cairn.plans.binding import listing_features, listing_parts, listings
 from cairn.plans.queries_aggregate import BAND_SQL, BANDS, CUTS, HAV, LISTED
 from cairn.sources import sinks
 from cairn.sources.tables import table
 
+PARTS = "(SELECT DISTINCT l_orderkey AS listing_id, l_partkey AS feature FROM lineitem)"
 FEATS = "(SELECT DISTINCT l_orderkey AS listing_id, p_brand AS feature FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
@@ -107,10 +108,7 @@ def j8_orphans(s, d):
 
 
 def j9_shared(s, d):
-    f = listing_features(s, d)
-    f = f.join(table(s, d, "orders").where("o_totalprice > 380000").select(F.col("o_orderkey").alias("listing_id")), "listing_id", "left_semi")
-    a, b = f.select(F.col("listing_id").alias("a"), "feature"), f.select(F.col("listing_id").alias("b"), "feature")
-    return a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 4")
+    return graph.shared_pairs(listing_parts(s, d), "listing_id", "feature", 2).withColumnRenamed("together", "shared")
 
 
 def j10_gaps(s, d):
@@ -146,9 +144,8 @@ def j15_bands(s, d):
 
 
 def j16_below_mean(s, d):
-    w = Window.partitionBy("city")
-    o = listings(s, d).withColumn("city_avg", F.avg("price").over(w)).where("price < city_avg * 0.05")
-    return o.select("listing_id", F.round("city_avg", 4).alias("city_avg"))
+    means = listings(s, d).groupBy("city").agg(F.avg("price").alias("city_avg"))
+    return listings(s, d).join(means, "city").where("price < city_avg * 0.05").select("listing_id", F.round("city_avg", 4).alias("city_avg"))
 
 
 def j17_union_search(s, d):
@@ -167,8 +164,8 @@ def w1_best(s, d):
 
 
 def w3_outliers(s, d):
-    w = Window.partitionBy("city")
-    z = listings(s, d).withColumns({"n": F.count("*").over(w), "m": F.avg("price").over(w), "sd": F.stddev_samp("price").over(w)}).where("n >= 5 AND sd > 0").withColumn("z", (F.col("price") - F.col("m")) / F.col("sd")).where("abs(z) > 1.7")
+    g = listings(s, d).groupBy("city").agg(F.count("*").alias("n"), F.avg("price").alias("m"), F.stddev_samp("price").alias("sd")).where("n >= 5 AND sd > 0")
+    z = listings(s, d).join(g, "city").withColumn("z", (F.col("price") - F.col("m")) / F.col("sd")).where("abs(z) > 1.7")
     return z.select("listing_id", F.round("z", 6).alias("z"), F.when(F.col("z") > 0, "overpriced").otherwise("underpriced").alias("label"))
 
 
@@ -281,7 +278,7 @@ QUERIES = {
     "j6_semi": (lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
     "j7_unprocessed": (j7_unprocessed, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "j8_orphans": (j8_orphans, "SELECT -1::BIGINT AS c_custkey, count(*) AS orphans FROM orders WHERE o_orderkey % 11 = 0"),
-    "j9_shared": (j9_shared, f"WITH f AS (SELECT * FROM {FEATS} WHERE listing_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 380000)) SELECT a.listing_id AS a, b.listing_id AS b, count(*) AS shared FROM f a JOIN f b ON a.feature = b.feature AND a.listing_id < b.listing_id GROUP BY 1, 2 HAVING count(*) >= 4"),
+    "j9_shared": (j9_shared, f"WITH f AS {PARTS} SELECT a.listing_id AS a, b.listing_id AS b, count(*) AS shared FROM f a JOIN f b ON a.feature = b.feature AND a.listing_id < b.listing_id GROUP BY 1, 2 HAVING count(*) >= 2"),
     "j10_gaps": (j10_gaps, f"WITH g AS (SELECT state, city, avg(price) AS p FROM {LISTED} GROUP BY 1, 2) SELECT a.state, a.city AS a, b.city AS b, round((b.p - a.p) / a.p * 100, 4) AS percent FROM g a JOIN g b ON a.state = b.state AND b.p > a.p"),
     "j11_tag_pairs": (j11_tag_pairs, "WITH t AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS tag FROM part) SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS common FROM t a JOIN t b ON a.tag = b.tag AND a.p_brand < b.p_brand GROUP BY 1, 2 HAVING count(*) >= 2"),
     "j12_refs": (j12_refs, "SELECT l.doc_id, string_agg(d.doc_id || ':' || d.lang, ',' ORDER BY pos) AS articles, round(sum(CASE WHEN pos = 0 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END), 6) AS confidence FROM (SELECT doc_id, unnest([0, 1, 2]) AS pos FROM labels) l JOIN documents d ON d.doc_id = l.doc_id + pos GROUP BY 1"),

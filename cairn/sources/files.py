@@ -12,6 +12,11 @@ def json_files(spark: SparkSession, paths: list[str], schema: StructType | str)
     return spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def json_lines(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
+    """Rows of files or folders with one JSON object a line, which Spark can split, with the file's name."""
+    return spark.read.schema(schema).json(paths).withColumn("source_file", F.col("_metadata.file_name"))
+
+
 def jdbc(spark: SparkSession, url: str, query: str, key: str, low: int, high: int, parts: int) -> DataFrame:
     """A relational table in parallel ranges of a numeric key."""
     options = {"url": url, "dbtable": f"({query}) t", "partitionColumn": key, "lowerBound": low, "upperBound": high, "numPartitions": parts}
@@ -20,4 +25,5 @@ def jdbc(spark: SparkSession, url: str, query: str, key: str, low: int, high: in
 
 def folder(spark: SparkSession, path: str, pattern: str = "*.html", whole: bool = True) -> DataFrame:
     """``path, text`` of each file of a folder, lazily; ``whole`` False gives a row per line."""
-    return spark.read.option("wholetext", whole).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.text(path, wholetext=whole, pathGlobFilter=pattern, recursiveFileLookup=True)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

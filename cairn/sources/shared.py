@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> None:
-    """Make checkpoint() usable: by the cluster's setting, or by a temporary folder where none is set, as in tests."""
+    """Make checkpoint() usable: by the cluster's setting; only a local session, as in tests, gets a temporary folder where none is set."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="cairn-"))
 
 

@@ -1,6 +1,8 @@
 """Rules at their edges, on literals."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -164,3 +166,44 @@ def test_lsh_recall(spark, small):
     exact = {(r.query_id, r.id) for r in queries_search.v4_knn(spark, small).collect()}
     got = {(r.query_id, r.id) for r in queries_more.v3_lsh(spark, small).collect()}
     assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+
+
+def test_shared_pairs_are_those_of_all_pairs(spark):
+    rnd = random.Random(3)
+    facts = {(i, f) for i in range(60) for f in rnd.sample(range(12), rnd.randint(0, 6))} | {(i, 99) for i in range(60)}
+    df = spark.createDataFrame([*facts, *list(facts)[:50]], "i int, f int")
+    for least in (1, 2, 4):
+        have = {i: {f for j, f in facts if j == i} for i in range(60)}
+        want = {(a, b, len(have[a] & have[b])) for a in have for b in have if a < b and len(have[a] & have[b]) >= least}
+        assert {tuple(r) for r in graph.shared_pairs(df, "i", "f", least).collect()} == want
+
+
+def test_labels_of_a_long_path_reach_their_end(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(150)], "a int, b int")
+    assert {r.label for r in graph.component_labels(e).collect()} == {0}
+
+
+def test_query_nodes(spark):
+    df = spark.createDataFrame([(1, "Red lime tea", "old oak"), (2, "lime", "bleu oak"), (3, None, None)], "i int, a string, b string")
+    score = filters.node_score([{"match": {"a": {"query": "lime red", "operator": "and", "boost": 2.0}}}, {"match": {"b": {"query": "blue", "fuzziness": "AUTO"}}}, {"multi_match": {"query": "oak", "fields": {"a": 5.0, "b": 0.5}}}, {"match_phrase": {"a": {"query": "Lime tea"}}}])
+    assert [r.s for r in df.orderBy("i").select(score.alias("s")).collect()] == [3.5, 0.5, 0.0]
+
+
+def test_pairs_reaching_are_counted_over_all_rows(spark):
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(70)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    want = {c: sum(round(cos(x, y), 9) >= c for i, x in rows[:7] for j, y in rows if i != j) for c in (0.5, 0.9)}
+    got = vector.pairs_reaching(df.where("vec_id < 7"), df, [0.5, 0.9], block=10, same=True)
+    assert {r.cut: r.pairs for r in got.collect()} == want
+
+
+def test_folders_are_read_as_whole_files(spark, tmp_path):
+    from cairn.sources import files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.html").write_text("one\ntwo\n")
+    (tmp_path / "sub" / "b.html").write_text("three")
+    (tmp_path / "c.txt").write_text("no")
+    assert sorted(r.text for r in files.folder(spark, f"file://{tmp_path}").collect()) == ["one\ntwo\n", "three"]
+    assert sorted(r.text for r in files.folder(spark, f"file://{tmp_path}", whole=False).collect()) == ["one", "three", "two"]
