@@ -76,9 +76,9 @@ def bounded_sample(rows: DataFrame, hash_col: str, most: int, by: str | None = N
 
     Counting first lets the tasks send little more than the sample: only hashes below the share that is wanted.
     """
-    groups = rows.groupBy(F.col(by) if by else F.lit(0)).count().collect()
+    groups = rows.groupBy(by).count().collect() if by else [(None, rows.count())]
     each = max(least, most // max(1, len(groups)))
-    share = lambda n: min(1.0, (1.2 * each + 100) / n)
+    share = lambda n: min(1.0, (1.2 * each + 100) / max(n, 1))
     cut = F.lit(None).cast("long")
     for value, n in groups:
         top = min(2**63 - 1, int(-(2**63) + share(n) * 2**64))

@@ -97,6 +97,16 @@ def test_word_scores_are_those_of_the_formula(spark):
         assert model.word_scores([w])[0] == pytest.approx([x - max(plain) for x in plain], abs=1e-3)
 
 
+def test_bounded_samples(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"), "id", F.when(F.col("id") < 5, "few").otherwise("many").alias("kind"))
+    order = sorted((r.h, r.id, r.kind) for r in rows.collect())
+    assert sorted(r.id for r in common.bounded_sample(rows, "h", 100)) == sorted(i for _, i, _ in order[:100])
+    assert common.bounded_sample(rows.where("id < 0"), "h", 100) == [] == common.bounded_sample(rows.where("id < 0"), "h", 100, "kind")
+    got = common.bounded_sample(rows, "h", 60, "kind", 40)
+    for kind, n in (("few", 5), ("many", 40)):
+        assert sorted(r.id for r in got if r.kind == kind) == sorted([i for _, i, k in order if k == kind][:n])
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Context:
         master = "spark://host:7077"
