@@ -87,8 +87,13 @@ def record_bytes(page_id: int | None, url: str, payload: bytes | None, size: int
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + END
 
 
-def write_archives(records: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", per_file: int = 5000) -> None:
-    """Write planned records as files of gzip members, at most ``per_file`` to a file."""
+def write_archives(records: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", per_file: int = 5000, file_bytes: int = 1 << 28) -> None:
+    """Write planned records as files of gzip members, at most ``per_file`` to a file and about ``file_bytes`` before compression.
+
+    Records are written by size class, each a power of two of bytes, so that a file's greatest number of records follows from its
+    class; a record larger than ``file_bytes`` has a file of its own. Null payloads are those of revisits, or empty; null ids
+    are left out of the headers' numbers. Repeated rows are records of their own, and an empty table gives a folder of no records.
+    """
 
     @F.pandas_udf(T.BinaryType())
     def member(page_id: pd.Series, url: pd.Series, payload: pd.Series, size: pd.Series, digest: pd.Series, kind: pd.Series, refers: pd.Series) -> pd.Series:
@@ -96,7 +101,14 @@ def write_archives(records: DataFrame, path: str, *, date: str = "2024-01-01T00:
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  null ids as empty text: pandas would make them floats
     one = member(text("page_id"), F.col("url"), F.col("payload"), F.col("payload_bytes"), F.col("payload_digest"), F.col("record_type"), text("refers_to"))
-    records.select(one.cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(path)
+    stored = F.coalesce(F.octet_length("payload"), F.lit(0)) + F.octet_length("url") + 1024
+    power = F.ceil(F.log2(stored.cast("double"))).cast("int")
+    least = max(0, (file_bytes // per_file).bit_length() - 1)  # records up to this power fit by their number alone
+    classed = records.withColumn("_power", F.greatest(power, F.lit(least)))
+    for row in classed.groupBy("_power").count().collect() or [None]:  # some thirty at most
+        mine = classed if row is None else classed.where(F.col("_power") == row["_power"])
+        most = per_file if row is None else max(1, min(per_file, file_bytes >> row["_power"]))
+        mine.select(one.cast("string").alias("value")).write.mode("append").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(path)
 
 
 class Damaged(ValueError):
@@ -254,12 +266,33 @@ def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
 
 
+def resolve_revisits(read: DataFrame) -> DataFrame:
+    """``read`` with ``target``: the headers and payload size of the response that a revisit's ``WARC-Refers-To`` names.
+
+    The response must have the revisit's payload digest; of several with one record id any stands for all. A revisit
+    of a response that was lost or is in other archives, and any other row, has a null target. Gaps stay.
+    """
+    key = ["_id", "payload_digest"]
+    asked = F.when(F.col("kind") == "revisit", F.col("headers")["WARC-Refers-To"]).alias("_id")
+    wanted = read.select(asked, "payload_digest").where("_id IS NOT NULL").distinct()
+    responses = read.where("kind = 'response'").select(F.col("headers")["WARC-Record-ID"].alias("_id"), "payload_digest", F.struct("headers", "payload_bytes").alias("target"))
+    named = stash(responses.join(wanted, key, "left_semi").groupBy(*key).agg(F.first("target").alias("target")), "named")
+    return read.select("*", asked).join(named, key, "left").drop("_id").select(*read.columns, "target")
+
+
+def count_gaps(read: DataFrame) -> DataFrame:
+    """``read`` with ``gaps``: how many byte ranges of the row's file were quarantined."""
+    lost = read.where("kind = 'gap'").groupBy("path").agg(F.count("*").alias("gaps"))
+    return read.join(lost, "path", "left").na.fill(0, ["gaps"])
+
+
 def op4_warc_salvage(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "archives")
     write_archives(plan_records(load(spark, sf_dir, "pages")), path)
-    read = read_archives(spark, path, payloads=False).where("kind <> 'gap'")
-    number = lambda name: F.when(F.col("headers")[name] != "", F.col("headers")[name].cast("long"))
-    return read.select(number("X-Page-Id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("X-Refers-To-Page-Id").alias("refers_to"))
+    read = count_gaps(resolve_revisits(stash(read_archives(spark, path, payloads=False), "read"))).where("kind <> 'gap'")
+    page = lambda headers: F.when(headers["X-Page-Id"] != "", headers["X-Page-Id"].cast("long"))
+    size = F.coalesce(F.col("target")["payload_bytes"], F.col("payload_bytes"))
+    return read.select(page(F.col("headers")).alias("page_id"), size.alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), page(F.col("target")["headers"]).alias("refers_to"), "gaps")
 
 
 _SYMBOLS = " || ".join(f"substr('{ALPHABET}', CAST((('0x' || substr(hex, {5 * g + 1}, 5))::BIGINT >> {15 - 5 * j}) & 31 AS INT) + 1, 1)" for g in range(8) for j in range(4))
@@ -267,6 +300,6 @@ SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_SYMBOLS} AS payload_digest, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> top THEN top END AS refers_to
+       CASE WHEN page_id <> top THEN top END AS refers_to, CAST(0 AS BIGINT) AS gaps
 FROM d
 """
