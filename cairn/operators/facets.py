@@ -63,6 +63,14 @@ def extended_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
     return df.groupBy(*by).agg(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), F.sum(c).alias("total"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("variance"), (F.max(c) - F.min(c)).alias("range"))
 
 
+def with_means(df: DataFrame, by: str, means: dict[str, str]) -> DataFrame:
+    """``df`` with the mean of columns over the rows with its ``by``, as new name -> column; null where ``by`` is null.
+
+    Grouped and joined, so that a large group is averaged in parts and no task holds it, as a window would.
+    """
+    return df.join(df.groupBy(by).agg(*[F.avg(c).alias(name) for name, c in means.items()]), by, "left")
+
+
 def percentiles(df: DataFrame, column: str, percents: Sequence[float], exact: bool = True) -> DataFrame:
     """One row per percent. ``exact`` sorts all values; the approximation is mergeable and bounded in memory."""
     marks = F.array(*[F.lit(p / 100) for p in percents])

@@ -59,27 +59,27 @@ class _Page(HTMLParser):
                 self.row[cell].append(data.strip())
 
 
-ROW = "title string, paragraphs array<string>, headings array<string>, infobox map<string,string>, links array<string>"
+ROW = "title string, paragraphs array<string>, headings array<string>, infobox map<string,string>, links array<string>, complete boolean"
 
 
 def parse(html: str | None) -> tuple:
-    page = _Page()
+    page, complete = _Page(), True
     try:
         page.feed(html or "")
         page.close()
-    except Exception:  # a page that the parser gives up on keeps what came before
-        pass
+    except (AssertionError, ValueError):  # how the parser gives up, as on a number of thousands of digits; what came before stays
+        complete = False
     clean = lambda s: re.sub(r"\s+", " ", s).strip()
-    return clean("".join(page.title)), [t for b in page.blocks if (t := clean("".join(b)))], [t for h in page.headings if (t := clean(h))], page.box, page.links
+    return clean("".join(page.title)), [t for b in page.blocks if (t := clean("".join(b)))], [t for h in page.headings if (t := clean(h))], page.box, page.links, complete
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with title, paragraphs, headings, infobox and links. A null page has none."""
+    """``pages`` with title, paragraphs, headings, infobox and links. A null page has none. ``complete`` is false where the parser gave up."""
 
     @F.pandas_udf(ROW)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages_ in batches:
-            yield pd.DataFrame([parse(h) for h in pages_], columns=["title", "paragraphs", "headings", "infobox", "links"])
+            yield pd.DataFrame([parse(h) for h in pages_], columns=["title", "paragraphs", "headings", "infobox", "links", "complete"])
 
     return pages.withColumn("_page", run(F.col(html_col))).select(*pages.columns, "_page.*")
 

@@ -107,8 +107,7 @@ def g28_type_city(s, d):
 def g29_undervalued(s, d):
     f = listing_features(s, d).groupBy("listing_id").agg(F.count("*").alias("features"))
     g = listings(s, d).join(f, "listing_id").groupBy("city", "place_id").agg(F.avg("features").alias("f"), F.avg("price").alias("p"))
-    w = Window.partitionBy("city")
-    r = g.withColumns({"feature_ratio": F.round(F.col("f") / F.avg("f").over(w), 6), "price_ratio": F.round(F.col("p") / F.avg("p").over(w), 6)})
+    r = facets.with_means(g, "city", {"city_f": "f", "city_p": "p"}).withColumns({"feature_ratio": F.round(F.col("f") / F.col("city_f"), 6), "price_ratio": F.round(F.col("p") / F.col("city_p"), 6)})
     return r.where("feature_ratio > 1.1 AND price_ratio < 0.9").select("city", "place_id", "feature_ratio", "price_ratio")
 
 

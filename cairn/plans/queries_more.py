@@ -46,8 +46,8 @@ def f16_summaries(s, d):
 def e2_places(s, d):
     g = listings(s, d).groupBy("place_id", "city").agg(F.count("*").alias("n"), F.avg("price").alias("p"))
     urban = F.when(F.col("n") >= 15, "urban").when(F.col("n") >= 8, "suburban").otherwise("rural")
-    city = F.avg("p").over(Window.partitionBy("city"))
-    return g.select("place_id", urban.alias("lifestyle"), F.round(scores.investment(F.least(F.col("n") / 20, F.lit(1.0)), F.least(F.col("p") / city, F.lit(1.0)), F.lit(0.5)), 6).alias("investment"), F.concat_ws("|", urban, facets.ladder(F.col("p"), CUTS, BANDS)).alias("facets"))
+    g = facets.with_means(g, "city", {"city_avg": "p"})
+    return g.select("place_id", urban.alias("lifestyle"), F.round(scores.investment(F.least(F.col("n") / 20, F.lit(1.0)), F.least(F.col("p") / F.col("city_avg"), F.lit(1.0)), F.lit(0.5)), 6).alias("investment"), F.concat_ws("|", urban, facets.ladder(F.col("p"), CUTS, BANDS)).alias("facets"))
 
 
 def e7_authority(s, d):

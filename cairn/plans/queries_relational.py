@@ -182,7 +182,7 @@ def w6_links(s, d):
 
 def w8_ratio(s, d):
     g = listings(s, d).groupBy("city", "place_id").agg(F.avg("price").alias("p"))
-    return g.withColumn("ratio", F.round(F.col("p") / F.avg("p").over(Window.partitionBy("city")), 6)).where("ratio < 0.9").select("city", "place_id", "ratio")
+    return facets.with_means(g, "city", {"city_avg": "p"}).withColumn("ratio", F.round(F.col("p") / F.col("city_avg"), 6)).where("ratio < 0.9").select("city", "place_id", "ratio")
 
 
 def l2_sort(s, d):

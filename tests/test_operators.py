@@ -207,3 +207,15 @@ def test_folders_are_read_as_whole_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("no")
     assert sorted(r.text for r in files.folder(spark, f"file://{tmp_path}").collect()) == ["one\ntwo\n", "three"]
     assert sorted(r.text for r in files.folder(spark, f"file://{tmp_path}", whole=False).collect()) == ["one", "three", "two"]
+
+
+def test_pages_that_the_parser_gives_up_on_say_so(spark):
+    pages = [(1, "<title>whole</title><p>text</p>"), (2, "<title>cut</title><p>&#" + "9" * 6000 + ";</p>"), (3, None)]
+    got = {r.page_id: (r.title, r.complete) for r in html.extract(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert got == {1: ("whole", True), 2: ("cut", False), 3: ("", True)}
+
+
+def test_means_beside_their_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 7.0)], "k string, v double")
+    got = {(r.k, r.v, r.m) for r in facets.with_means(df, "k", {"m": "v"}).collect()}
+    assert got == {("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 5.0, 5.0), (None, 7.0, None)}
