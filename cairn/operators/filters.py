@@ -117,6 +117,12 @@ def page(df: DataFrame, order: Sequence[Column], start: int, size: int, most: in
     return df.orderBy(*order).offset(start).limit(min(size, most))
 
 
+def search_sizes(size: int) -> tuple[int, int, int]:
+    """Rows to return, nearest rows to take and candidates to look at, for a search that asks for ``size``."""
+    # The factors and the caps.
+    return min(size, 100), min(5 * size, 100), min(10 * size, 200)
+
+
 def reproducible_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows that the hash of the key and the seed picks."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows that the MD5 of the key and the seed picks."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)

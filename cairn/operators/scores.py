@@ -32,6 +32,20 @@ def investment(growth: Column, livable: Column, desirable: Column) -> Column:
     return F.least(30 * growth + 50 * livable + 20 * desirable, F.lit(100.0))
 
 
+def lifestyle(walk: Column, school: Column) -> Column:
+    """Walkability from 70 on 0..100 and schools from 8 on 0..10 name a kind of place; a missing value counts as low."""
+    # The names and the cuts.
+    walks, learns = walk >= 70, school >= 8
+    return F.when(walks & learns, "family_friendly_urban").when(walks, "urban_lifestyle").when(learns, "family_oriented").otherwise("standard_community")
+
+
+def association(names: Column, one: float = 0.1, several: float = 0.15) -> dict[str, Column]:
+    """What an array of place names adds to a row: search facet, quality boost, count and flag; a null array is empty."""
+    n = F.when(names.isNull(), 0).otherwise(F.size(names))
+    facet = F.when(n > 1, "multi_neighborhood").when(n == 1, "has_neighborhood").otherwise("no_neighborhood")
+    return {"facet": facet, "boost": F.when(n > 1, several).when(n == 1, one).otherwise(0.0), "n": n, "associated": n > 0}
+
+
 def completeness(parts: Sequence[Column]) -> Column:
     """1.0 with all parts, 0.7 with any, else 0.3."""
     have = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))

@@ -266,7 +266,7 @@ QUERIES = {
     "h4_centrality": (h4_centrality, f"SELECT listing_id, round((least((count(*) OVER (PARTITION BY place_id) - 1) / 50, 1.0::DOUBLE) + least((count(*) OVER (PARTITION BY city) - 1) / 2000, 1.0::DOUBLE) + least(coalesce(n, 0) / 15, 1.0::DOUBLE) + least((count(*) OVER (PARTITION BY place_id, {PB}) - 1) / 30, 1.0::DOUBLE)) / 4, 6) AS centrality FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
     "g4_bands": (g4_bands, f"SELECT {PB} AS band, count(*) AS n, min(price) AS least, max(price) AS most FROM {LISTED} GROUP BY 1"),
     "g26_adjacent": (g26_adjacent, f"SELECT city, place_id, gap FROM (SELECT city, place_id, round(lead(p) OVER (PARTITION BY city ORDER BY p, place_id) - p, 3) AS gap FROM (SELECT city, place_id, avg(price) AS p FROM {LISTED} GROUP BY 1, 2)) WHERE gap > 30000"),
-    "g41_lateral": (g41_lateral, None),
+    "g41_lateral": (g41_lateral, f"SELECT query_id, id, round(score, 6) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS turn FROM ({KNN}) JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE rank <= 10 AND a.label <> b.label) WHERE turn <= 2"),
     "g43_chains": (g43_chains, "WITH RECURSIVE t AS MATERIALIZED (SELECT brand, tag FROM (SELECT p_brand AS brand, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1, 2 HAVING count(*) >= 10), e AS MATERIALIZED (SELECT DISTINCT a.brand AS u, b.brand AS v FROM t a JOIN t b ON a.tag = b.tag AND a.brand <> b.brand), r AS (SELECT min(u) AS node, 0 AS hops FROM e UNION SELECT v, hops + 1 FROM r JOIN e ON u = node WHERE hops < 6) SELECT node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY 1"),
     "q11_embedding_rules": (q11_embedding_rules, "SELECT count(*) AS checked, 'id' AS rule, count(*) FILTER (vec_id IS NULL) AS failed FROM embeddings UNION ALL SELECT count(*), 'dims', count(*) FILTER (len(embedding) <> 64) FROM embeddings UNION ALL SELECT count(*), 'label', count(*) FILTER (label NOT BETWEEN 0 AND 9) FROM embeddings UNION ALL SELECT count(*), 'norm', count(*) FILTER (list_dot_product(embedding, embedding) <= 0) FROM embeddings"),
     "q12_health": (q12_health, "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS chunks, count(*) FILTER (u < last + 1) AS incomplete, count(*) FILTER (n > u) AS repeating FROM (SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS u, max(turn) AS last FROM conversations GROUP BY 1)"),

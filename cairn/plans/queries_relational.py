@@ -251,7 +251,7 @@ QUERIES = {
     "s3_left_scan": (s3_left_scan, "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)"),
     "s4_pruned_scan": (lambda s, d: table(s, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45"),
     "s6_sample_limit": (lambda s, d: table(s, d, "orders").orderBy("o_orderkey").limit(20).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 20"),
-    "s7_random_sample": (lambda s, d: filters.reproducible_sample(table(s, d, "documents").select("doc_id"), "doc_id", 20), None),
+    "s7_random_sample": (lambda s, d: filters.reproducible_sample(table(s, d, "documents").select("doc_id"), "doc_id", 20), "SELECT doc_id FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 20"),
     "s9_documents": (lambda s, d: sinks.documents(table(s, d, "orders"), "o_orderkey", {"price": F.col("o_totalprice"), "status": F.col("o_orderstatus")}).select("_id", "doc.*"), "SELECT CAST(o_orderkey AS VARCHAR) AS _id, o_totalprice AS price, o_orderstatus AS status FROM orders"),
     "s10_defaults": (s10_defaults, "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name AS name, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'active' END AS segment, coalesce(c_acctbal, 0.0) AS balance FROM customer"),
     "s11_upsert": (s11_upsert, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT o_orderkey + 10000000, 'N' FROM orders WHERE o_orderkey % 5 = 0"),
@@ -298,7 +298,7 @@ QUERIES = {
     "l1_top": (lambda s, d: table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 10"),
     "l2_sort": (l2_sort, "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS seg, c_acctbal FROM customer ORDER BY seg NULLS LAST, c_acctbal DESC NULLS LAST, c_custkey LIMIT 30"),
     "l4_unique": (l4_unique, "SELECT source, first(doc_id ORDER BY n_chars DESC, doc_id) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10"),
-    "l5_random_one": (lambda s, d: filters.reproducible_sample(table(s, d, "orders").where("o_totalprice > 400000").select("o_orderkey"), "o_orderkey", 1), None),
+    "l5_random_one": (lambda s, d: filters.reproducible_sample(table(s, d, "orders").where("o_totalprice > 400000").select("o_orderkey"), "o_orderkey", 1), "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 1"),
     "l6_page": (l6_page, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 40"),
     "u1_hierarchy": (u1_hierarchy, f"WITH l AS (SELECT *, 'place:' || {SLUG('place')} AS p, 'city:' || {SLUG('city')} AS c, 'state:' || {SLUG('state')} AS s FROM {LISTED}) SELECT 'listing:' || listing_id AS from_id, p AS to_id, 'LOCATED_IN' AS kind FROM l UNION SELECT p, c, 'IN_CITY' FROM l UNION SELECT c, s, 'IN_STATE' FROM l"),
     "u3_distinct": (lambda s, d: listings(s, d).select("city", "state").distinct(), f"SELECT DISTINCT city, state FROM {LISTED}"),

@@ -157,7 +157,7 @@ QUERIES = {
     "t7_phrase": (lambda s, d: table(s, d, "documents").where(search.has_phrase(F.col("text"), "of the")).select("doc_id"), f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOK}, ' ') || ' ', ' of the ')"),
     "t8_fuzzy": (t8_fuzzy, f"WITH v AS (SELECT DISTINCT term, {ONE_BYTE.format('term')} AS t FROM (SELECT unnest({TOK}) AS term FROM documents)), q AS (SELECT query_id, asked, {ONE_BYTE.format('asked')} AS a FROM (SELECT query_id, unnest(list_distinct({TOK})) AS asked FROM {ASKED})) SELECT query_id, asked, term, CAST(levenshtein(a, t) AS INT) AS edits FROM q JOIN v ON substr(a, 1, 2) = substr(t, 1, 2) WHERE abs(length(a) - length(t)) <= 2 AND levenshtein(a, t) <= CASE WHEN length(a) <= 2 THEN 0 WHEN length(a) <= 5 THEN 1 ELSE 2 END"),
     "t9_filtered": (t9_filtered, f"WITH {BM25.replace('FROM documents)', chr(70) + 'ROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')} SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) WHERE rank <= 2"),
-    "t12_highlight": (lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(search.highlight(F.col("text"), "the"), " ... ").alias("fragments")), None),
+    "t12_highlight": (lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(search.highlight(F.col("text"), "the"), " ... ").alias("fragments")), r"SELECT doc_id, array_to_string(list_transform(list_slice(regexp_extract_all(text, '(?is).{0,60}\bthe\b.{0,60}'), 1, 3), lambda x: regexp_replace(x, '(?i)\b(the)\b', '<em>\1</em>', 'g')), ' ... ') AS fragments FROM documents"),
     "t13_labels": (t13_labels, f"WITH q AS (SELECT query_id, unnest(list_distinct({TOK})) AS term FROM {ASKED}), t AS (SELECT doc_id, unnest(list_distinct({TOK})) AS term, 1 AS grade FROM documents UNION ALL SELECT doc_id, unnest(list_distinct({TOK})), 3 FROM (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)) SELECT query_id, doc_id, max(grade) AS grade FROM q JOIN t USING (term) GROUP BY 1, 2"),
     "v1_nearest": (v1_nearest, "SELECT * FROM (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: (i % 7 - 3)::DOUBLE)), 6) AS score FROM embeddings WHERE label < 8) WHERE score >= -0.5 ORDER BY score DESC, id LIMIT 10"),
     "v4_knn": (v4_knn, f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({KNN}) WHERE rank <= 5"),

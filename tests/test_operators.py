@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vectors
-from cairn.operators import checks, chunks, evaluate, facets, filters, graph, html, search, vector
+from cairn.operators import checks, chunks, evaluate, facets, filters, graph, html, scores, search, vector
 from cairn.sources import sinks
 from cairn.streaming import events
 
@@ -219,3 +219,15 @@ def test_means_beside_their_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 7.0)], "k string, v double")
     got = {(r.k, r.v, r.m) for r in facets.with_means(df, "k", {"m": "v"}).collect()}
     assert got == {("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 5.0, 5.0), (None, 7.0, None)}
+
+
+def test_search_sizes_are_capped():
+    assert [filters.search_sizes(n) for n in (3, 15, 30, 500)] == [(3, 15, 30), (15, 75, 150), (30, 100, 200), (100, 100, 200)]
+
+
+def test_lifestyles_and_associations(spark):
+    rows = spark.createDataFrame([(70, 8.0, ["a", "b"]), (70, None, ["a"]), (10, 9.0, []), (None, 1.0, None)], "walk int, school double, names array<string>")
+    made = scores.association(F.col("names"))
+    got = rows.select(scores.lifestyle(F.col("walk"), F.col("school")).alias("kind"), *[c.alias(n) for n, c in made.items()]).collect()
+    assert [r.kind for r in got] == ["family_friendly_urban", "urban_lifestyle", "family_oriented", "standard_community"]
+    assert [(r.facet, r.boost, r.n, r.associated) for r in got] == [("multi_neighborhood", 0.15, 2, True), ("has_neighborhood", 0.1, 1, True)] + [("no_neighborhood", 0.0, 0, False)] * 2
