@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from cairn.functions.text import tokens
 
 K1, B = 1.2, 0.75
+#: Characters of all query terms up to which they are sent to every task; more are joined by shuffling.
+SMALL_QUERIES = 4_000_000
 
 
 def postings(docs: DataFrame, id_col: str, fields: Sequence[str], stop: Sequence[str] = ()) -> DataFrame:
@@ -37,14 +39,17 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", field: str
     made = docs.select(F.col(id_col).alias("doc_id"), _without(tokens(F.col(field)), stop).alias("t")).withColumn("doc_len", F.size("t"))
     corpus = made.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     asked = query_terms(queries, stop)
-    wanted = asked.select("term").distinct()
+    size = asked.agg(F.sum(F.length("term") + 16)).first()[0] or 0
+    beside = F.broadcast if size <= SMALL_QUERIES else (lambda df: df)
+    wanted = beside(asked.select("term").distinct())
     hits = made.select("doc_id", "doc_len", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    post = hits.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    # Postings lie by document, so that the scores of all queries are summed where they are.
+    post = hits.repartition("doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "term").join(F.broadcast(corpus))  # one row
+    weighed = beside(asked.join(df, "term").join(F.broadcast(corpus)).withColumn("idf", idf))  # one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return weighed.withColumn("idf", idf).join(post, "term").withColumn("part", part).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
+    return post.join(weighed, "term").withColumn("part", part).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
 
 
 def multi_match(docs: DataFrame, queries: DataFrame, fields: Mapping[str, float], mode: str = "best_fields", id_col: str = "doc_id") -> DataFrame:
