@@ -108,7 +108,7 @@ def a19_luxury_share(spark, d):
 
 
 def a20_segments(spark, d):
-    return rounded(listings(spark, d).groupBy("city", facets.ladder(F.col("price"), CUTS, BANDS).alias("segment")).agg(F.count("*").alias("n"), F.avg("price").alias("avg_price")), "avg_price", digits=2)
+    return rounded(listings(spark, d).groupBy("city", facets.ladder(F.col("price"), CUTS, BANDS).alias("segment")).agg(F.count("*").alias("n"), (F.avg(facets.cents("price")).cast("double") / 100).alias("avg_price")), "avg_price", digits=2)
 
 
 def a22_hit_bands(spark, d):
