@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur elsewhere, by distributed prefix doubling over sampled positions.
+"""Removal of byte strings that occur elsewhere, by rounds of growing strings over sampled positions, in place of prefix doubling.
 
 A window is a string of ``length`` bytes. Ranking all positions of a corpus at each offset would sort every byte several times
 over, so ranks are kept for sampled positions: a window stands at the k-byte string with the least hash inside it, which equal
