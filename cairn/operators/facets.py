@@ -63,11 +63,6 @@ def extended_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
     return df.groupBy(*by).agg(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), F.sum(c).alias("total"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("variance"), (F.max(c) - F.min(c)).alias("range"))
 
 
-def cents(value: str) -> Column:
-    """Amounts as whole hundredths: their sums and means do not depend on the order of rows."""
-    return F.round(F.col(value) * 100).cast("decimal(20,0)")
-
-
 def with_means(df: DataFrame, by: str, means: dict[str, str]) -> DataFrame:
     """``df`` with the mean of columns over the rows with its ``by``, as new name -> column; null where ``by`` is null.
 
