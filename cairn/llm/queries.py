@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dartminhash, imatch, langid, lines, mixing, periodic, pieces, quality, suffixes, toxicity, warc
+from . import alignment, dartminhash, imatch, langid, lines, mixing, periodic, pieces, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_language_id": langid.op9_language_id,
     "op10_imatch": imatch.op10_imatch,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
