@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, dartminhash, imatch, langid, lines, mixing, periodic, pieces, quality, suffixes, toxicity, warc
+from . import alignment, dartminhash, imatch, langid, lines, machine, mixing, periodic, pieces, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_imatch": imatch.op10_imatch,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_quality_machine": machine.op12_quality_machine,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
