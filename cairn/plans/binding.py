@@ -24,10 +24,5 @@ def listing_features(spark: SparkSession, d: str) -> DataFrame:
     return li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("listing_id"), F.col("p_brand").alias("feature")).distinct()
 
 
-def listing_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (listing_id, feature) with the parts themselves as features: many, and few listings to each."""
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_partkey").alias("feature")).distinct()
-
-
 def tagged_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), F.split("p_name", " ").alias("tags"))

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions import geo, text
-from cairn.operators import facets, filters, graph, spatial
-from cairn.plans.binding import listing_features, listing_parts, listings
+from cairn.operators import facets, filters, graph, overlap, spatial
+from cairn.plans.binding import listing_features, listings
 from cairn.plans.queries_aggregate import BAND_SQL, BANDS, CUTS, HAV, LISTED
 from cairn.sources import sinks
 from cairn.sources.tables import table
 
-PARTS = "(SELECT DISTINCT l_orderkey AS listing_id, l_partkey AS feature FROM lineitem)"
 FEATS = "(SELECT DISTINCT l_orderkey AS listing_id, p_brand AS feature FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
@@ -108,7 +107,10 @@ def j8_orphans(s, d):
 
 
 def j9_shared(s, d):
-    return graph.shared_pairs(listing_parts(s, d), "listing_id", "feature", 2).withColumnRenamed("together", "shared")
+    """Listings with four brands in common: pairs of the least listings of equal brand sets, and which set each listing has."""
+    sets = overlap.feature_sets(listing_features(s, d), "listing_id", "feature")
+    pairs = overlap.class_pairs(overlap.classes(sets), 4).select(F.lit("pair").alias("part"), "a", "b", F.col("together").alias("shared"))
+    return pairs.union(overlap.members(sets).select(F.lit("member"), "item", "rep", F.size("features").cast("long")))
 
 
 def j10_gaps(s, d):
@@ -278,7 +280,7 @@ QUERIES = {
     "j6_semi": (lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
     "j7_unprocessed": (j7_unprocessed, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "j8_orphans": (j8_orphans, "SELECT -1::BIGINT AS c_custkey, count(*) AS orphans FROM orders WHERE o_orderkey % 11 = 0"),
-    "j9_shared": (j9_shared, f"WITH f AS {PARTS} SELECT a.listing_id AS a, b.listing_id AS b, count(*) AS shared FROM f a JOIN f b ON a.feature = b.feature AND a.listing_id < b.listing_id GROUP BY 1, 2 HAVING count(*) >= 2"),
+    "j9_shared": (j9_shared, f"WITH s AS MATERIALIZED (SELECT listing_id, list_sort(list(feature)) AS l FROM {FEATS} GROUP BY 1), c AS MATERIALIZED (SELECT l, min(listing_id) AS rep FROM s GROUP BY 1), x AS MATERIALIZED (SELECT rep, unnest(l) AS f FROM c) SELECT 'pair' AS part, a.rep AS a, b.rep AS b, count(*) AS shared FROM x a JOIN x b ON a.f = b.f AND a.rep < b.rep GROUP BY ALL HAVING count(*) >= 4 UNION ALL SELECT 'member', listing_id, rep, len(l) FROM s JOIN c USING (l)"),
     "j10_gaps": (j10_gaps, f"WITH g AS (SELECT state, city, avg(price) AS p FROM {LISTED} GROUP BY 1, 2) SELECT a.state, a.city AS a, b.city AS b, round((b.p - a.p) / a.p * 100, 4) AS percent FROM g a JOIN g b ON a.state = b.state AND b.p > a.p"),
     "j11_tag_pairs": (j11_tag_pairs, "WITH t AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS tag FROM part) SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS common FROM t a JOIN t b ON a.tag = b.tag AND a.p_brand < b.p_brand GROUP BY 1, 2 HAVING count(*) >= 2"),
     "j12_refs": (j12_refs, "SELECT l.doc_id, string_agg(d.doc_id || ':' || d.lang, ',' ORDER BY pos) AS articles, round(sum(CASE WHEN pos = 0 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END), 6) AS confidence FROM (SELECT doc_id, unnest([0, 1, 2]) AS pos FROM labels) l JOIN documents d ON d.doc_id = l.doc_id + pos GROUP BY 1"),
