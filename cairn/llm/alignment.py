@@ -13,24 +13,30 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import load, stash, unused
-from .pieces import SHORT, SPACE, default_model, slices, table
+from .pieces import SPACE, default_model, slices
 
 #: A unit begins with white space that starts with a blank, tab or line feed, or with the text. Other white space joins units: pieces like
 #: ";\r" span its start.
 UNIT = re.compile(r"\s*\S+(?:[^\S \t\n]\s*\S+)*(?:[^\S \t\n]\s*\Z)?|\s+")
 
 
+# Fixed value: where byte-level tokenizers cut a text before merging.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def default_bytes_model() -> str:
     """The place of the public 50k byte-level BPE on this machine."""
     import public_tokenizers
@@ -58,70 +64,100 @@ def group_labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np
         after = doubled
 
 
+def bytes_encoder(a_json: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """How a byte-level BPE encodes, special tokens' strings as text; and the bytes of its ids."""
+    model, letter = json.loads(a_json), byte_letters()
+    before, entries = model.get("pre_tokenizer") or {}, model["model"]["vocab"]
+    if model.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        raise ValueError("A must be a byte-level tokenizer that cuts at white space, without normalizer and prefix space")
+    spelled = {i: bytes(letter[c] for c in t) for t, i in entries.items()}
+    known = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    if all(entries["".join(m)] == 256 + k for k, m in enumerate(merges)):  # ids are ranks
+        coder = tiktoken.Encoding("A", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks={t: i for i, t in spelled.items()}, special_tokens={})
+        return coder.encode_ordinary, known
+    coder = Tokenizer.from_str(a_json)
+    coder.encode_special_tokens = True
+    return lambda text: coder.encode(text, add_special_tokens=False).ids, known
+
+
 class Aligner:
     """Both tokenizers, and a bounded cache of units: the groups of each as text, its counts, and the id pairs that end together."""
 
-    def __init__(self, a_json: str, b_model: bytes, cache_units: int = 200_000, cache_chars: int = 4_000_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.a, self.b, self.limits = Tokenizer.from_str(a_json), table(b_model), (cache_units, cache_chars)
-        self.a.encode_special_tokens = True
-        letter = byte_letters()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(letter[c] for c in token) if all(c in letter for c in token) else token.encode()
-        self.b_bytes = [bytes([self.b.byte_of[i]]) if i in self.b.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.b.pieces)]
-        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_names = [str(i) for i in range(len(self.a_bytes))]
-        if any(re.search(r"\S[ \t\n]", p.replace(SPACE, " ")) for p in self.b.pieces):
+    def __init__(self, a_json: str, b_model: bytes, cache_units: int = 400_000, cache_chars: int = 8_000_000):
+        self.limits = cache_units, cache_chars
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.encode_a, self.a_bytes = bytes_encoder(a_json)
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        if any(re.search(r"\S[ \t\n]", p.replace(SPACE, " ")) for p in pieces):
             raise ValueError("a piece spans the start of white space: units cannot be encoded each by itself")
-        kind = json.loads(a_json)
-        before = kind.get("pre_tokenizer") or {}
-        if kind.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
-            raise ValueError("A must be a byte-level tokenizer that cuts at white space, without normalizer and prefix space")
+        self.before = len(self.b.encode("x"))
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        # Ids as text with what follows them: inside a group, at the end of its A part, at its end.
+        names = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
+        self.names_a = names(len(self.a_bytes), ","), names(len(self.a_bytes), "|")
+        self.names_b = names(len(self.b_bytes), ","), names(len(self.b_bytes), ";")
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.held = 0
-        self.groups: list[str | None] = []  # None: the bytes of the tokens are not those of the unit
+        self.groups: list[str | None] = []  # each group ends with ";"; None: the bytes of the tokens are not those of the unit
         self.counts = np.zeros((0, 3), np.int64)  # tokens of A, of B, and groups
         self.pairs, self.edges = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def pieces(self, units: list[str]) -> list[list[int]]:
-        short = [u.replace(" ", SPACE) for u in units if len(u) <= SHORT]
-        tokens, ends = self.b.tokens_of_all(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        parts = iter(np.split(tokens, ends[:-1]) if len(ends) else [])
-        out = [next(parts).tolist() if len(u) <= SHORT else self.b.tokens(u.replace(" ", SPACE)) for u in units]
-        return [self.b.ids(t) if t and min(t) < 0 else t for t in out]
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of units in a row, which begin with white space; None if the tokens of A or B do not spell them."""
+        a, b, raw = self.encode_a(text), self.b.encode("x" + text)[self.before :], text.encode()  # " x" is a unit of its own
+        return (a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)) else None
+
+    def encoded(self, units: list[str]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+        """Units with their ids, many at a time; those that are not spelled come without ids."""
+        alone = [u for u in units if u[-1].isspace() or SPACE in u]  # white space may only be followed by the end of a text
+        rest = [u for u in units if not (u[-1].isspace() or SPACE in u)]
+        parts = [rest[k : k + 2000] for k in range(0, len(rest), 2000)] + [[u] for u in alone]
+        while parts:
+            part = parts.pop()
+            found = self.encode("".join(part))
+            if found or len(part) == 1:
+                yield part, *(found or ([], []))
+            else:
+                parts += [part[: len(part) // 2], part[len(part) // 2 :]]
 
     def learn(self, units: list[str]) -> None:
         """Encode and align units, all at once."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.pieces(units)
-        raw = [u.encode() for u in units]
+        order, a, b = [], [], []
+        for part, x, y in self.encoded(units):
+            order += part
+            a += x
+            b += y
+            if not x:
+                self.index[order.pop()] = len(self.groups)
+                self.groups.append(None)
         self.held += sum(map(len, units))
-        good = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(a, b, raw, strict=True)]
-        flat_a = np.array([i for x, ok in zip(a, good, strict=True) if ok for i in x], np.int64)
-        flat_b = np.array([i for y, ok in zip(b, good, strict=True) if ok for i in y], np.int64)
-        label_a, label_b = group_labels(np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b]))
-        last_a = np.flatnonzero(np.concatenate([label_a[1:] != label_a[:-1], [True]])) if len(label_a) else label_a
-        last_b = np.flatnonzero(np.concatenate([label_b[1:] != label_b[:-1], [True]])) if len(label_b) else label_b
-        begin_a, begin_b = np.concatenate([[0], last_a[:-1] + 1]), np.concatenate([[0], last_b[:-1] + 1])
-        names_a, names_b = [self.a_names[i] for i in flat_a.tolist()], [self.b.names[i] for i in flat_b.tolist()]
-        texts = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in zip(begin_a.tolist(), (last_a + 1).tolist(), begin_b.tolist(), (last_b + 1).tolist(), strict=False)]
-        ends = np.searchsorted(last_a, np.cumsum([len(x) if ok else 0 for x, ok in zip(a, good, strict=True)]) - 1, side="right")
-        ends = np.where(np.cumsum(good) > 0, ends, 0)
+        self.counts = np.concatenate([self.counts, np.zeros((len(self.groups) - len(self.counts), 3), np.int64)])
+        self.edges = np.concatenate([self.edges, np.full(len(self.groups) + 1 - len(self.edges), self.edges[-1])])
+        if not order:
+            return
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        label_a, label_b = group_labels(ends_a, ends_b)
+        closes_a, closes_b = (np.concatenate([x[1:] != x[:-1], [True]]) for x in (label_a, label_b))
+        # All tokens in a row, group after group, of A first: how many come before each group, and before each unit.
+        names = np.concatenate([np.where(closes_a, self.names_a[1][a], self.names_a[0][a]), np.where(closes_b, self.names_b[1][b], self.names_b[0][b])])
+        names = names[np.argsort(np.concatenate([2 * label_a, 2 * label_b + 1]), kind="stable")].tolist()
+        ends = np.cumsum([len(u.encode()) for u in order])
+        to_a, to_b, to_group = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1, np.searchsorted(ends_a[closes_a], ends) + 1
         begin = 0
-        for u, ok, end in zip(units, good, ends.tolist(), strict=True):
+        for u, end in zip(order, (to_a + to_b).tolist(), strict=True):
             self.index[u] = len(self.groups)
-            self.groups.append(";".join(texts[begin:end]) if ok else None)
+            self.groups.append("".join(names[begin:end]))
             begin = end
-        sizes = np.diff(np.concatenate([[0], ends]))
-        self.counts = np.concatenate([self.counts, np.stack([[len(x) for x in a], [len(y) for y in b], sizes], 1)])
-        self.pairs = np.concatenate([self.pairs, flat_a[last_a] * len(self.b_bytes) + flat_b[last_b]])
-        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes)])
+        sizes = np.stack([np.diff(x, prepend=0) for x in (to_a, to_b, to_group)], 1)
+        self.counts = np.concatenate([self.counts, sizes])
+        self.pairs = np.concatenate([self.pairs, a[closes_a] * len(self.b_bytes) + b[closes_b]])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes[:, 2])])
 
     def align(self, texts: list[str | None]) -> dict[str, pa.Array]:
         """The columns of ALIGNED, and ``groups``, for some texts."""
@@ -135,7 +171,7 @@ class Aligner:
         rows = [list(map(self.index.__getitem__, units)) for units in cut]
         groups = [[self.groups[i] for i in row] for row in rows]
         rows = [[] if None in g else row for row, g in zip(rows, groups, strict=True)]
-        groups = ["" if None in g else ";".join(g) for g in groups]
+        groups = ["" if None in g else "".join(g)[:-1] for g in groups]
         unit, doc = np.array([i for row in rows for i in row], np.int64), np.repeat(np.arange(len(rows)), [len(row) for row in rows])
         n_a, n_b, n_groups = (np.bincount(doc, self.counts[unit, k], len(rows)).astype(np.int64) for k in range(3))
         # How often each text has each unit, then each pair of ids.
@@ -231,6 +267,5 @@ def with_link_statistics(aligned: DataFrame, size_b: int) -> DataFrame:
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     aligned = stash(align_tokenizers(docs, add=("n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times")).drop("text"), "aligned")
-    with open(default_model(), "rb") as f:
-        size_b = len(table(f.read()).pieces)
+    size_b = sentencepiece.SentencePieceProcessor(model_file=default_model()).get_piece_size()
     return with_link_statistics(aligned, size_b).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
