@@ -79,11 +79,13 @@ def bounded_sample(rows: DataFrame, hash_col: str, most: int, by: str | None = N
     groups = rows.groupBy(by).count().collect() if by else [(None, rows.count())]
     each = max(least, most // max(1, len(groups)))
     share = lambda n: min(1.0, (1.2 * each + 100) / max(n, 1))
-    cut = F.lit(None).cast("long")
+    cut, last = F.lit(None).cast("long"), -(2**63)
     for value, n in groups:
         top = min(2**63 - 1, int(-(2**63) + share(n) * 2**64))
+        last = max(last, top)
         cut = F.when(F.col(by) == value, F.lit(top)).otherwise(cut) if by else F.lit(top)
     drawn = {}
-    for row in sorted(rows.where(F.col(hash_col) <= cut).collect(), key=lambda r: (r[hash_col], str(r))):
+    few = rows.where(F.col(hash_col) <= F.lit(last))  # a bound that does not depend on the group reaches below joins
+    for row in sorted(few.where(F.col(hash_col) <= cut).collect(), key=lambda r: (r[hash_col], str(r))):
         drawn.setdefault(row[by] if by else 0, []).append(row)
     return [row for group in drawn.values() for row in group[:each]]
