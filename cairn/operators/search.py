@@ -79,12 +79,32 @@ def has_phrase(text: Column, phrase: str) -> Column:
 
 
 def fuzzy_terms(vocabulary: DataFrame, asked: DataFrame, prefix: int = 2) -> DataFrame:
-    """``query_id, asked, term, edits``: vocabulary terms with the same prefix within 0, 1 or 2 edits, by length of the asked term."""
+    """``query_id, asked, term, edits``: vocabulary terms with the same prefix within 0, 1 or 2 edits, by length of the asked term.
+
+    A term within d edits keeps one of d + 1 pieces of the other whole, at most d places away. Terms meet on a piece beside
+    the prefix, the length and the number of the piece, so a common prefix is no hot key, and the distance is taken of what met.
+    """
     allowed = F.when(F.length("asked") <= 2, 0).when(F.length("asked") <= 5, 1).otherwise(2)
-    a = asked.select("query_id", F.col("term").alias("asked"), F.substring("term", 1, prefix).alias("p"))
-    v = vocabulary.select("term", F.substring("term", 1, prefix).alias("p"))
-    met = a.join(v, "p").where(F.abs(F.length("asked") - F.length("term")) <= 2).withColumn("edits", F.levenshtein("asked", "term"))
-    return met.where(F.col("edits") <= allowed).drop("p")
+    rest = lambda c: F.expr(f"substring({c}, {prefix + 1})")
+    begin = lambda i, m, n: F.floor(i * m / n).cast("int")
+
+    def explode_range(df: DataFrame, name: str, first, last) -> DataFrame:
+        return df.withColumn(name, F.explode(F.sequence(first, last)))
+
+    # Each term of the vocabulary in one, two and three pieces.
+    v = vocabulary.select("term").distinct().withColumns({"p": F.substring("term", 1, prefix), "r": rest("term")}).withColumn("m", F.length("r"))
+    v = explode_range(explode_range(v, "d", F.lit(0), F.lit(2)), "i", F.lit(0), F.col("d"))
+    start, end = begin(F.col("i"), F.col("m"), F.col("d") + 1), begin(F.col("i") + 1, F.col("m"), F.col("d") + 1)
+    v = v.select("term", "p", "d", "m", "i", F.substring(F.col("r"), start + 1, end - start).alias("piece"))
+    # What an asked term has near the place of each piece, for each length that its terms can have.
+    a = asked.select("query_id", F.col("term").alias("asked")).withColumns({"d": allowed, "p": F.substring("asked", 1, prefix), "r": rest("asked")})
+    a = explode_range(a, "m", F.greatest(F.length("r") - F.col("d"), F.lit(0)), F.length("r") + F.col("d"))
+    a = explode_range(explode_range(a, "i", F.lit(0), F.col("d")), "shift", -F.col("d"), F.col("d"))
+    at = begin(F.col("i"), F.col("m"), F.col("d") + 1) + F.col("shift")
+    long = begin(F.col("i") + 1, F.col("m"), F.col("d") + 1) - begin(F.col("i"), F.col("m"), F.col("d") + 1)
+    keys = a.where((at >= 0) & (at + long <= F.length("r"))).select("query_id", "asked", "p", "d", "m", "i", F.substring(F.col("r"), at + 1, long).alias("piece")).distinct()
+    met = keys.join(v, ["p", "d", "m", "i", "piece"]).select("query_id", "asked", "d", "term").distinct().withColumn("edits", F.levenshtein("asked", "term"))
+    return met.where(F.col("edits") <= F.col("d")).drop("d")
 
 
 def highlight(text: Column, word: str, around: int = 60, most: int = 3) -> Column:

@@ -79,6 +79,56 @@ def nearest_join(queries: DataFrame, corpus: DataFrame, k: int, *, id_col: str =
     return best.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k)
 
 
+def inverted_file(corpus: DataFrame, path: str, *, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 16, sample: int = 20_000, block: int = 2000, seed: int = 7) -> DataFrame:
+    """Write ``corpus`` by its nearest of ``cells`` centroids under ``path`` and return ``cell, centre, rows, blocks``.
+
+    Centroids are fitted on at most about ``sample`` rows, by a hash of the id; every row is indexed. A cell is cut into
+    blocks of about ``block`` rows by a hash, so that a crowded cell is no hot key. Zero vectors go to the first cell; null vectors are left out.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    unit = rows.withColumn("u", F.when(norm(F.col("v")) > 0, F.transform("v", lambda x: x / norm(F.col("v")))).otherwise(F.col("v")))
+    share = min(1.0, sample / max(1, unit.count()))
+    drawn = unit.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(array_to_vector("u").alias("features"))
+    centres = [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=15).fit(drawn).clusterCenters()]
+    table = np.array(centres)
+
+    @F.pandas_udf("int")
+    def nearest_cell(batch: pd.Series) -> pd.Series:
+        x = np.array([list(v) for v in batch]).reshape(len(batch), -1)
+        return pd.Series(((x[:, None, :] - table[None]) ** 2).sum(2).argmin(1).astype(np.int32))
+
+    placed = unit.withColumn("cell", nearest_cell("u"))
+    sizes = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # one row for each cell
+    blocks = {c: max(1, -(-n // block)) for c, n in sizes.items()}
+    many = F.create_map(*[F.lit(x) for kv in (blocks or {0: 1}).items() for x in kv])
+    laid = placed.withColumn("block", F.pmod(F.xxhash64("id"), many[F.col("cell")]).cast("int")).select("id", "u", "block", "cell")
+    laid.repartition("cell", "block").write.mode("overwrite").partitionBy("cell").parquet(path)
+    return corpus.sparkSession.createDataFrame([(c, centres[c], n, blocks[c]) for c, n in sizes.items()], "cell int, centre array<double>, rows long, blocks int")
+
+
+def probe(queries: DataFrame, path: str, cells: DataFrame, k: int, num_candidates: int, *, id_col: str = "vec_id", vec_col: str = "embedding", same: bool = False) -> DataFrame:
+    """``query_id, id, score, rank``: of each query the ``k`` best among the rows of its nearest cells, as many cells as have ``num_candidates`` rows.
+
+    Only folders of probed cells are read. ``same`` leaves out a row as its own neighbour.
+    """
+    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
+    unit = q.withColumn("u", F.when(F.col("n") > 0, F.transform("v", lambda x: x / F.col("n"))).otherwise(F.col("v"))).select("query_id", "u")
+    away = F.aggregate(F.zip_with("u", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    near = Window.partitionBy("query_id").orderBy("away", "cell")
+    ranked = unit.join(F.broadcast(cells)).withColumn("away", away)  # a row for each cell
+    before = F.coalesce(F.sum("rows").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    probed = ranked.withColumn("before", before).where(F.col("before") < num_candidates).select("query_id", F.col("u").alias("qu"), "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    used = [r.cell for r in probed.select("cell").distinct().collect()]
+    index = queries.sparkSession.read.parquet(path).where(F.col("cell").isin(used))
+    met = index.join(probed, ["cell", "block"])
+    scored = (met.where("id <> query_id") if same else met).select("query_id", "id", F.aggregate(F.zip_with("u", "qu", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
+    turn = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k)
+
+
 def similar_edges(neighbours: DataFrame, least: float) -> DataFrame:
     """Undirected edges ``a < b`` of a neighbour table."""
     return neighbours.where(F.col("score") >= least).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))

@@ -46,10 +46,6 @@ def a5_histogram_by_kind(spark, d):
     return rounded(o.groupBy("bucket", F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("avg_price")), "avg_price", digits=4)
 
 
-def a6_percentiles(spark, d):
-    return rounded(facets.percentiles(table(spark, d, "orders"), "o_totalprice", [25, 50, 75, 90, 95, 99]), "value")
-
-
 def a7_extended_stats(spark, d):
     out = facets.extended_stats(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"])
     return rounded(out, "mean", "total", "std", "range", digits=3).withColumn("variance", F.round("variance", 0))
@@ -125,10 +121,6 @@ def a23_metadata_counts(spark, d):
     return docs.unpivot([], ["lang", "source"], "field", "value").groupBy("field", F.coalesce("value", F.lit("null")).alias("value")).agg(F.count("*").alias("n"))
 
 
-def a25_describe(spark, d):
-    return rounded(table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("mean"), F.median("p_retailprice").alias("median"), F.stddev_samp("p_retailprice").alias("std")), "mean", "median", "std", digits=4)
-
-
 def a26_correlation(spark, d):
     return table(spark, d, "lineitem").agg(*[F.round(F.corr("l_extendedprice", c), 6).alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
 
@@ -181,7 +173,6 @@ QUERIES = {
     "a4_histogram": (a4_histogram, "SELECT floor(o_totalprice / 50000) * 50000.0::DOUBLE AS bucket, count(*) AS doc_count FROM orders GROUP BY 1"),
     "a4_dense_histogram": (a4_dense_histogram, "SELECT g * 25000.0::DOUBLE AS bucket, count(o_orderkey) AS doc_count FROM range(0, 25) t(g) LEFT JOIN orders ON floor(o_totalprice / 25000) = g GROUP BY g"),
     "a5_histogram_by_kind": (a5_histogram_by_kind, "SELECT floor(o_totalprice / 100000) * 100000.0::DOUBLE AS bucket, o_orderpriority AS kind, count(*) AS n, round(avg(o_totalprice), 4) AS avg_price FROM orders GROUP BY 1, 2"),
-    "a6_percentiles": (a6_percentiles, "SELECT p::DOUBLE AS percent, round(v, 6) AS value FROM (SELECT unnest([25, 50, 75, 90, 95, 99]) AS p, unnest(quantile_cont(o_totalprice, [0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS v FROM orders)"),
     "a7_extended_stats": (a7_extended_stats, "SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most, round(avg(l_extendedprice), 3) AS mean, round(sum(l_extendedprice), 3) AS total, round(stddev_pop(l_extendedprice), 3) AS std, round(var_pop(l_extendedprice), 0) AS variance, round(max(l_extendedprice) - min(l_extendedprice), 3) AS range FROM lineitem GROUP BY 1"),
     "a8_compiled": (a8_compiled, "SELECT l_linestatus, count(*) AS doc_count, round(sum(l_quantity), 2) AS qty, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
     "a9_date_histogram": (a9_date_histogram, "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) AS doc_count, round(sum(value), 3) AS total FROM events GROUP BY 1"),
@@ -191,7 +182,6 @@ QUERIES = {
     "a13_features": (a13_features, "SELECT feature, count(*) AS n FROM (SELECT lower(trim(unnest(string_split(p_name, ' ')))) AS feature FROM part) WHERE feature <> '' GROUP BY 1"),
     "a14_extractions": (a14_extractions, f"SELECT 'type' AS what, p_type AS name, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'city', city, count(*) FROM {LISTED} GROUP BY 2 UNION ALL SELECT 'band', {BAND_SQL.replace('o_totalprice', 'price')}, count(*) FROM {LISTED} GROUP BY 2"),
     "a15_list_per_group": (a15_list_per_group, "SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, first(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS first_part FROM lineitem GROUP BY 1"),
-    "a16_quartiles": (lambda s, d: rounded(facets.percentiles(table(s, d, "orders"), "o_totalprice", [25, 50, 75]), "value"), "SELECT p::DOUBLE AS percent, round(v, 6) AS value FROM (SELECT unnest([25, 50, 75]) AS p, unnest(quantile_cont(o_totalprice, [0.25, 0.5, 0.75])) AS v FROM orders)"),
     "a17_samples": (a17_samples, f"SELECT city, array_to_string(list_slice(list_sort(list(DISTINCT kind)), 1, 3), ',') AS kinds, count(DISTINCT place_id) AS places FROM {LISTED} GROUP BY 1"),
     "a18_having": (a18_having, f"SELECT place_id, count(*) AS n, round(avg(price), 4) AS avg_price FROM {LISTED} GROUP BY 1 HAVING count(*) >= 20"),
     "a19_luxury_share": (a19_luxury_share, f"SELECT city, count(*) FILTER (price > 300000) AS luxury, count(*) AS n, round(count(*) FILTER (price > 300000) / count(*), 6) AS share FROM {LISTED} GROUP BY 1"),
@@ -199,7 +189,6 @@ QUERIES = {
     "a21_distribution": (lambda s, d: table(s, d, "part").groupBy("p_type", "p_size").agg(F.count("*").alias("n"), F.round(F.avg(F.size(F.split("p_name", " "))), 6).alias("avg_features")), "SELECT p_type, p_size, count(*) AS n, round(avg(len(string_split(p_name, ' '))), 6) AS avg_features FROM part GROUP BY 1, 2"),
     "a22_hit_bands": (a22_hit_bands, "WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS term FROM benchmark), t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'))) AS term FROM documents), h AS (SELECT item_id, count(DISTINCT doc_id) AS hits FROM benchmark LEFT JOIN (SELECT item_id, doc_id FROM q JOIN t USING (term)) USING (item_id) GROUP BY 1) SELECT CASE WHEN hits < 1 THEN 'none' WHEN hits < 11 THEN '1-10' WHEN hits < 101 THEN '11-100' ELSE 'over 100' END AS band, count(*) AS queries FROM h GROUP BY 1"),
     "a23_metadata_counts": (a23_metadata_counts, "SELECT 'lang' AS field, coalesce(lang, 'null') AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'null'), count(*) FROM documents GROUP BY 2"),
-    "a25_describe": (a25_describe, "SELECT p_type, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(median(p_retailprice), 4) AS median, round(stddev_samp(p_retailprice), 4) AS std FROM part GROUP BY 1"),
     "a26_correlation": (a26_correlation, "SELECT round(corr(l_extendedprice, l_quantity), 6) AS l_quantity, round(corr(l_extendedprice, l_discount), 6) AS l_discount, round(corr(l_extendedprice, l_tax), 6) AS l_tax FROM lineitem"),
     "a27_binned": (a27_binned, f"SELECT {BAND_SQL.replace('<', '<=')} AS bin, count(*) AS n FROM orders GROUP BY 1"),
     "a28_accuracy": (a28_accuracy, "SELECT count(*) AS n, count(*) FILTER (lower(lang) = 'en') AS en, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, round(avg(quality), 6) AS avg_quality FROM documents JOIN labels USING (doc_id)"),

@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_aggregate, queries_closing, queries_documents, queries_graph, queries_more, queries_named, queries_relational, queries_search
+from . import queries_aggregate, queries_closing, queries_documents, queries_graph, queries_index, queries_more, queries_named, queries_relational, queries_search
 
-MODULES = (queries_aggregate, queries_relational, queries_search, queries_graph, queries_documents, queries_more, queries_closing, queries_named)
+MODULES = (queries_aggregate, queries_relational, queries_search, queries_graph, queries_documents, queries_more, queries_closing, queries_named, queries_index)
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
