@@ -64,6 +64,25 @@ def lift(facts: DataFrame, item: str, feature: str, least: int = 5) -> DataFrame
     return joined.select("a", "b", "together", (F.col("together") * F.col("items") / (F.col("na") * F.col("nb"))).alias("lift"))
 
 
+def frequent_sets(facts: DataFrame, item: str, feature: str, least: int = 5, size: int = 3) -> DataFrame:
+    """``features, together, lift``: sets of ``size`` features or more that at least ``least`` items have, in order, by parallel pattern growth.
+
+    Lift is the share of items with the set over the product of its features' shares. Counts are summed from parts of the table; a
+    feature that fewer items have is left out before anything grows from it.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    baskets = facts.where(F.col(feature).isNotNull()).groupBy(item).agg(F.collect_set(feature).alias("items"))
+    total = baskets.count()
+    if not total:
+        return facts.sparkSession.createDataFrame([], "features array<string>, together long, lift double")
+    found = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / total), minConfidence=1.0).fit(baskets).freqItemsets
+    single = found.where(F.size("items") == 1).select(F.col("items")[0].alias("feature"), F.log(F.col("freq") / total).alias("part"))
+    sets = found.where(F.size("items") >= size).select(F.array_sort("items").alias("features"), F.col("freq").alias("together"))
+    summed = sets.withColumn("feature", F.explode("features")).join(single, "feature").groupBy("features", "together").agg(F.sum("part").alias("apart"))
+    return summed.select("features", "together", F.exp(F.log(F.col("together") / total) - F.col("apart")).alias("lift"))
+
+
 def premium(facts: DataFrame, feature: str, value: str, totals: DataFrame, baseline: int = 10) -> DataFrame:
     """Mean value of items with a feature against those without: the rest is the totals less the feature's own sums."""
     by = facts.groupBy(feature).agg(F.count("*").alias("n"), F.sum(value).alias("s"))

@@ -5,16 +5,48 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import checks, chunks, evaluate, html, incremental, scores, vector
+from cairn.operators import checks, chunks, evaluate, evidence, html, incremental, scores, vector
 from cairn.plans import medallion
 from cairn.plans.queries_aggregate import LISTED
 from cairn.plans.queries_relational import FEATS
 from cairn.plans.queries_search import KNN, queries_of
-from cairn.sources import shared, sinks
+from cairn.sources import merge, shared, sinks
+from cairn.sources.shared import new_path
 from cairn.sources.tables import table
 from cairn.streaming import events
 
 
+def place_pages(s, d):
+    """A page for each customer, with hints of each kind on some: category, info box, coordinates in four forms, lead."""
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k, n, r = F.col("c_custkey"), F.replace(F.col("n_name"), F.lit("_"), F.lit(" ")), F.col("r_name")
+    here = lambda test, *cells: F.when(test, F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in cells])).otherwise("")
+    under = lambda x: F.replace(x, F.lit(" "), F.lit("_"))
+    parts = [
+        here(k % 2 == 0, '<link rel="mw:PageProp/Category" href="./Category:Towns_in_', under(n), "_County,_", under(r), '">'),
+        here(k % 4 == 0, '<link rel="mw:PageProp/Category" href="./Category:Mountains_of_', under(n), '">'),
+        here(k % 3 == 0, '<table class="infobox"><tr><th class="infobox-above">', F.col("c_name"), ", ", r, "</th></tr><tr><th>State</th><td>", F.when(k % 9 == 0, "ASIA").otherwise(r), "[1]</td></tr><tr><th>County</th><td>", n, " County, west</td></tr></table>"),
+        here(k % 5 == 0, '<span class="geo">', k % 80, "; -", k % 170, "</span>"),
+        here(k % 5 == 1, '<a href="//maps/?params=', k % 80, "_", k % 60, "_30_N_", k % 170, '_0_0_W">map</a>'),
+        here(k % 5 == 2, "<p>At ", k % 80, "°", k % 60, "′30″N ", k % 170, "°0′0″W</p>"),
+        here(k % 7 != 0, "<p>", F.col("c_name"), " is a city in ", n, " County, ", r, ". It has parks, schools and a lively centre, and people like to live there for many reasons.</p>"),
+    ]
+    return c.select("c_custkey", F.concat(*parts).alias("html"))
+
+
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+def d3_evidence(s, d):
+    """The best hint for every field of every page."""
+    return evidence.resolved(evidence.evidence(place_pages(s, d), "c_custkey", states=REGIONS)).select(F.col("id").alias("c_custkey"), "field", "value", "source", "confidence", "agree")
+
+
+def d4_groups(s, d):
+    """Each page's category links in their groups."""
+    return evidence.category_groups(place_pages(s, d), "c_custkey", states=REGIONS).select(F.col("id").alias("c_custkey"), "kind", F.array_join("categories", ";").alias("categories"))
+
+
 def e1_tags(s, d):
     return medallion.gold(medallion.silver(medallion.bronze(s, d)))["listings"].select("listing_id", "feature_count", "segment", F.array_join("tags", "|").alias("tags"))
 
@@ -148,9 +180,12 @@ def i1_new(s, d):
 
 
 def i2_upsert(s, d):
+    """Half of the events as changes to the other half: of each user and kind the newest event of both stays."""
     e = table(s, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
-    out = sinks.upsert(e.where("event_id < 0"), e, ["user_id", "event_type"], [F.desc_nulls_last("ts"), F.asc("event_id")])
-    return out.select("user_id", "event_type", "event_id", "value")
+    path, keys, newest = new_path(s, "merged"), ["user_id", "event_type"], [F.desc_nulls_last("ts"), F.asc("event_id")]
+    for number in (0, 1):
+        merge.merge(e.where(F.col("event_id") % 2 == number), number, path, keys, newest, 8)
+    return merge.current(s, path, e.schema).select(*keys, "event_id", "value")
 
 
 def i3_cache(s, d):
@@ -179,6 +214,42 @@ def i4_stream_dedup(s, d):
     return streamed(s, d, lambda e: events.deduplicated(e.union(e), ["event_id"], "ts", "40 days").select("event_id", "event_type"), "append")
 
 
+def i4_stream_upserts(s, d):
+    """Files of events merged into a bucketed table one batch after another."""
+    e = table(s, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    path, keys = new_path(s, "stream"), ["user_id", "event_type"]
+    e.repartition(3, "event_id").write.parquet(f"{path}/in")
+    stream = events.source(s, f"{path}/in", e.schema, files=1)
+    events.upsert_into(stream, f"{path}/table", f"{path}/state", keys, [F.desc_nulls_last("ts"), F.asc("event_id")], 8).awaitTermination()
+    return merge.current(s, f"{path}/table", e.schema).select(*keys, "event_id", "value")
+
+
+def checked_orders(s, d):
+    """Orders as documents, with a key that is missing for some; the folder and the counts of the pass."""
+    path = new_path(s, "documents")
+    rows = table(s, d, "orders").withColumn("id", F.when(F.col("o_orderkey") % 100 != 7, F.col("o_orderkey")))
+    rules = {"price": F.col("o_totalprice") > 5000, "status": F.col("o_orderstatus") != "P"}
+    return path, sinks.write_documents(rows, path, "id", {"price": F.col("o_totalprice"), "kind": F.col("o_orderpriority")}, rules)
+
+
+def s9_counters(s, d):
+    """What the sink counted, beside the documents that it wrote."""
+    path, seen = checked_orders(s, d)
+    return s.read.parquet(path).where("part = 'accepted'").agg(F.count("doc").alias("documents")).select(*[F.lit(n).cast("long").alias(c) for c, n in seen.items()], "documents")
+
+
+def s9_rejected(s, d):
+    """The dead letters by kind, read from their raw rows."""
+    path, _ = checked_orders(s, d)
+    return s.read.parquet(path).where("part = 'rejected'").groupBy(F.get_json_object("raw", "$.o_orderpriority").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def q14_run(s, d):
+    """Rows of every table of a whole run of the layers; bronze listings are silver and rejected ones."""
+    seen = medallion.run(s, d, new_path(s, "layers"), 5000.0)
+    return s.createDataFrame([(stage, counts["rows"]) for stage, counts in seen.items()], "stage string, rows long")
+
+
 def i5_stream_histogram(s, d):
     return streamed(s, d, lambda e: events.histogram(e, "ts", "1 day", "1 hour", ["event_type"]), "complete")
 
@@ -194,6 +265,14 @@ g AS (SELECT query_id, sum(hit) FILTER (rank <= 5) AS hk, sum(hits / rank) FILTE
 m AS (SELECT rel.query_id, relevant, coalesce(hk, 0) AS hk, coalesce(hk, 0) / 5 AS p, coalesce(hk, 0) / relevant AS r, coalesce(ps, 0) / relevant AS ap, coalesce(1 / f, 0) AS rr,
              coalesce(dcg, 0) / (SELECT sum(1 / greatest(log2(i), 1.0)) FROM range(1, 6) t(i) WHERE i <= relevant) AS ndcg FROM rel LEFT JOIN g USING (query_id)),
 s AS (SELECT query_id, hk, relevant, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1, ap, rr, ndcg FROM m)"""
+D3_SQL = """WITH c AS (SELECT c_custkey AS k, c_name AS name, replace(n_name, '_', ' ') AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+h AS (SELECT k, 'state' AS field, r AS value, 'category' AS source, 0.9::DOUBLE AS confidence FROM c WHERE k % 2 = 0 UNION ALL SELECT k, 'county', n, 'category', 0.85 FROM c WHERE k % 2 = 0
+UNION ALL SELECT k, 'state', CASE WHEN k % 9 = 0 THEN 'ASIA' ELSE r END, 'infobox', 0.95 FROM c WHERE k % 3 = 0 UNION ALL SELECT k, 'county', n, 'infobox', 0.95 FROM c WHERE k % 3 = 0 UNION ALL SELECT k, 'city', name, 'infobox', 0.85 FROM c WHERE k % 3 = 0
+UNION ALL SELECT k, 'coordinates', printf('%.5f, %.5f', (k % 80)::DOUBLE, -(k % 170)::DOUBLE), 'geo', 0.95 FROM c WHERE k % 5 = 0
+UNION ALL SELECT k, 'coordinates', printf('%.5f, %.5f', (k % 80) + (k % 60) / 60 + 30 / 3600, -(k % 170)::DOUBLE), CASE WHEN k % 5 = 1 THEN 'link' ELSE 'text' END, CASE WHEN k % 5 = 1 THEN 0.9 ELSE 0.8 END FROM c WHERE k % 5 IN (1, 2)
+UNION ALL SELECT k, f, v, 'lead', w FROM (SELECT k, unnest(['state', 'county', 'city']) AS f, unnest([r, n, name]) AS v, unnest([0.7, 0.6, 0.6]) AS w FROM c WHERE k % 7 <> 0)),
+b AS (SELECT k, field, value, source, confidence, row_number() OVER (PARTITION BY k, field ORDER BY confidence DESC, source DESC, value DESC) AS turn FROM h)
+SELECT b.k AS c_custkey, b.field, b.value, b.source, b.confidence, CAST((SELECT count(*) FROM h WHERE h.k = b.k AND h.field = b.field AND lower(h.value) = lower(b.value)) AS INT) AS agree FROM b WHERE turn = 1"""
 QUERIES = {
     "e1_tags": (e1_tags, f"SELECT listing_id, CAST(coalesce(n, 0) AS INT) AS feature_count, {GOLD_SEG} AS segment, lower(kind) || '|' || coalesce(n, 0) || '_size|' || {GOLD_SEG} AS tags FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
     "e3_place_scores": (e3_place_scores, "SELECT c_custkey, round(live, 6) AS livability, round(least(30 * w / 10 + 50 * live / 100 + 20 * sc / 10, 100.0), 6) AS investment, CASE WHEN c_custkey * 37 < 5000 THEN 'low' WHEN c_custkey * 37 < 20000 THEN 'medium' WHEN c_custkey * 37 < 50000 THEN 'high' ELSE 'very_high' END AS density, CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS completeness FROM (SELECT *, w * 10 * 0.5::DOUBLE + sc * 10 * 0.5::DOUBLE AS live FROM (SELECT *, (c_custkey % 10)::DOUBLE AS w, (c_nationkey % 11)::DOUBLE AS sc FROM customer))"),
@@ -231,6 +310,12 @@ QUERIES = {
     "i2_upsert": (i2_upsert, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id) AS turn FROM events) WHERE turn = 1"),
     "i3_cache": (i3_cache, "SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) THEN 'known' ELSE 'new' END AS result FROM documents"),
     "i3c_routed": (i3c_routed, "SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN '' ELSE 'language ' || lang END AS reason FROM documents"),
+    "i4_stream_upserts": (i4_stream_upserts, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id) AS turn FROM events) WHERE turn = 1"),
+    "s9_counters": (s9_counters, "SELECT count(*) AS rows_in, count(*) FILTER (ok) AS rows_out, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (o_orderkey % 100 = 7) AS reason_key, count(*) FILTER (o_totalprice <= 5000) AS reason_price, count(*) FILTER (o_orderstatus = 'P') AS reason_status, count(*) FILTER (ok) AS documents FROM (SELECT *, o_orderkey % 100 <> 7 AND o_totalprice > 5000 AND o_orderstatus <> 'P' AS ok FROM orders)"),
+    "s9_rejected": (s9_rejected, "SELECT o_orderpriority AS kind, count(*) AS n FROM orders WHERE o_totalprice <= 5000 OR o_orderstatus = 'P' OR o_orderkey % 100 = 7 GROUP BY 1"),
+    "q14_run": (q14_run, f"WITH l AS (FROM {LISTED}), a AS (SELECT count(*) AS n FROM documents) SELECT 'bronze/listings' AS stage, count(*) AS rows FROM l UNION ALL SELECT 'bronze/features', count(*) FROM {FEATS} UNION ALL SELECT 'bronze/articles', n FROM a UNION ALL SELECT 'silver/listings', count(*) FROM l WHERE price > 5000 UNION ALL SELECT 'silver/articles', n FROM a UNION ALL SELECT 'rejected/listings', count(*) FROM l WHERE price <= 5000 UNION ALL SELECT 'gold/listings', count(*) FROM l WHERE price > 5000 UNION ALL SELECT 'gold/articles', n FROM a"),
+    "d3_evidence": (d3_evidence, D3_SQL),
+    "d4_groups": (d4_groups, "WITH c AS (SELECT c_custkey, replace(n_name, '_', ' ') AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), t AS (SELECT c_custkey, 'Towns in ' || n || ' County, ' || r AS x FROM c WHERE c_custkey % 2 = 0) SELECT c_custkey, 'state' AS kind, x AS categories FROM t UNION ALL SELECT c_custkey, 'county', x FROM t UNION ALL SELECT c_custkey, 'geographic', 'Mountains of ' || n FROM c WHERE c_custkey % 4 = 0"),
     "i4_stream_dedup": (i4_stream_dedup, "SELECT event_id, event_type FROM events"),
     "i5_stream_histogram": (i5_stream_histogram, "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "f17_normalized": (lambda s, d: table(s, d, "part").select("p_partkey", text.slug(F.col("p_type")).alias("type_slug"), text.topic_tags(F.col("p_name"), {"r": "red", "w": "widget"}).alias("t")).select("p_partkey", "type_slug", F.array_join("t", ",").alias("tags")), "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS type_slug, concat_ws(',', CASE WHEN contains(p_name, 'red') THEN 'r' END, CASE WHEN contains(p_name, 'widget') THEN 'w' END) AS tags FROM part"),

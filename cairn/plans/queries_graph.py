@@ -87,6 +87,12 @@ def g23_lift(s, d):
     return graph.lift(listing_features(s, d), "listing_id", "feature").withColumn("lift", F.round("lift", 6)).where("lift > 1.0")
 
 
+def g23_sets(s, d):
+    """Three brands or more that five listings have together, more often than by chance."""
+    found = graph.frequent_sets(listing_features(s, d), "listing_id", "feature", 5).withColumn("lift", F.round("lift", 6))
+    return found.where("size(features) <= 4 AND lift > 1.05").select(F.array_join("features", ",").alias("features"), "together", "lift")
+
+
 def g24_premium(s, d):
     facts = listing_features(s, d).join(listings(s, d).select("listing_id", "price"), "listing_id")
     out = graph.premium(facts, "feature", "price", listings(s, d).select("price"))
@@ -281,6 +287,7 @@ QUERIES = {
     "g21_luxury": (g21_luxury, f"SELECT listing_id, string_agg(feature, ',' ORDER BY feature) AS has FROM {FEATS} WHERE feature IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') GROUP BY 1 HAVING count(*) > 1"),
     "g22_pairs": (g22_pairs, f"SELECT a.feature AS a, b.feature AS b, count(*) AS together FROM {FEATS} a JOIN {FEATS} b ON a.listing_id = b.listing_id AND a.feature < b.feature GROUP BY 1, 2 HAVING count(*) >= 5 ORDER BY 3 DESC, 1, 2 LIMIT 15"),
     "g23_lift": (g23_lift, f"WITH f AS (SELECT * FROM {FEATS}), n AS (SELECT feature, count(*) AS n FROM f GROUP BY 1), t AS (SELECT count(DISTINCT listing_id) AS items FROM f) SELECT * FROM (SELECT p.a, p.b, together, round(together * items / (x.n * y.n), 6) AS lift FROM (SELECT a.feature AS a, b.feature AS b, count(*) AS together FROM f a JOIN f b ON a.listing_id = b.listing_id AND a.feature < b.feature GROUP BY 1, 2 HAVING count(*) >= 5) p JOIN n x ON x.feature = p.a JOIN n y ON y.feature = p.b, t) WHERE lift > 1.0"),
+    "g23_sets": (g23_sets, f"WITH f AS MATERIALIZED (SELECT * FROM {FEATS}), n AS (SELECT feature, count(*) AS n FROM f GROUP BY 1), t AS (SELECT count(DISTINCT listing_id)::DOUBLE AS t FROM f), p3 AS MATERIALIZED (SELECT a.listing_id, a.feature AS a, b.feature AS b, c.feature AS c FROM f a JOIN f b ON a.listing_id = b.listing_id AND a.feature < b.feature JOIN f c ON a.listing_id = c.listing_id AND b.feature < c.feature), s AS (SELECT [a, b, c] AS l, count(*) AS together FROM p3 GROUP BY 1 UNION ALL SELECT [a, b, c, feature], count(*) FROM p3 JOIN f USING (listing_id) WHERE feature > c GROUP BY 1) SELECT array_to_string(l, ',') AS features, together, lift FROM (SELECT l, together, round(together / t / product(n / t), 6) AS lift FROM (SELECT l, together, unnest(l) AS feature FROM s WHERE together >= 5) JOIN n USING (feature), t GROUP BY l, together, t) WHERE lift > 1.05"),
     "g24_premium": (g24_premium, f"WITH x AS (SELECT feature, count(*) AS n, sum(price) AS s FROM {FEATS} JOIN {LISTED} USING (listing_id) GROUP BY 1), t AS (SELECT count(*) AS an, sum(price) AS asum FROM {LISTED}) SELECT feature, n, round(s / n, 4) AS with_avg, round((asum - s) / (an - n), 4) AS without_avg, round((s / n - (asum - s) / (an - n)) / ((asum - s) / (an - n)) * 100, 4) AS percent FROM x, t WHERE an - n >= 10"),
     "g25_rarity": (g25_rarity, f"SELECT feature, count(*) AS n, CASE WHEN count(*) <= 3 THEN 'unique' WHEN count(*) <= 10 THEN 'rare' WHEN count(*) <= 25 THEN 'uncommon' ELSE 'common' END AS tier, round(count(*) / (SELECT count(*) FROM {LISTED}), 6) AS share FROM {FEATS} GROUP BY 1"),
     "g27_tiers": (g27_tiers, f"SELECT place_id, CASE WHEN avg(price) < 150000 THEN 'entry' WHEN avg(price) < 250000 THEN 'middle' WHEN avg(price) < 300000 THEN 'upper' ELSE 'top' END AS tier FROM {LISTED} GROUP BY 1"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from cairn.sources.sinks import latest, upsert
+from cairn.sources.merge import merge
 
 
 def source(spark: SparkSession, path: str, schema: StructType, form: str = "parquet", files: int = 100) -> DataFrame:
@@ -29,22 +29,16 @@ def histogram(stream: DataFrame, time: str, width: str, late: str, by: list[str]
     return timed(stream, time).withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("bucket"), *by, "n")
 
 
-def upsert_into(stream: DataFrame, path: str, checkpoint: str, keys: list[str], newest: str) -> StreamingQuery:
-    """Keep the newest row of each key in a table of numbered versions under ``path``; available input only, then stop.
+def upsert_into(stream: DataFrame, path: str, checkpoint: str, keys: list[str], newest: list[Column], buckets: int = 64) -> StreamingQuery:
+    """Keep the newest row of each key in the bucketed table under ``path`` (see ``sources.merge``); available input only, then stop.
 
-    Each batch writes the version of its number, so a batch that runs again replaces its own result.
+    A batch writes the buckets of its keys only; one that runs again replaces its own result.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest(batch, keys, [F.desc_nulls_last(newest)])
-        out = fresh
-        if number > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}")
-            out = upsert(before, before.join(fresh.select(*keys), keys, "left_semi").unionByName(fresh), keys, [F.desc_nulls_last(newest)])
-        out.write.mode("overwrite").parquet(f"{path}/version={number}")
+    def run(batch: DataFrame, number: int) -> None:
+        merge(batch, number, path, keys, newest, buckets)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def written(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

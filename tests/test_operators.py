@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cairn.functions import geo, text, vectors
 from cairn.operators import checks, chunks, evaluate, facets, filters, graph, html, scores, search, vector
 from cairn.sources import sinks
+from cairn.sources import merge
 from cairn.streaming import events
 
 
@@ -144,11 +145,11 @@ def test_upsert_stream(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     spark.createDataFrame([Row(k=1, t=1, v="a"), Row(k=2, t=1, v="b")]).coalesce(1).write.parquet(str(src))
     schema = spark.read.parquet(str(src)).schema
-    run = lambda: events.upsert_into(events.source(spark, str(src), schema), str(out), str(tmp_path / "ck"), ["k"], "t").awaitTermination(60)
+    run = lambda: events.upsert_into(events.source(spark, str(src), schema), str(out), str(tmp_path / "ck"), ["k"], [F.desc_nulls_last("t")], 4).awaitTermination(60)
     run()
     spark.createDataFrame([Row(k=1, t=2, v="c"), Row(k=3, t=1, v="d")]).coalesce(1).write.mode("append").parquet(str(src))
     run()
-    assert {(r.k, r.v) for r in spark.read.parquet(f"{out}/version=1").collect()} == {(1, "c"), (2, "b"), (3, "d")}
+    assert {(r.k, r.v) for r in merge.current(spark, str(out), schema).collect()} == {(1, "c"), (2, "b"), (3, "d")}
 
 
 def test_stream_histogram_equals_batch(spark, tmp_path, small):
