@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.text import tokens
+from cairn.functions.stem import stem
+from cairn.functions.text import folded, tokens
 
 K1, B = 1.2, 0.75
 #: Characters of all query terms up to which they are sent to every task; more are joined by shuffling.
@@ -26,6 +27,17 @@ def postings(docs: DataFrame, id_col: str, fields: Sequence[str], stop: Sequence
     return rows.select("doc_id", "field", "doc_len", F.explode("t").alias("term")).groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
+def analyzed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop: Sequence[str] = (), stemmed: bool = True) -> DataFrame:
+    """``doc_id, term, tf``: lower-cased terms without accents and stop words, as stems.
+
+    Each distinct term is folded and stemmed once, and the terms of documents take their stem from that table.
+    """
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.explode(_without(tokens(F.col(text_col)), stop)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    words = counted.select("word").distinct().withColumn("plain", folded(F.col("word")))
+    table = words.select("word", (stem(F.col("plain")) if stemmed else F.col("plain")).alias("term"))
+    return counted.join(table, "word").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+
+
 def _without(words: Column, stop: Sequence[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 

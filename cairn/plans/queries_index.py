@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import positions, selection, sketches, vector
+from cairn.operators import positions, search, selection, sketches, vector
 from cairn.plans.queries_search import KNN, TOK, queries_of
 from cairn.sources.shared import new_path
 from cairn.sources.tables import table
@@ -47,6 +47,17 @@ def t7_phrases(s, d):
     return positions.phrase_matches(s, path, table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+def t1_folded(s, d):
+    """Terms of all documents without accents."""
+    terms = search.analyzed(table(s, d, "documents"), stop=["the", "of"], stemmed=False)
+    return terms.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("uses"))
+
+
+def t1_stems(s, d):
+    """Stems of all documents' terms."""
+    return search.analyzed(table(s, d, "documents"), stop=["the", "of"]).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("uses"))
+
+
 def indexed(s, d, k):
     """The stated query set against an inverted file. The test vectors have no clusters, so candidates are four fifths of the rows here."""
     e, path = table(s, d, "embeddings"), new_path(s, "cells")
@@ -71,6 +82,8 @@ QUERIES = {
     "a25_describe": (a25_describe, "SELECT p_type, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(median(p_retailprice), 4) AS median, round(stddev_samp(p_retailprice), 4) AS std FROM part GROUP BY 1"),
     "a10_sketched": (a10_sketched, "SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS close FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-15' GROUP BY 1"),
     "t7_phrases": (t7_phrases, f"WITH d AS MATERIALIZED (SELECT doc_id, {TOK} AS t FROM documents), b AS MATERIALIZED (SELECT item_id AS query_id, {TOK} AS q FROM benchmark) SELECT query_id, doc_id, CAST(len(list_filter(range(1, len(t) - len(q) + 2), lambda i: t[i] = q[1] AND t[i:i + len(q) - 1] = q)) AS INT) AS found FROM d JOIN b ON contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') WHERE len(q) > 0"),
+    "t1_folded": (t1_folded, f"SELECT term, count(DISTINCT doc_id) AS documents, CAST(count(*) AS BIGINT) AS uses FROM (SELECT doc_id, strip_accents(w) AS term FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents) WHERE w NOT IN ('the', 'of')) GROUP BY 1"),
+    "t1_stems": (t1_stems, None),
     "v3_inverted_file": (v3_inverted_file, None),
     "v3_recall": (v3_recall, f"SELECT count(*) AS neighbours, TRUE AS enough FROM ({KNN}) WHERE rank <= 5"),
 }
