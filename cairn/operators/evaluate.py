@@ -12,24 +12,31 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
-    """Precision, recall, F1 at ``k``, average precision, reciprocal rank and nDCG at ``k`` of each query of ``qrels``.
+    """The measures of ``per_graded`` for a run and the grades of documents."""
+    return per_graded(judged(run, qrels), qrels.groupBy("query_id", "grade").agg(F.count("*").alias("n")), k)
 
-    Precision divides by min(k, retrieved). The gain is the grade; ranks 1 and 2 are not discounted, rank r is by log2(r).
+
+def per_graded(run: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
+    """Precision, recall, F1 at ``k``, average precision, reciprocal rank and nDCG at ``k`` of each query of ``wanted``.
+
+    ``run`` is (query_id, doc_id, rank, grade); ``wanted`` says how many documents of each grade a query has (query_id, grade, n), so
+    that no list of relevant documents is needed. Precision divides by min(k, retrieved). The gain is the grade; ranks 1 and 2 are
+    not discounted, rank r is by log2(r).
     """
-    j = judged(run, qrels)
     seen = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     hit = (F.col("grade") > 0).cast("int")
-    j = j.withColumn("hit", hit).withColumn("hits", F.sum("hit").over(seen))
+    j = run.withColumn("hit", hit).withColumn("hits", F.sum("hit").over(seen))
     discount = lambda r: F.greatest(F.log2(r), F.lit(1.0))
     got = j.groupBy("query_id").agg(
         F.count("*").alias("retrieved"), F.sum(F.when(F.col("rank") <= k, F.col("hit"))).alias("hits_k"),
         F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("rank"))).alias("precision_sum"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
         F.sum(F.when(F.col("rank") <= k, F.col("grade") / discount(F.col("rank")))).alias("dcg"),
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
-    ideal = qrels.where("grade > 0").withColumn("r", F.row_number().over(best))
-    want = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("r") <= k, F.col("grade") / discount(F.col("r")))).alias("idcg"))
-    both = qrels.select("query_id").distinct().join(want, "query_id", "left").join(got, "query_id", "left").na.fill(0)
+    good = wanted.where("grade > 0 AND n > 0")
+    first = good.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")))).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "copy")))
+    ideal = first.where(F.col("r") <= k).groupBy("query_id").agg(F.sum(F.col("grade") / discount(F.col("r"))).alias("idcg"))
+    want = good.groupBy("query_id").agg(F.sum("n").alias("relevant")).join(ideal, "query_id")
+    both = wanted.select("query_id").distinct().join(want, "query_id", "left").join(got, "query_id", "left").na.fill(0)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     both = both.withColumn("depth", F.least(F.lit(k), F.col("retrieved")))
     p, r = ratio("hits_k", "depth"), ratio("hits_k", "relevant")

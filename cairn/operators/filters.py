@@ -112,9 +112,13 @@ def node_score(nodes: Sequence[Mapping]) -> Column:
     return sum(parts, F.lit(0.0))
 
 
-def page(df: DataFrame, order: Sequence[Column], start: int, size: int, most: int = 100) -> DataFrame:
-    """Rows ``start`` to ``start + size`` in the order given, at most ``most``."""
-    return df.orderBy(*order).offset(start).limit(min(size, most))
+def page(df: DataFrame, order: Sequence[Column], start: int, size: int, total: str = "total") -> DataFrame:
+    """Rows ``start`` to ``start + size`` in the order given, with the number of all rows as ``total``.
+
+    The order is that of the page; the count is a pass of its own, so that no window holds all rows.
+    """
+    hits = df.agg(F.count("*").alias(total))
+    return df.orderBy(*order).offset(start).limit(size).join(F.broadcast(hits))  # one row
 
 
 def search_sizes(size: int) -> tuple[int, int, int]:

@@ -18,6 +18,39 @@ AMENITIES = {
 }
 
 
+# Words that make a key topic one of property, of amenities or of other things; places in scope.
+ESTATE_TOPICS = ("real estate", "housing", "property", "development", "residential", "neighborhood", "community", "homes", "architecture", "zoning", "district", "construction", "buildings")
+AMENITY_TOPICS = (
+    "tourism", "recreation", "shopping", "dining", "schools", "parks", "transit", "downtown", "historic", "cultural", "ski", "resort", "transportation", "highways", "airports",
+    "hospitals", "healthcare", "universities", "colleges",
+)
+OTHER_TOPICS = ("military", "battle", "war", "conflict", "biography", "sports team", "athlete", "album", "song", "movie", "television", "quantum physics", "molecular biology")
+TARGET_STATES, TARGET_COUNTIES, TARGET_CITIES = ("utah", "ut", "california", "ca", "calif"), ("summit", "wasatch", "san francisco", "san mateo"), ("park city", "san francisco", "palo alto")
+
+
+def has_any(value: Column, words: Sequence[str]) -> Column:
+    """Whether the lower-cased value contains one of the words; false for null."""
+    return F.coalesce(F.lower(value).rlike("|".join(words)), F.lit(False))
+
+
+def topic_relevance(state: Column, county: Column, city: Column, confidence: Column, topics: Column) -> Column:
+    """0.4 of the location, 0.5 of the key topics and 0.1 of county and city, 0.1 more above a confidence of 0.8 and 0.2 less below 0.5; 0 to 1.
+
+    A state in scope counts 1, an unknown one 0.3. Topics of property count 0.2 each beside 0.3, of amenities 0.1, of other things 0.3
+    less; with neither of the first two they count 0.2, without topics 0.3.
+    """
+    location = F.when(state.isNull(), 0.3).when(has_any(state, TARGET_STATES), 1.0).otherwise(0.0)
+    n = lambda words: F.size(F.filter(topics, lambda t: has_any(t, words)))
+    estate, amenities = n(ESTATE_TOPICS), n(AMENITY_TOPICS)
+    base = F.when(estate > 0, F.least(0.3 + 0.2 * estate, F.lit(1.0))).otherwise(0.0)
+    about = F.greatest(F.least(base + 0.1 * amenities, F.lit(1.0)) - 0.3 * n(OTHER_TOPICS), F.lit(0.0))
+    about = F.when(F.size(topics) <= 0, 0.3).when((estate == 0) & (amenities == 0), 0.2).otherwise(about)
+    scope = F.when(has_any(county, TARGET_COUNTIES), 1.0).when(county.isNotNull(), 0.5).otherwise(0.0)
+    scope = F.when(has_any(city, TARGET_CITIES), F.least(scope + 0.3, F.lit(1.0))).otherwise(scope)
+    sure = F.when(confidence > 0.8, 0.1).when(confidence < 0.5, -0.2).otherwise(0.0)
+    return F.greatest(F.least(0.4 * location + 0.5 * about + 0.1 * scope + sure, F.lit(1.0)), F.lit(0.0))
+
+
 def density(population: Column) -> Column:
     return ladder(population, *DENSITY)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text
-from cairn.operators import facets, filters, graph
+from cairn.operators import facets, filters, graph, scores
 from cairn.plans.binding import listings, tagged_parts
 from cairn.plans.queries_aggregate import LISTED
 from cairn.plans.queries_search import TOK
@@ -149,15 +149,20 @@ def g20d_connected(s, d):
     return table(s, d, "customer").select("c_custkey").join(o, "c_custkey", "left").na.fill(0, ["links"])
 
 
-TOPIC_WORDS = ("the", "und", "los", "les")
+TOPICS = ("Housing market", "Public parks", "Military history", "Ski resort", "Quantum physics", "Zoning law", "Chess")
 
 
 def e12_topic_relevance(s, d):
-    """0.4 of topic words found, 0.5 if the label's fact agrees, 0.1 for length; less for low confidence."""
-    docs = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").withColumn("t", F.array_distinct(text.tokens(F.col("text"))))
-    topic = F.size(F.array_intersect("t", F.array(*[F.lit(w) for w in TOPIC_WORDS]))) / F.lit(float(len(TOPIC_WORDS)))
-    score = 0.4 * topic + 0.5 * F.col("quality") + 0.1 * F.least(F.size("t") / 500.0, F.lit(1.0))
-    return docs.select("doc_id", F.round(F.greatest(F.least(score - F.when(F.col("toxic") == 1, 0.2).otherwise(0.0), F.lit(1.0)), F.lit(0.0)), 6).alias("relevance"))
+    """Articles with a place, a confidence and key topics by their number: location, topics, county and city parts of the score."""
+    i = F.col("doc_id")
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    topics = F.when(i % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(pick(TOPICS, i % 7), pick(TOPICS, (i * 3 + 1) % 7), pick(TOPICS, F.floor(i / 7) % 7)))
+    made = table(s, d, "documents").select(
+        "doc_id", pick(("Utah", "California", "Nevada", None), i % 4).alias("state"), pick(("Summit County", "Alameda County", None), i % 3).alias("county"),
+        pick(("Park City", "Fresno", None, "San Francisco"), F.floor(i / 4) % 4).alias("city"), ((i % 10) / 10).alias("confidence"), topics.alias("topics"),
+    )
+    score = scores.topic_relevance(F.col("state"), F.col("county"), F.col("city"), F.col("confidence"), F.col("topics"))
+    return made.select("doc_id", F.round(score, 6).alias("relevance"), (F.round(score, 6) >= 0.5).alias("relevant"))
 
 
 def e17_grades(s, d):
@@ -189,13 +194,12 @@ def s2_hierarchy(s, d):
 
 
 def s5_folder(s, d):
-    """Pages written into a folder of texts and scanned as whole files."""
-    path = new_path(s, "pages")
-    pages = table(s, d, "pages").select(F.concat_ws("\n", F.col("page_id").cast("string"), F.regexp_replace(F.coalesce("html", F.lit("")), "\\s", " ")).alias("value"))
-    pages.write.option("maxRecordsPerFile", 1).text(path)
-    lines = F.split(F.col("text"), "\n")
-    read = files.folder(s, path, "*.txt").where("text <> ''")
-    return read.select(lines[0].cast("long").alias("page_id"), F.length(lines[1]).alias("chars"))
+    """Pages written into a folder of some thousand a file, with a control character after each, and scanned again lazily with its pages whole."""
+    path, end, tab = new_path(s, "pages"), "\x1e", "\x1f"
+    pages = table(s, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(tab), F.regexp_replace(F.coalesce("html", F.lit("")), "[\x1e\x1f]", " ")).alias("value"))
+    pages.write.option("maxRecordsPerFile", 5000).option("lineSep", end).text(path)
+    parts = F.split(F.col("text"), tab, 2)
+    return files.folder(s, path, "*.txt", whole=False, separator=end).select(parts[0].cast("long").alias("page_id"), F.length(parts[1]).alias("chars"))
 
 
 def s8_layer(s, d):
@@ -223,6 +227,15 @@ C, CO, ST = (SLUG.format(x) for x in ("city", "county", "state"))
 EDGE = lambda rows: f"SELECT DISTINCT *, 1.0::DOUBLE AS weight FROM ({' UNION ALL '.join(rows)})"
 HAS = lambda col, word: f"list_contains(string_split(lower({col}), ' '), '{word}')"
 _D4 = ", ".join(f"array_to_string(list_filter(w, lambda x: regexp_matches(x, '^[{a}-{b}]'))[1:10], ' ') AS {a}_{b}" for a, b in ("ae", "fj", "ko", "pt", "uz"))
+_HAS = lambda words: "(" + " OR ".join(f"contains(lower(t), '{w}')" for w in words) + ")"
+_NTH = lambda values, at: f"(CASE {at} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values) if v) + " END)"
+E12_SQL = f"""WITH a AS (SELECT doc_id, lower({_NTH(("Utah", "California", "Nevada", None), "doc_id % 4")}) AS st, lower({_NTH(("Summit County", "Alameda County", None), "doc_id % 3")}) AS co, lower({_NTH(("Park City", "Fresno", None, "San Francisco"), "(doc_id // 4) % 4")}) AS ci,
+(doc_id % 10) / 10 AS conf, CASE WHEN doc_id % 11 = 0 THEN [] ELSE [{_NTH(TOPICS, "doc_id % 7")}, {_NTH(TOPICS, "(doc_id * 3 + 1) % 7")}, {_NTH(TOPICS, "(doc_id // 7) % 7")}] END AS ts FROM documents),
+n AS (SELECT *, len(ts) AS k, len(list_filter(ts, lambda t: {_HAS(scores.ESTATE_TOPICS)})) AS re, len(list_filter(ts, lambda t: {_HAS(scores.AMENITY_TOPICS)})) AS am, len(list_filter(ts, lambda t: {_HAS(scores.OTHER_TOPICS)})) AS ne FROM a),
+r AS (SELECT *, CASE WHEN k = 0 THEN 0.3 WHEN re = 0 AND am = 0 THEN 0.2 ELSE greatest(least(CASE WHEN re > 0 THEN least(0.3::DOUBLE + 0.2::DOUBLE * re, 1.0) ELSE 0.0::DOUBLE END + 0.1::DOUBLE * am, 1.0) - 0.3::DOUBLE * ne, 0.0) END AS rel,
+CASE WHEN st IS NULL THEN 0.3 WHEN contains(st, 'ut') OR contains(st, 'ca') THEN 1.0 ELSE 0.0 END AS loc, CASE WHEN contains(co, 'summit') OR contains(co, 'wasatch') OR contains(co, 'san francisco') OR contains(co, 'san mateo') THEN 1.0 WHEN co IS NOT NULL THEN 0.5 ELSE 0.0 END AS geo FROM n),
+f AS (SELECT doc_id, greatest(least(0.4::DOUBLE * loc + 0.5::DOUBLE * rel + 0.1::DOUBLE * CASE WHEN ci IN ('park city', 'san francisco', 'palo alto') THEN least(geo + 0.3::DOUBLE, 1.0) ELSE geo END + CASE WHEN conf > 0.8 THEN 0.1 WHEN conf < 0.5 THEN -0.2 ELSE 0.0 END, 1.0), 0.0) AS s FROM r)
+SELECT doc_id, round(s, 6) AS relevance, round(s, 6) >= 0.5 AS relevant FROM f"""
 QUERIES = {
     "p8_nodes": (p8_nodes, f"SELECT * FROM (SELECT p_partkey, (CASE WHEN {HAS('p_name', 'lime')} AND {HAS('p_name', 'red')} THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN len(list_filter(string_split(lower(p_name), ' '), lambda t: substr(t, 1, 2) = 'bl' AND levenshtein(t, 'bleu') <= 1)) > 0 THEN 0.5::DOUBLE ELSE 0 END + greatest(CASE WHEN {HAS('p_type', 'steel')} THEN 1.0::DOUBLE ELSE 0 END, CASE WHEN {HAS('p_name', 'steel')} THEN 3.0::DOUBLE ELSE 0 END) + CASE WHEN contains(' ' || lower(p_type) || ' ', ' small plated ') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN p_retailprice >= 1200 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN p_brand = 'Brand#11' THEN 4.0::DOUBLE ELSE 0 END) AS score FROM part) WHERE score > 0"),
     "p12_compound": (p12_compound, "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 40 AND (p_retailprice < 1100 OR p_brand = 'Brand#22') AND NOT starts_with(p_type, 'PROMO')"),
@@ -239,7 +252,7 @@ QUERIES = {
     "g20d_similar": (g20d_similar, "WITH t AS (SELECT DISTINCT p_brand AS brand, unnest(string_split(p_name, ' ')) AS tag FROM part), n AS (SELECT brand, count(*) AS n FROM t GROUP BY 1), p AS (SELECT a.brand AS a, b.brand AS b, count(*) AS together FROM t a JOIN t b ON a.tag = b.tag AND a.brand < b.brand GROUP BY 1, 2) SELECT * FROM (SELECT a, b, round(together / (x.n + y.n - together), 6) AS similarity FROM p JOIN n x ON x.brand = a JOIN n y ON y.brand = b) WHERE similarity > 0.5"),
     "g20d_lifestyles": (g20d_lifestyles, "SELECT tag, count(DISTINCT p_partkey) AS parts, count(DISTINCT p_brand) AS brands FROM (SELECT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1"),
     "g20d_connected": (g20d_connected, "SELECT c_custkey, count(o_orderkey) AS links FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
-    "e12_topic_relevance": (e12_topic_relevance, f"SELECT doc_id, round(greatest(least(0.4::DOUBLE * len(list_intersect(t, ['the', 'und', 'los', 'les'])) / 4 + 0.5::DOUBLE * quality + 0.1::DOUBLE * least(len(t) / 500.0::DOUBLE, 1.0) - CASE WHEN toxic = 1 THEN 0.2::DOUBLE ELSE 0 END, 1.0), 0.0), 6) AS relevance FROM (SELECT doc_id, list_distinct({TOK}) AS t FROM documents) JOIN labels USING (doc_id)"),
+    "e12_topic_relevance": (e12_topic_relevance, E12_SQL),
     "e17_grades": (e17_grades, f"WITH n AS (SELECT city, state, kind, avg(price) AS price FROM {LISTED} GROUP BY ALL) SELECT n_nationkey, city, kind, CASE WHEN city = n_name THEN 3 ELSE 2 END AS geographic, CASE WHEN abs(price - n_nationkey * 4000) < 20000 THEN 3 WHEN abs(price - n_nationkey * 4000) < 60000 THEN 2 WHEN abs(price - n_nationkey * 4000) < 120000 THEN 1 ELSE 0 END AS proximity, CASE kind WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 1 ELSE 0 END AS category FROM n JOIN region ON r_name = state JOIN nation ON n_regionkey = r_regionkey"),
     "s1_json": (s1_json, "SELECT doc_id, lang, CAST(length(text) AS INT) AS chars, true AS named FROM documents"),
     "s2_hierarchy": (s2_hierarchy, "SELECT r_name AS state, n_name AS city, CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey"),

@@ -116,8 +116,9 @@ def c7_joined(s, d):
 
 
 def c8_related(s, d):
+    """Of each turn how many others its conversation has."""
     c = table(s, d, "conversations").select("conv_id", "turn")
-    return c.join(c.withColumnRenamed("turn", "other"), "conv_id").where("turn <> other").groupBy("conv_id", "turn").agg(F.count("*").alias("related"))
+    return c.join(c.groupBy("conv_id").agg((F.count("*") - 1).alias("related")), "conv_id").where("related > 0")
 
 
 def c9_correlated(s, d):
@@ -153,20 +154,23 @@ def d6_frontier(s, d):
 
 
 def run_and_grades(s, d):
+    """The ten nearest rows of each query, graded 1 where the label is the query's; and of each query how many rows have that grade."""
     e = table(s, d, "embeddings")
+    label = e.select(F.col("vec_id").alias("doc_id"), "label")
+    q = queries_of(s, d).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
     run = vector.nearest_join(queries_of(s, d), e, 10, same=True).select("query_id", F.col("id").alias("doc_id"), "rank")
-    q = queries_of(s, d).select(F.col("vec_id").alias("query_id"), "label")
-    grades = q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("grade"))
-    return run, grades
+    judged = run.join(label, "doc_id").join(q, "query_id").select("query_id", "doc_id", "rank", (F.col("label") == F.col("own")).cast("int").alias("grade"))
+    sizes = e.groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("n"))  # all but the query itself
+    return judged, q.join(sizes, "own").select("query_id", F.lit(1).alias("grade"), "n")
 
 
 def m1_per_query(s, d):
-    out = evaluate.per_query(*run_and_grades(s, d), k=5)
+    out = evaluate.per_graded(*run_and_grades(s, d), k=5)
     return out.select("query_id", *[F.round(m, 6).alias(m) for m in evaluate.MEASURES])
 
 
 def m6_summary(s, d):
-    out = evaluate.summary(evaluate.per_query(*run_and_grades(s, d), k=5))
+    out = evaluate.summary(evaluate.per_graded(*run_and_grades(s, d), k=5))
     return out.select("queries", *[F.round(c, 6).alias(c) for c in out.columns if c != "queries"])
 
 

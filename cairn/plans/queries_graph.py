@@ -58,9 +58,9 @@ def g8_describes(s, d):
 
 
 def g13_near(s, d):
+    """NEAR without its pairs: places of a city are near each other, so each place has its city and the number of others there."""
     p = listings(s, d).select("place_id", "city").distinct()
-    a, b = p.select(F.col("place_id").alias("a"), "city"), p.select(F.col("place_id").alias("b"), "city")
-    return a.join(b, "city").where("a <> b").select("a", "b")
+    return p.join(p.groupBy("city").agg((F.count("*") - 1).alias("near")), "city").where("near > 0").select("place_id", "city", "near")
 
 
 def g15_dangling(s, d):
@@ -151,7 +151,8 @@ def g33_direct(s, d):
 
 
 def g34_gaps(s, d):
-    return listings(s, d).groupBy("city", "kind", band().alias("band")).agg(F.count("*").alias("n")).where("n <= 3")
+    fine = F.floor(F.col("price") / 25_000).cast("int")
+    return listings(s, d).groupBy("city", "kind", fine.alias("band")).agg(F.count("*").alias("n")).where("n <= 3")
 
 
 def g36_distribution(s, d):
@@ -281,7 +282,7 @@ QUERIES = {
     "g1_nodes": (g1_nodes, f"SELECT 'listing' AS node_label, count(DISTINCT listing_id) AS n FROM {LISTED} UNION ALL SELECT 'place', count(DISTINCT place_id) FROM {LISTED} UNION ALL SELECT 'city', count(DISTINCT city) FROM {LISTED} UNION ALL SELECT 'state', count(DISTINCT state) FROM {LISTED} UNION ALL SELECT 'feature', count(DISTINCT feature) FROM {FEATS} UNION ALL SELECT 'band', count(DISTINCT {PB}) FROM {LISTED}"),
     "g5_edges": (edge_table, f"WITH l AS (SELECT *, {SLUG.format('city')} AS c, {SLUG.format('state')} AS st FROM {LISTED}) SELECT DISTINCT *, 1.0::DOUBLE AS weight FROM (SELECT 'listing:' || listing_id AS from_id, 'place:' || place_id AS to_id, 'LOCATED_IN' AS relationship_type FROM l UNION ALL SELECT 'place:' || place_id, 'city:' || c, 'IN_CITY' FROM l UNION ALL SELECT 'city:' || c, 'state:' || st, 'IN_STATE' FROM l UNION ALL SELECT 'listing:' || listing_id, 'type:' || {SLUG.format('kind')}, 'OF_TYPE' FROM l UNION ALL SELECT 'listing:' || listing_id, 'band:' || {PB}, 'IN_PRICE_RANGE' FROM l UNION ALL SELECT 'listing:' || listing_id, 'feature:' || {SLUG.format('feature')}, 'HAS_FEATURE' FROM {FEATS})"),
     "g8_describes": (g8_describes, "SELECT DISTINCT 'article:' || doc_id AS from_id, 'place:' || unnest([doc_id % 10, doc_id % 7]) AS to_id, 'DESCRIBES' AS relationship_type, 1.0::DOUBLE AS weight FROM labels"),
-    "g13_near": (g13_near, f"WITH p AS (SELECT DISTINCT place_id, city FROM {LISTED}) SELECT a.place_id AS a, b.place_id AS b FROM p a JOIN p b USING (city) WHERE a.place_id <> b.place_id"),
+    "g13_near": (g13_near, f"SELECT place_id, city, near FROM (SELECT place_id, city, count(*) OVER (PARTITION BY city) - 1 AS near FROM (SELECT DISTINCT place_id, city FROM {LISTED})) WHERE near > 0"),
     "g15_dangling": (g15_dangling, "SELECT 'to' AS \"end\", count(*) AS n FROM orders WHERE o_custkey % 7 = 0"),
     "g20i_profile": (g20i_profile, f"SELECT listing_id, city, coalesce(array_to_string(list_slice(list_sort(list(DISTINCT feature) FILTER (feature IS NOT NULL)), 1, 3), ','), '') AS features, count(DISTINCT feature) AS n FROM {LISTED} LEFT JOIN {FEATS} USING (listing_id) GROUP BY 1, 2"),
     "g21_luxury": (g21_luxury, f"SELECT listing_id, string_agg(feature, ',' ORDER BY feature) AS has FROM {FEATS} WHERE feature IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') GROUP BY 1 HAVING count(*) > 1"),
@@ -297,7 +298,7 @@ QUERIES = {
     "g31_adoption": (g31_adoption, "WITH p AS (SELECT DISTINCT p_brand AS brand, p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part), n AS (SELECT tag, brand, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT p_brand AS brand, count(*) AS parts FROM part GROUP BY 1) SELECT * FROM (SELECT tag, brand, round(n / parts, 6) AS adoption, round(n / sum(n) OVER (PARTITION BY tag), 6) AS concentration FROM n JOIN t USING (brand)) WHERE adoption > 0.2"),
     "g32_competitors": (g32_competitors, f"WITH p AS MATERIALIZED (FROM {PAIRS} WHERE together >= 5) SELECT u AS listing_id, count(*) AS competitors, round(avg(together), 6) AS shared FROM {BOTH} GROUP BY 1 HAVING count(*) >= 3"),
     "g33_direct": (g33_direct, f"SELECT listing_id, rivals FROM (SELECT listing_id, count(*) OVER (PARTITION BY place_id, {PB}) - 1 AS rivals FROM {LISTED}) WHERE rivals >= 6"),
-    "g34_gaps": (g34_gaps, f"SELECT city, kind, {PB} AS band, count(*) AS n FROM {LISTED} GROUP BY ALL HAVING count(*) <= 3"),
+    "g34_gaps": (g34_gaps, f"SELECT city, kind, CAST(floor(price / 25000) AS INT) AS band, count(*) AS n FROM {LISTED} GROUP BY ALL HAVING count(*) <= 3"),
     "g35_bridges": (lambda s, d: listing_features(s, d).groupBy("listing_id").agg(F.count("*").alias("categories")).where("categories >= 5"), f"SELECT listing_id, count(*) AS categories FROM {FEATS} GROUP BY 1 HAVING count(*) >= 5"),
     "g36_distribution": (g36_distribution, f"SELECT round(quantile_cont(together, 0.25), 4) AS q1, round(quantile_cont(together, 0.5), 4) AS median, round(quantile_cont(together, 0.75), 4) AS q3, round(avg(together), 6) AS mean, max(together) AS most, count(*) AS pairs FROM {PAIRS}"),
     "g37_hubs": (g37_hubs, f"SELECT listing_id, links, score, place, city, price FROM ({LINKED}) JOIN {LISTED} USING (listing_id)"),

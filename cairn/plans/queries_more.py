@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions import text, vectors
-from cairn.operators import checks, chunks, evaluate, facets, filters, graph, html, incremental, scores, search, vector
+from cairn.operators import chains, checks, chunks, evaluate, facets, filters, graph, html, incremental, scores, search, vector
 from cairn.plans.binding import listing_features, listings, tagged_parts
 from cairn.plans.queries_aggregate import BANDS, CUTS, LISTED
 from cairn.plans.queries_documents import run_and_grades
@@ -166,10 +166,10 @@ def g4_bands(s, d):
 
 
 def g26_adjacent(s, d):
-    """Neighbouring places of a city in order of mean price, and the gap to the next."""
+    """Places of a city whose next dearer place is more than 30,000 above them, by an as-of join, so that no city is sorted in one task."""
     g = listings(s, d).groupBy("city", "place_id").agg(F.avg("price").alias("p"))
-    w = Window.partitionBy("city").orderBy("p", "place_id")
-    return g.withColumn("gap", F.round(F.lead("p").over(w) - F.col("p"), 3)).where("gap > 30000").select("city", "place_id", "gap")
+    above = chains.next_above(g.select("city", F.col("p").alias("above")), g.select("city", F.col("p").alias("value"), F.col("place_id").alias("id")), "city", "value")
+    return g.join(above.withColumnRenamed("above", "p"), ["city", "p"]).select("city", "place_id", F.round(F.col("value") - F.col("p"), 3).alias("gap")).where("gap > 30000")
 
 
 def g41_lateral(s, d):
@@ -212,17 +212,29 @@ def c4_split(s, d):
 
 
 def d8_query_set(s, d):
-    """Labelled queries from groups of articles: a template for each language and source, graded by its articles."""
-    g = table(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    best = graph.top_per(g, "lang", [F.desc("n"), F.asc("source")], 5)
-    return best.select(F.format_string("articles in %s from %s", "lang", "source").alias("query"), "n", "first")
+    """Labelled queries of five categories, the five largest groups of articles of each: how many articles of each grade, and the first three.
+
+    An article is graded 3 from 2,000 characters, 2 from 500, else 1.
+    """
+    i, grade = F.col("doc_id"), F.when(F.col("n_chars") >= 2000, 3).when(F.col("n_chars") >= 500, 2).otherwise(1)
+    groups = {
+        "geographic": F.concat(F.lit("articles in "), "lang"), "landmark": F.concat(F.lit("what is known of "), "source"), "administrative": F.format_string("articles in %s from %s", "lang", "source"),
+        "historical": F.concat(F.lit("articles of decade "), F.floor(i / 100).cast("string")), "semantic": F.concat(F.lit("texts that begin with "), F.get(text.tokens(F.substring("text", 1, 200)), F.lit(0))),
+    }
+    rows = table(s, d, "documents").select("doc_id", grade.alias("grade"), F.inline(F.array(*[F.struct(F.lit(c).alias("category"), q.alias("query")) for c, q in groups.items()]))).where("query IS NOT NULL")
+    sizes = rows.groupBy("category", "query").agg(F.count("*").alias("n"), *[F.count_if(F.col("grade") == g).alias(f"grade_{g}") for g in (3, 2, 1)])
+    best = graph.top_per(sizes, "category", [F.desc("n"), F.asc("query")], 5).drop("rank")
+    first = rows.join(F.broadcast(best.select("category", "query")), ["category", "query"])  # five rows of each category
+    turn = F.row_number().over(Window.partitionBy("category", "query").orderBy(F.desc("grade"), "doc_id"))
+    lists = first.withColumn("turn", turn).where("turn <= 3").groupBy("category", "query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "doc_id"))), lambda x: x["doc_id"]), ",").alias("expected"))
+    return best.join(lists, ["category", "query"])
 
 
 def m7_models(s, d):
-    run, grades = run_and_grades(s, d)
+    run, wanted = run_and_grades(s, d)
     out = None
     for k in (3, 5, 10):
-        one = evaluate.summary(evaluate.per_query(run, grades, k)).select(F.lit(f"top{k}").alias("model"), F.lit("all").alias("category"), F.round("mean_f1", 6).alias("mean_f1"))
+        one = evaluate.summary(evaluate.per_graded(run, wanted, k)).select(F.lit(f"top{k}").alias("model"), F.lit("all").alias("category"), F.round("mean_f1", 6).alias("mean_f1"))
         out = one if out is None else out.unionByName(one)
     return evaluate.ranked_models(out, "mean_f1")
 
@@ -273,7 +285,7 @@ QUERIES = {
     "q13_mismatch": (q13_mismatch, "SELECT doc_id, CASE WHEN quality <> 1 AND toxic = 1 THEN 'remove' WHEN quality <> 1 THEN 'skip' WHEN lang = 'en' THEN 'assign' ELSE 'correct' END AS action FROM documents JOIN labels USING (doc_id)"),
     "c4_split": (c4_split, r"SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(ceil(least(400, n - 400 * i) / 150) AS INT) AS parts FROM (SELECT doc_id, n, unnest(range(CAST(ceil(n / 400) AS BIGINT))) AS i FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents))"),
     "d5_coordinates": (lambda s, d: table(s, d, "pages").select("page_id", html.coordinates(F.col("html")).alias("c")).select("page_id", "c.lat", "c.lon"), None),
-    "d8_query_set": (d8_query_set, "SELECT 'articles in ' || lang || ' from ' || source AS query, n, first FROM (SELECT lang, source, count(*) AS n, min(doc_id) AS first, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY 1, 2) WHERE rank <= 5"),
+    "d8_query_set": (d8_query_set, f"WITH g AS (SELECT doc_id, CASE WHEN n_chars >= 2000 THEN 3 WHEN n_chars >= 500 THEN 2 ELSE 1 END AS grade, unnest(['geographic', 'landmark', 'administrative', 'historical', 'semantic']) AS category, unnest(['articles in ' || lang, 'what is known of ' || source, 'articles in ' || lang || ' from ' || source, 'articles of decade ' || (doc_id // 100), 'texts that begin with ' || regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{{L}}\\p{{N}}]+')[1]]) AS query FROM documents), n AS (SELECT category, query, count(*) AS n, count(*) FILTER (grade = 3) AS grade_3, count(*) FILTER (grade = 2) AS grade_2, count(*) FILTER (grade = 1) AS grade_1, array_to_string((list(doc_id ORDER BY grade DESC, doc_id))[1:3], ',') AS expected FROM g WHERE query IS NOT NULL GROUP BY 1, 2) SELECT category, query, n, grade_3, grade_2, grade_1, expected FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, query) AS turn FROM n) WHERE turn <= 5"),
     "m7_models": (m7_models, None),
     "m9_validated": (m9_validated, f"WITH {BM25} SELECT query_id, round(matched / n, 6) AS share, matched * 2 >= n AS valid FROM (SELECT *, {TOP} AS rank FROM bm) JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY 1) USING (query_id) WHERE rank = 1"),
     "i3b_dimension": (i3b_dimension, "SELECT DISTINCT c_mktsegment, c_mktsegment < 'C' AS known FROM customer"),

@@ -133,7 +133,13 @@ def j12_refs(s, d):
 
 
 def j13_denormalized(s, d):
-    return listings(s, d).select("listing_id", F.concat_ws(" ", "place", "city", "state", "kind").alias("combined"), F.struct("place", "city").alias("at")).select("listing_id", "combined", "at.city")
+    """A document for each listing: its place, the three longest articles on its city, and one text of them all."""
+    docs = table(s, d, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 25).cast("int").alias("n_nationkey")).join(table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("city")), "n_nationkey")
+    best = graph.top_per(docs, "city", [F.desc("n_chars"), F.asc("doc_id")], 3)
+    articles = best.groupBy("city").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "n_chars"))), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["n_chars"].alias("chars"))).alias("articles"))
+    made = listings(s, d).join(articles, "city", "left").withColumn("ids", F.coalesce(F.transform("articles", lambda x: x["doc_id"].cast("string")), F.array().cast("array<string>")))
+    doc = made.select("listing_id", F.concat_ws(" ", "place", "city", "state", "kind", F.array_join("ids", " ")).alias("combined"), F.struct("place", "city").alias("at"), F.array_join("ids", ",").alias("articles"), F.coalesce(F.aggregate("articles", F.lit(0).cast("long"), lambda a, x: a + x["chars"]), F.lit(0)).alias("chars"))
+    return doc.select("listing_id", "combined", "at.city", "articles", "chars")
 
 
 def j14_radius(s, d):
@@ -284,7 +290,7 @@ QUERIES = {
     "j10_gaps": (j10_gaps, f"WITH g AS (SELECT state, city, avg(price) AS p FROM {LISTED} GROUP BY 1, 2) SELECT a.state, a.city AS a, b.city AS b, round((b.p - a.p) / a.p * 100, 4) AS percent FROM g a JOIN g b ON a.state = b.state AND b.p > a.p"),
     "j11_tag_pairs": (j11_tag_pairs, "WITH t AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS tag FROM part) SELECT a.p_brand AS a, b.p_brand AS b, count(*) AS common FROM t a JOIN t b ON a.tag = b.tag AND a.p_brand < b.p_brand GROUP BY 1, 2 HAVING count(*) >= 2"),
     "j12_refs": (j12_refs, "SELECT l.doc_id, string_agg(d.doc_id || ':' || d.lang, ',' ORDER BY pos) AS articles, round(sum(CASE WHEN pos = 0 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END), 6) AS confidence FROM (SELECT doc_id, unnest([0, 1, 2]) AS pos FROM labels) l JOIN documents d ON d.doc_id = l.doc_id + pos GROUP BY 1"),
-    "j13_denormalized": (j13_denormalized, f"SELECT listing_id, concat_ws(' ', place, city, state, kind) AS combined, city FROM {LISTED}"),
+    "j13_denormalized": (j13_denormalized, f"WITH a AS (SELECT city, string_agg(doc_id, ' ' ORDER BY turn) AS spaced, string_agg(doc_id, ',' ORDER BY turn) AS articles, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT n_name AS city, doc_id, n_chars, row_number() OVER (PARTITION BY n_name ORDER BY n_chars DESC, doc_id) AS turn FROM documents JOIN nation ON doc_id % 25 = n_nationkey) WHERE turn <= 3 GROUP BY 1) SELECT listing_id, concat_ws(' ', place, city, state, kind, coalesce(spaced, '')) AS combined, city, coalesce(articles, '') AS articles, coalesce(chars, 0) AS chars FROM {LISTED} LEFT JOIN a USING (city)"),
     "j14_radius": (j14_radius, f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, round({PAIR}, 3) AS km FROM {GEO} a JOIN {GEO} b ON a.s_suppkey < b.s_suppkey WHERE {PAIR} <= 1500"),
     "j15_bands": (j15_bands, f"SELECT o_orderkey, {BAND_SQL} AS band FROM orders"),
     "j16_below_mean": (j16_below_mean, f"SELECT listing_id, round(m, 4) AS city_avg FROM (SELECT listing_id, price, avg(price) OVER (PARTITION BY city) AS m FROM {LISTED}) WHERE price < m * 0.05"),
@@ -301,7 +307,7 @@ QUERIES = {
     "l2_sort": (l2_sort, "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS seg, c_acctbal FROM customer ORDER BY seg NULLS LAST, c_acctbal DESC NULLS LAST, c_custkey LIMIT 30"),
     "l4_unique": (l4_unique, "SELECT source, first(doc_id ORDER BY n_chars DESC, doc_id) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10"),
     "l5_random_one": (lambda s, d: filters.reproducible_sample(table(s, d, "orders").where("o_totalprice > 400000").select("o_orderkey"), "o_orderkey", 1), "SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 1"),
-    "l6_page": (l6_page, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 40"),
+    "l6_page": (l6_page, "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 40"),
     "u1_hierarchy": (u1_hierarchy, f"WITH l AS (SELECT *, 'place:' || {SLUG('place')} AS p, 'city:' || {SLUG('city')} AS c, 'state:' || {SLUG('state')} AS s FROM {LISTED}) SELECT 'listing:' || listing_id AS from_id, p AS to_id, 'LOCATED_IN' AS kind FROM l UNION SELECT p, c, 'IN_CITY' FROM l UNION SELECT c, s, 'IN_STATE' FROM l"),
     "u3_distinct": (lambda s, d: listings(s, d).select("city", "state").distinct(), f"SELECT DISTINCT city, state FROM {LISTED}"),
     "u4_overlap": (u4_overlap, "WITH a AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50), b AS (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 50) SELECT doc_id, 'both' AS part FROM (FROM a INTERSECT FROM b) UNION ALL SELECT doc_id, 'only_a' FROM (FROM a EXCEPT FROM b) UNION ALL SELECT doc_id, 'only_b' FROM (FROM b EXCEPT FROM a)"),

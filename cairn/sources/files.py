@@ -23,7 +23,8 @@ def jdbc(spark: SparkSession, url: str, query: str, key: str, low: int, high: in
     return spark.read.format("jdbc").options(**options).load()
 
 
-def folder(spark: SparkSession, path: str, pattern: str = "*.html", whole: bool = True) -> DataFrame:
-    """``path, text`` of each file of a folder, lazily; ``whole`` False gives a row per line."""
-    read = spark.read.text(path, wholetext=whole, pathGlobFilter=pattern, recursiveFileLookup=True)
+def folder(spark: SparkSession, path: str, pattern: str = "*.html", whole: bool = True, separator: str | None = None) -> DataFrame:
+    """``path, text`` of each file of a folder, lazily; ``whole`` False gives a row per line, or per text that ``separator`` ends."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    read = reader.text(path, wholetext=whole, pathGlobFilter=pattern, recursiveFileLookup=True)
     return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
