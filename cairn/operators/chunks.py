@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,30 +42,34 @@ def by_sentences(docs: DataFrame, id_col: str, text_col: str, most_words: int) -
     return with_hashes(parts, id_col)
 
 
-def by_distance(docs: DataFrame, id_col: str, text_col: str, percentile: float = 0.9) -> DataFrame:
-    """Semantic chunks: a break where neighbouring sentences' hashed word vectors are further apart than the document's percentile."""
+def sentence_gaps(sentences: list[list[str]], buffer: int, dims: int = 64) -> list[np.ndarray]:
+    """Of each text the cosine distances of neighbouring sentences, each taken with ``buffer`` sentences before and after it; words count by their hash."""
+    known: dict[str, int] = {}
+    words = [s.lower().split() for text in sentences for s in text]
+    flat = [known.setdefault(w, len(known)) for s in words for w in s]
+    home = np.array([zlib.crc32(w.encode()) % dims for w in known], np.int64)
+    row = np.repeat(np.arange(len(words)), [len(s) for s in words])
+    v = np.bincount(row * dims + home[np.array(flat, np.int64)], minlength=len(words) * dims).reshape(-1, dims).astype(np.float64) if flat else np.zeros((len(words), dims))
+    total = np.concatenate([np.zeros((1, dims)), np.cumsum(v, 0)])
+    sizes = np.array([len(text) for text in sentences], np.int64)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    begin, at = end - np.repeat(sizes, sizes), np.arange(len(words))
+    near = total[np.minimum(at + buffer + 1, end)] - total[np.maximum(at - buffer, begin)]
+    near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
+    gap = 1 - (near[1:] * near[:-1]).sum(1)
+    return [gap[e - n : e - 1] for n, e in zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-        import zlib
 
-        import numpy as np
+def by_distance(docs: DataFrame, id_col: str, text_col: str, percentile: float = 0.9, buffer: int = 1) -> DataFrame:
+    """Semantic chunks: a break where neighbouring sentences, each with ``buffer`` more on both sides, are further apart than the document's percentile."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            texts = [[s for s in re.split(r"(?<=[.!?])\s+", t or "") if s.strip()] for t in batch[text_col]]
             rows = []
-            for key, text in zip(batch[id_col], batch[text_col], strict=True):
-                parts = [s for s in re.split(r"(?<=[.!?])\s+", text or "") if s.strip()]
-                v = np.zeros((len(parts), 64))
-                for i, s in enumerate(parts):
-                    for w in s.lower().split():
-                        v[i, zlib.crc32(w.encode()) % 64] += 1
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                gap = 1 - (v[1:] * v[:-1]).sum(1)
-                new = np.concatenate([[True], gap > np.quantile(gap, percentile)]) if len(gap) else np.ones(len(parts), bool)
-                first = np.flatnonzero(new) if len(parts) else []
-                for i, a in enumerate(first):
-                    b = first[i + 1] if i + 1 < len(first) else len(parts)
-                    rows.append((key, i, " ".join(parts[a:b]), len(first)))
+            for key, parts, gap in zip(batch[id_col], texts, sentence_gaps(texts, buffer), strict=True):
+                first = [0, *(np.flatnonzero(gap > np.quantile(gap, percentile)) + 1).tolist()] if len(gap) else [0] * bool(parts)
+                rows += [(key, i, " ".join(parts[a:b]), len(first)) for i, (a, b) in enumerate(zip(first, [*first[1:], len(parts)], strict=False))]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "chunk", "chunk_total"])
 
     kind = docs.schema[id_col].dataType.simpleString()

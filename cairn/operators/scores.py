@@ -99,10 +99,17 @@ def ranking(quality: Column, relevance: Column, authority: Column, freshness: Co
     return 0.45 * quality + 0.25 * relevance + 0.15 * authority + 0.15 * freshness
 
 
-def page_relevance(title: Column, text: Column, must: Sequence[str], bonus: Sequence[str], chars: int = 5000) -> Column:
-    """10 for each must-have word (5 more in the title) and 2 for each bonus word (3 more), in the first ``chars`` characters."""
-    head = F.substring(text, 1, chars)
-    return 10 * mentions(head, must) + 5 * mentions(title, must) + 2 * mentions(head, bonus) + 3 * mentions(title, bonus)
+def page_relevance(title: Column, text: Column, must: Sequence[str], bonus: Sequence[str], chars: int = 5000, categories: Column | None = None, placed: Column | None = None) -> Column:
+    """10 for each must-have word (5 more in the title) and 2 for each bonus word (3 more), in the title and the first ``chars`` characters.
+
+    Each category with a must-have word adds 5, and 1 for each bonus word in it; a page with coordinates (``placed``) 3.
+    """
+    head = F.concat_ws(" ", title, F.substring(text, 1, chars))
+    score = 10 * mentions(head, must) + 5 * mentions(title, must) + 2 * mentions(head, bonus) + 3 * mentions(title, bonus)
+    if categories is not None:
+        each = F.transform(categories, lambda c: F.when(mentions(c, must) > 0, 5).otherwise(0) + mentions(c, bonus))
+        score = score + F.coalesce(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(0))
+    return score if placed is None else score + F.when(placed, 3).otherwise(0)
 
 
 def relevance_flag(score: Column, in_scope: Column) -> Column:

@@ -63,8 +63,10 @@ def e8_article_scores(s, d):
 
 
 def e10_relevance(s, d):
-    docs = table(s, d, "documents").withColumn("title", F.split("text", "\n")[0])
-    return docs.select("doc_id", scores.page_relevance(F.col("title"), F.col("text"), ["the", "und"], ["with", "nicht"]).alias("score"))
+    """The first line of a document is its title, the next two its categories; every third document has coordinates."""
+    lines = F.split("text", "\n")
+    docs = table(s, d, "documents").select("doc_id", "text", lines[0].alias("title"), F.slice(lines, 2, 2).alias("categories"), (F.col("doc_id") % 3 == 0).alias("placed"))
+    return docs.select("doc_id", scores.page_relevance(F.col("title"), F.col("text"), ["the", "und"], ["with", "nicht"], categories=F.col("categories"), placed=F.col("placed")).alias("score"))
 
 
 def e13_flags(s, d):
@@ -281,7 +283,7 @@ QUERIES = {
     "e1_tags": (e1_tags, f"SELECT listing_id, CAST(coalesce(n, 0) AS INT) AS feature_count, {GOLD_SEG} AS segment, lower(kind) || '|' || coalesce(n, 0) || '_size|' || {GOLD_SEG} AS tags FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
     "e3_place_scores": (e3_place_scores, "SELECT c_custkey, round(live, 6) AS livability, round(least(30 * w / 10 + 50 * live / 100 + 20 * sc / 10, 100.0), 6) AS investment, CASE WHEN c_custkey * 37 < 5000 THEN 'low' WHEN c_custkey * 37 < 20000 THEN 'medium' WHEN c_custkey * 37 < 50000 THEN 'high' ELSE 'very_high' END AS density, CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS completeness FROM (SELECT *, w * 10 * 0.5::DOUBLE + sc * 10 * 0.5::DOUBLE AS live FROM (SELECT *, (c_custkey % 10)::DOUBLE AS w, (c_nationkey % 11)::DOUBLE AS sc FROM customer))"),
     "e8_article_scores": (e8_article_scores, "SELECT doc_id, CASE WHEN n_chars < 500 THEN 'minimal' WHEN n_chars < 2000 THEN 'basic' WHEN n_chars < 5000 THEN 'detailed' ELSE 'comprehensive' END AS depth, aq AS article_quality, round(0.45::DOUBLE * aq + 0.25::DOUBLE * c + 0.15::DOUBLE * 0.4::DOUBLE + 0.15::DOUBLE * 0.5::DOUBLE, 6) AS rank_score FROM (SELECT *, round(least(least(n_chars / 5000, 1.0::DOUBLE) * 0.5::DOUBLE + c * 0.5::DOUBLE + 0.1::DOUBLE, 1.0::DOUBLE), 6) AS aq FROM (SELECT doc_id, n_chars, coalesce(quality::DOUBLE, 0.5::DOUBLE) AS c FROM documents LEFT JOIN labels USING (doc_id)))"),
-    "e10_relevance": (e10_relevance, "SELECT doc_id, CAST(10 * (contains(h, 'the')::INT + contains(h, 'und')::INT) + 5 * (contains(t, 'the')::INT + contains(t, 'und')::INT) + 2 * (contains(h, 'with')::INT + contains(h, 'nicht')::INT) + 3 * (contains(t, 'with')::INT + contains(t, 'nicht')::INT) AS INT) AS score FROM (SELECT doc_id, lower(substr(text, 1, 5000)) AS h, lower(string_split(text, chr(10))[1]) AS t FROM documents)"),
+    "e10_relevance": (e10_relevance, "SELECT doc_id, CAST(10 * (contains(h, 'the')::INT + contains(h, 'und')::INT) + 5 * (contains(t, 'the')::INT + contains(t, 'und')::INT) + 2 * (contains(h, 'with')::INT + contains(h, 'nicht')::INT) + 3 * (contains(t, 'with')::INT + contains(t, 'nicht')::INT) + coalesce(list_sum(list_transform(c, lambda x: 5 * (contains(x, 'the') OR contains(x, 'und'))::INT + contains(x, 'with')::INT + contains(x, 'nicht')::INT)), 0) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS INT) AS score FROM (SELECT doc_id, lower(l[1] || ' ' || substr(text, 1, 5000)) AS h, lower(l[1]) AS t, list_transform(l[2:3], lambda x: lower(x)) AS c FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents))"),
     "e13_flags": (e13_flags, "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'non_target' WHEN x < 0.2 THEN 'critical' WHEN x < 0.5 THEN 'low_relevance' ELSE 'kept' END AS flag FROM (SELECT *, quality * 0.4::DOUBLE + toxic * 0.1::DOUBLE + 0.1::DOUBLE AS x FROM documents JOIN labels USING (doc_id))"),
     "e15_groups": (e15_groups, "SELECT CASE WHEN contains(n, 'red') OR contains(n, 'blue') OR contains(n, 'green') THEN 'colour' WHEN contains(n, 'widget') OR contains(n, 'gadget') THEN 'thing' ELSE 'other' END AS grp, count(*) AS n FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS n FROM part) GROUP BY 1"),
     "q2_nulls": (lambda s, d: table(s, d, "orders").agg(F.count_if(F.col("o_orderkey").isNull()).alias("nulls"), F.count("*").alias("n")), "SELECT count(*) FILTER (o_orderkey IS NULL) AS nulls, count(*) AS n FROM orders"),

@@ -166,7 +166,7 @@ QUERIES = {
     "v10_merged": (v10_merged, "SELECT 'c' || (label % 2) AS collection, vec_id, round(x, 6) AS similarity FROM (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: 1.0::DOUBLE)) AS x FROM embeddings) WHERE x >= 0 ORDER BY x DESC, vec_id LIMIT 10"),
     "v11_edges": (v11_edges, f"SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(max(score), 6) AS score FROM ({KNN}) WHERE rank <= 10 AND score >= 0.3 GROUP BY 1, 2"),
     "v12_sweep": (v12_sweep, f"SELECT cut::DOUBLE AS cut, count(*) FILTER (score >= cut) AS pairs FROM ({KNN}), (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5]) AS cut) GROUP BY 1"),
-    "v14_embed": (lambda s, d: vector.embed(table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dims")), None),
+    "v14_embed": (lambda s, d: vector.embed(table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.size("embedding").alias("dims"), F.md5(F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ",")).alias("digest")), None),
     "v15_audit": (v15_audit, "SELECT label, count(embedding) AS present, min(len(embedding)) AS least, max(len(embedding)) AS most FROM embeddings GROUP BY 1"),
     "h1_fused": (h1_fused, f"WITH {BM25}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm), b AS (SELECT query_id, id AS doc_id, rank FROM ({ASKED_KNN})), u AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (FROM a WHERE rank <= 20 UNION ALL FROM b WHERE rank <= 20) GROUP BY 1, 2) SELECT query_id, doc_id, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u) WHERE rank <= 5"),
     "h3_boosted": (h3_boosted, "SELECT p_partkey, round(least((0.6::DOUBLE * (p_size / 50) + 0.2::DOUBLE * ((p_partkey % 40) / 40) + 0.2::DOUBLE * ((p_partkey % 7) / 7)) * (CASE WHEN p_partkey % 60 > 30 THEN 1.1::DOUBLE ELSE 1.0 END) * (CASE WHEN p_partkey % 20 > 10 THEN 1.05::DOUBLE ELSE 1.0 END), 1.0), 6) AS score FROM part"),
