@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, load, text_of
+from .common import let, load, text_of, unused
 
 TERM = r"[\p{L}\p{N}]+"
 SUBSETS = 8
@@ -96,20 +96,21 @@ def with_next(rows: DataFrame, id_col: str, carried: list[str], derive: Callable
     inside a bucket; a bucket's last row gets the first row of the bucket below. Equal ids are ordered by the
     ``carried`` columns; null ids come last. ``derive`` adds columns row by row; of the first rows they are made again.
     """
+    bucket, turn, after, head, below, to, top = (unused(rows, c) for c in ("bucket", "turn", "after", "head", "below", "to", "top"))
     n = rows.count()
     buckets = max(1, min(most_buckets, n // rows_per_bucket))
     cuts = rows.agg(F.percentile_approx(F.col(id_col), [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] if buckets > 1 else None
-    bucketed = rows.withColumn("_bucket", range_bucket(F.col(id_col), sorted(set(cuts or []))))
-    order = Window.partitionBy("_bucket").orderBy(F.col(id_col).desc_nulls_last(), *carried)
-    heads = derive(bucketed.withColumn("_turn", F.row_number().over(order)).where("_turn = 1"))
-    made = [c for c in heads.columns if c not in ("_bucket", "_turn")]
-    heads = heads.select(F.col("_bucket").alias("_below"), F.struct(*made).alias("_head"))
-    placed = derive(bucketed).withColumn("_next", F.lead(F.struct(*made)).over(order))
-    down = Window.orderBy(F.col("_below").desc())
-    links = heads.select("_below", F.lead("_below").over(down).alias("_to"), F.max("_below").over(Window.partitionBy()).alias("_top"))
-    heads = links.select(F.col("_below").alias("_bucket"), F.coalesce("_to", "_top").alias("_below")).join(heads, "_below").drop("_below")
-    joined = placed.join(heads, (placed["_bucket"] == heads["_bucket"]) & placed["_next"].isNull(), "left")
-    return joined.select(*made, F.coalesce("_next", "_head").alias("next"))
+    bucketed = rows.withColumn(bucket, range_bucket(F.col(id_col), sorted(set(cuts or []))))
+    order = Window.partitionBy(bucket).orderBy(F.col(id_col).desc_nulls_last(), *carried)
+    heads = derive(bucketed.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1))
+    made = [c for c in heads.columns if c not in (bucket, turn)]
+    heads = heads.select(F.col(bucket).alias(below), F.struct(*made).alias(head))
+    placed = derive(bucketed).withColumn(after, F.lead(F.struct(*made)).over(order))
+    down = Window.orderBy(F.col(below).desc())
+    links = heads.select(below, F.lead(below).over(down).alias(to), F.max(below).over(Window.partitionBy()).alias(top))
+    heads = links.select(F.col(below).alias(bucket), F.coalesce(to, top).alias(below)).join(heads, below).drop(below)
+    joined = placed.join(heads, (placed[bucket] == heads[bucket]) & placed[after].isNull(), "left")
+    return joined.select(*made, F.coalesce(after, head).alias("next"))
 
 
 def op10_imatch(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, load, text_of
+from .common import SPACE, WORD, let, load, text_of, unused
 
 # Function words of the four languages, whole words in any case.
 STOP_WORDS = (
@@ -97,9 +97,11 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", rules: Mapping[str
     """``docs`` with its measures, ``base_failed``, ``broken`` (rules broken) and ``kept``.
 
     A null text counts as one without words: it fails the base test. Columns of ``docs`` other than the text pass
-    through unless a measure has their name. Every row is judged alone, so ties, copies and empty tables need nothing.
+    through unless a measure has their name; also such as have names that are used on the way. Every row is judged alone, so ties, copies and empty tables need nothing.
     """
-    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "broken", "kept", "_words", "_lines"}
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "broken", "kept"}
+    aside = {c: unused(docs, f"given{c}") for c in docs.columns if c.lower() in ("_words", "_lines")}
+    docs, text_col = docs.withColumnsRenamed(aside), aside.get(text_col, text_col)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     first = docs.select(*rest, *[e.alias(n) for n, e in measures(text_of(text_col))])
     counted = first.withColumns({
@@ -111,7 +113,7 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", rules: Mapping[str
     counted = counted.withColumns({k: e for k, e in ratios().items() if k in wanted})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = counted.withColumns({"base_failed": failed, "broken": compile_rules(rules)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("_words", "_lines")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("_words", "_lines").withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
