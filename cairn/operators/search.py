@@ -48,28 +48,35 @@ def query_terms(queries: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", field: str = "text", stop: Sequence[str] = ()) -> DataFrame:
     """``query_id, doc_id, score, matched`` (distinct query terms in the document) for every pair with a common term."""
-    made = docs.select(F.col(id_col).alias("doc_id"), _without(tokens(F.col(field)), stop).alias("t")).withColumn("doc_len", F.size("t"))
-    corpus = made.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    return bm25_fields(docs, queries, [field], id_col, stop).drop("field")
+
+
+def bm25_fields(docs: DataFrame, queries: DataFrame, fields: Sequence[str], id_col: str = "doc_id", stop: Sequence[str] = ()) -> DataFrame:
+    """``query_id, doc_id, field, score, matched`` for every field of a document with a term of the query, in one pass over the documents.
+
+    Each field has its own lengths and document frequencies.
+    """
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), _without(tokens(F.col(f)), stop).alias("t")) for f in fields])
+    made = docs.select(F.col(id_col).alias("doc_id"), F.inline(parts)).withColumn("doc_len", F.size("t"))
+    corpus = made.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     asked = query_terms(queries, stop)
     size = asked.agg(F.sum(F.length("term") + 16)).first()[0] or 0
     beside = F.broadcast if size <= SMALL_QUERIES else (lambda df: df)
     wanted = beside(asked.select("term").distinct())
-    hits = made.select("doc_id", "doc_len", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    hits = made.select("doc_id", "field", "doc_len", F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     # Postings lie by document, so that the scores of all queries are summed where they are.
-    post = hits.repartition("doc_id").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    post = hits.repartition("doc_id").groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    df = post.groupBy("term", "field").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = beside(asked.join(df, "term").join(F.broadcast(corpus)).withColumn("idf", idf))  # one row
+    weighed = beside(asked.join(df, "term").join(F.broadcast(corpus), "field").withColumn("idf", idf))  # a row for each field
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return post.join(weighed, "term").withColumn("part", part).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
+    return post.join(weighed, ["term", "field"]).withColumn("part", part).groupBy("query_id", "doc_id", "field").agg(F.sum("part").alias("score"), F.count("*").alias("matched"))
 
 
 def multi_match(docs: DataFrame, queries: DataFrame, fields: Mapping[str, float], mode: str = "best_fields", id_col: str = "doc_id") -> DataFrame:
     """BM25 per field times its boost; the best field counts, or with ``most_fields`` the sum."""
-    each = None
-    for name, boost in fields.items():
-        one = bm25(docs, queries, id_col, name).select("query_id", "doc_id", (F.col("score") * boost).alias("score"))
-        each = one if each is None else each.unionByName(one)
+    boosts = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
+    each = bm25_fields(docs, queries, list(fields), id_col).withColumn("score", F.col("score") * boosts[F.col("field")])
     return each.groupBy("query_id", "doc_id").agg((F.max if mode == "best_fields" else F.sum)("score").alias("score"))
 
 

@@ -73,6 +73,7 @@ def f10_lineage(s, d):
     return made.select("n_nationkey", "layer", (F.col("processed_at") > F.lit("2020-01-01").cast("timestamp")).alias("stamped"))
 
 
+# Relevance of an article by how it belongs to a place.
 RELEVANCE = {"primary": 0.9, "neighborhood": 0.8, "reference": 0.6}
 
 

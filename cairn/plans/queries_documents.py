@@ -148,10 +148,19 @@ def d3_places(s, d):
     return out.select("page_id", html.place_hint(F.col("infobox"), F.get("paragraphs", F.lit(0))).alias("p"), html.coordinates(F.col("html")).alias("c")).select("page_id", "p.place", "p.confidence", "c.lat", "c.lon")
 
 
+def linked_pages(s, d):
+    """The pages with an address each and links to eight others by their number."""
+    pages = table(s, d, "pages").select("page_id", F.length("html").alias("chars"))
+    n = pages.count()
+    link = lambda k: F.concat(F.lit('<a href="//site/'), ((F.col("page_id") * 7 + k * k) % n).cast("string"), F.lit('">x</a>'))
+    return pages.select("page_id", "chars", F.concat(F.lit("//site/"), F.col("page_id").cast("string")).alias("url"), F.concat(*[link(k) for k in range(1, 9)]).alias("html"))
+
+
 def d6_frontier(s, d):
-    pages = table(s, d, "pages")
+    """Pages within two links of every tenth page, over the five links of each page to its longest neighbours."""
+    pages = linked_pages(s, d)
     links = html.link_table(pages, "page_id", "url", "html")
-    scored = pages.select(F.col("page_id").alias("page"), (F.length("html") / 100).alias("score"))
+    scored = pages.select(F.col("page_id").alias("page"), (F.col("chars") / 100).alias("score"))
     return html.frontier(links, scored, pages.where("page_id % 10 = 0").select(F.col("page_id").alias("page")), 2)
 
 
@@ -306,7 +315,7 @@ QUERIES = {
     "d1_pages": (d1_pages, None),
     "d2_stripped": (d2_stripped, "SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS t FROM pages)"),
     "d3_places": (d3_places, None),
-    "d6_frontier": (d6_frontier, None),
+    "d6_frontier": (d6_frontier, "WITH n AS (SELECT count(*) AS n FROM pages), l AS (SELECT DISTINCT source, (source * 7 + k * k) % n AS target FROM (SELECT page_id AS source, unnest(range(1, 9)) AS k FROM pages), n), b AS MATERIALIZED (SELECT source, target FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY length(html) DESC, target) AS turn FROM l JOIN pages ON page_id = target WHERE source <> target AND length(html) / 100 > 5.0) WHERE turn <= 5), a AS (SELECT page_id AS page FROM pages WHERE page_id % 10 = 0), c AS (SELECT DISTINCT target AS page FROM b JOIN a ON source = page WHERE target NOT IN (FROM a)), e AS (SELECT DISTINCT target AS page FROM b JOIN c ON source = page WHERE target NOT IN (FROM a) AND target NOT IN (FROM c)) SELECT page, 0 AS depth FROM a UNION ALL SELECT page, 1 FROM c UNION ALL SELECT page, 2 FROM e"),
     "d7_depths": (lambda s, d: table(s, d, "pages").groupBy((F.size(F.split("url", "/")) - 3).alias("depth")).agg(F.count("*").alias("n"), F.round(F.avg(F.length("html")), 4).alias("chars")), "SELECT CAST(len(string_split(url, '/')) - 3 AS INT) AS depth, count(*) AS n, round(avg(length(html)), 4) AS chars FROM pages GROUP BY 1"),
     "m1_per_query": (m1_per_query, f"WITH {MET} SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(ap, 6) AS ap, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM s"),
     "m6_summary": (m6_summary, f"WITH {MET} SELECT count(*) AS queries, round(avg(precision), 6) AS mean_precision, round(avg(recall), 6) AS mean_recall, round(avg(f1), 6) AS mean_f1, round(avg(ap), 6) AS mean_ap, round(avg(rr), 6) AS mean_rr, round(avg(ndcg), 6) AS mean_ndcg, round(sum(hk) / (5 * count(*)), 6) AS micro_precision, round(sum(hk) / sum(relevant), 6) AS micro_recall FROM s"),

@@ -11,7 +11,7 @@ from cairn.functions import text, vectors
 from cairn.operators import chains, checks, chunks, evaluate, facets, filters, graph, html, incremental, scores, search, vector
 from cairn.plans.binding import listing_features, listings, tagged_parts
 from cairn.plans.queries_aggregate import BANDS, CUTS, LISTED
-from cairn.plans.queries_documents import run_and_grades
+from cairn.plans.queries_documents import MET, run_and_grades
 from cairn.plans.queries_graph import PB
 from cairn.plans.queries_relational import FEATS
 from cairn.plans.queries_search import ASKED, ASKED_KNN, BM25, KNN, TOK, asked, ranked, vector_list
@@ -286,7 +286,7 @@ QUERIES = {
     "c4_split": (c4_split, r"SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(ceil(least(400, n - 400 * i) / 150) AS INT) AS parts FROM (SELECT doc_id, n, unnest(range(CAST(ceil(n / 400) AS BIGINT))) AS i FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents))"),
     "d5_coordinates": (lambda s, d: table(s, d, "pages").select("page_id", html.coordinates(F.col("html")).alias("c")).select("page_id", "c.lat", "c.lon"), None),
     "d8_query_set": (d8_query_set, f"WITH g AS (SELECT doc_id, CASE WHEN n_chars >= 2000 THEN 3 WHEN n_chars >= 500 THEN 2 ELSE 1 END AS grade, unnest(['geographic', 'landmark', 'administrative', 'historical', 'semantic']) AS category, unnest(['articles in ' || lang, 'what is known of ' || source, 'articles in ' || lang || ' from ' || source, 'articles of decade ' || (doc_id // 100), 'texts that begin with ' || regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{{L}}\\p{{N}}]+')[1]]) AS query FROM documents), n AS (SELECT category, query, count(*) AS n, count(*) FILTER (grade = 3) AS grade_3, count(*) FILTER (grade = 2) AS grade_2, count(*) FILTER (grade = 1) AS grade_1, array_to_string((list(doc_id ORDER BY grade DESC, doc_id))[1:3], ',') AS expected FROM g WHERE query IS NOT NULL GROUP BY 1, 2) SELECT category, query, n, grade_3, grade_2, grade_1, expected FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, query) AS turn FROM n) WHERE turn <= 5"),
-    "m7_models": (m7_models, None),
+    "m7_models": (m7_models, f"WITH {MET}, k AS (SELECT unnest([3, 5, 10]) AS k), f AS (SELECT k, query_id, sum(hit) FILTER (rank <= k) AS hits, count(*) FILTER (rank <= k) AS depth FROM run, k GROUP BY 1, 2), p AS (SELECT k, hits / depth AS p, hits / relevant AS r FROM f JOIN rel USING (query_id)) SELECT 'top' || k AS model, 'all' AS category, mean_f1, row_number() OVER (ORDER BY mean_f1 DESC, 'top' || k) AS rank FROM (SELECT k, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS mean_f1 FROM p GROUP BY 1)"),
     "m9_validated": (m9_validated, f"WITH {BM25} SELECT query_id, round(matched / n, 6) AS share, matched * 2 >= n AS valid FROM (SELECT *, {TOP} AS rank FROM bm) JOIN (SELECT query_id, count(*) AS n FROM q GROUP BY 1) USING (query_id) WHERE rank = 1"),
     "i3b_dimension": (i3b_dimension, "SELECT DISTINCT c_mktsegment, c_mktsegment < 'C' AS known FROM customer"),
 }
