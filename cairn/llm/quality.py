@@ -24,7 +24,7 @@ STOP_WORDS = (
 
 #: rule: (measure, least, most). Ratios are of words, of characters in words or of lines with a word.
 RULES: dict[str, tuple[str, float | None, float | None]] = {
-    "words": ("n_words", 10, 5_000_000),
+    "words": ("n_words", 10, None),
     "mean_word_length": ("mean_word_length", 2.0, 16.0),
     "symbols": ("symbol_ratio", None, 0.25),
     "stop_words": ("stop_ratio", 0.01, None),
@@ -142,7 +142,7 @@ c AS (
          greatest(n_words, 1)::DOUBLE AS nw, greatest(len(l), 1)::DOUBLE AS nl
   FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= 5000000 AND word_chars / nw BETWEEN 2.0 AND 16.0 AND n_symbols / greatest(word_chars, 1)::DOUBLE <= 0.25
+       NOT base_failed AND word_chars / nw BETWEEN 2.0 AND 16.0 AND n_symbols / greatest(word_chars, 1)::DOUBLE <= 0.25
        AND len(list_filter(w, lambda x: lower(x) IN ({_STOP}))) / nw >= 0.01 AND n_dup_lines / nl <= 0.7
        AND len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) / nl <= 0.5
        AND len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]\s'))) / nl <= 0.95 AS kept
