@@ -37,6 +37,8 @@ BETWEEN = "\U0010ffff"
 #: Units up to this length are encoded together and kept in the cache.
 SHORT = 48
 SLICE = 1 << 18
+#: Texts by which a model is told that this table does not stand for: wide and joined letters, accents apart, blanks at the ends and in rows.
+PROBES = ("Ａ ﬁ ① e\u0301", "  two  blanks ", "the unbelievable internationalization of antidisestablishmentarianism", "line\n\tline", "\u00a0\u3000x", "日本語 ñandú")
 
 
 def default_model() -> str:
@@ -76,6 +78,10 @@ class PieceTable:
         self.unit = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if cuttable else r"(?s).+")
         self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.forget()
+        # Another kind of model, or one that normalizes or trims its texts, gives other ids for some of these.
+        for text in PROBES:
+            if next(self.both([text]))[0] != ",".join(map(str, sp.encode(text))):
+                raise ValueError("not a byte pair model that takes texts as they are: its ids would differ")
 
     def forget(self) -> None:
         """Empty the unit cache: the ids of each unit joined by commas, and what its ids decode to where that is not the unit."""

@@ -1,6 +1,8 @@
 """Columns of a caller that have the names which operators use on the way."""
 
-from cairn.llm import imatch, quality
+import pytest
+
+from cairn.llm import imatch, pieces, quality
 
 
 def test_quality_keeps_them(spark):
@@ -15,3 +17,12 @@ def test_next_rows_keep_them(spark):
     df = spark.createDataFrame([(i, *[f"{n}{i}" for n in names]) for i in range(40)], "doc_id long, " + ", ".join(f"{n} string" for n in names))
     rows = {r.doc_id: r for r in imatch.with_next(df, "doc_id", ["_turn"], rows_per_bucket=8).collect()}
     assert all(rows[i][n] == f"{n}{i}" and rows[i].next[n] == f"{n}{(i - 1) % 40}" for i in range(40) for n in names)
+
+
+def test_models_of_another_kind_are_refused():
+    with open(pieces.default_model(), "rb") as f:
+        model = f.read()
+    trimming = model.replace(b"\x12\x00\x18\x01 \x00", b"\x12\x00\x18\x01 \x01")
+    assert trimming != model and pieces.PieceTable(model)
+    with pytest.raises(ValueError, match="byte pair model"):
+        pieces.PieceTable(trimming)
