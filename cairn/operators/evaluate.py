@@ -57,3 +57,17 @@ def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
 def ranked_models(results: DataFrame, measure: str) -> DataFrame:
     """``results(model, category, ...)`` with each model's rank inside its category."""
     return results.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc(measure), "model")))
+
+
+def semantic_grades(concepts: DataFrame, articles: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``query_id, doc_id, grade`` above 0: 3 where an article has two of the concept's related categories, 2 for one, else 1 where its text has the concept.
+
+    ``concepts`` is (query_id, concept, related), ``articles`` (id, categories, words). Articles meet concepts on single words, each counted
+    once; the words that are asked for are sent along and prune the rest before anything is grouped.
+    """
+    related = concepts.select("query_id", F.explode(F.array_distinct("related")).alias("word")).withColumn("is_category", F.lit(1))
+    named = concepts.select("query_id", F.col("concept").alias("word")).where("word IS NOT NULL").withColumn("is_category", F.lit(0))
+    have = lambda c, k: articles.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(c)).alias("word"), F.lit(k).alias("is_category"))
+    met = have("categories", 1).unionByName(have("words", 0)).join(related.unionByName(named), ["word", "is_category"])
+    found = met.groupBy("query_id", "doc_id").agg(F.sum("is_category").alias("n"))
+    return found.select("query_id", "doc_id", F.when(F.col("n") >= 2, 3).when(F.col("n") == 1, 2).otherwise(1).alias("grade"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import positions, search, selection, sketches, vector
+from cairn.functions import text
+from cairn.operators import evaluate, positions, search, selection, sketches, spatial, vector
+from cairn.plans.queries_relational import GEO
 from cairn.plans.queries_search import KNN, TOK, queries_of
 from cairn.sources.shared import new_path
 from cairn.sources.tables import table
@@ -76,12 +78,30 @@ def v3_recall(s, d):
     return hit.agg(F.count("*").alias("neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
 
 
+def e17_semantic(s, d):
+    """Grades of all articles for every benchmark item: its first word is the concept, the next three are the related categories, and an
+    article's first line has its categories."""
+    tok = lambda c: text.tokens(c)
+    concepts = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.get(tok(F.col("text")), F.lit(0)).alias("concept"), F.slice(tok(F.col("text")), 2, 3).alias("related"))
+    articles = table(s, d, "documents").select("doc_id", tok(F.split("text", "\n")[0]).alias("categories"), tok(F.col("text")).alias("words"))
+    return evaluate.semantic_grades(concepts, articles).groupBy("query_id", "grade").agg(F.count("*").alias("articles"))
+
+
+def j14_within(s, d):
+    """Suppliers within 3,000 km of a point, nearest first."""
+    k = F.col("s_suppkey")
+    points = table(s, d, "supplier").select("s_suppkey", (k % 180 - 90).cast("double").alias("lat"), (k * 7 % 360 - 180).cast("double").alias("lon"))
+    return spatial.within(points, "lat", "lon", (10.0, 20.0), 3000.0).select("s_suppkey", F.round("km", 3).alias("km"))
+
+
 QUERIES = {
     "a6_percentiles": (a6_percentiles, "SELECT p::DOUBLE AS percent, round(v, 6) AS value FROM (SELECT unnest([25, 50, 75, 90, 95, 99]) AS p, unnest(quantile_cont(o_totalprice, [0.25, 0.5, 0.75, 0.9, 0.95, 0.99])) AS v FROM orders)"),
     "a16_quartiles": (a16_quartiles, "SELECT p::DOUBLE AS percent, round(v, 6) AS value FROM (SELECT unnest([25, 50, 75]) AS p, unnest(quantile_cont(o_totalprice, [0.25, 0.5, 0.75])) AS v FROM orders)"),
     "a25_describe": (a25_describe, "SELECT p_type, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(median(p_retailprice), 4) AS median, round(stddev_samp(p_retailprice), 4) AS std FROM part GROUP BY 1"),
     "a10_sketched": (a10_sketched, "SELECT event_type, count(DISTINCT user_id) AS users, TRUE AS close FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-15' GROUP BY 1"),
     "t7_phrases": (t7_phrases, f"WITH d AS MATERIALIZED (SELECT doc_id, {TOK} AS t FROM documents), b AS MATERIALIZED (SELECT item_id AS query_id, {TOK} AS q FROM benchmark) SELECT query_id, doc_id, CAST(len(list_filter(range(1, len(t) - len(q) + 2), lambda i: t[i] = q[1] AND t[i:i + len(q) - 1] = q)) AS INT) AS found FROM d JOIN b ON contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') WHERE len(q) > 0"),
+    "e17_semantic": (e17_semantic, f"WITH q AS (SELECT item_id AS query_id, t[1] AS concept, list_distinct(t[2:4]) AS rel FROM (SELECT item_id, {TOK} AS t FROM benchmark)), d AS MATERIALIZED (SELECT doc_id, list_distinct({TOK}) AS w, list_distinct({TOK.replace('text', 'head')}) AS c FROM (SELECT doc_id, text, string_split(text, chr(10))[1] AS head FROM documents)), g AS (SELECT query_id, len(list_intersect(c, rel)) AS n, list_contains(w, concept) AS named FROM q, d) SELECT query_id, CASE WHEN n >= 2 THEN 3 WHEN n = 1 THEN 2 ELSE 1 END AS grade, count(*) AS articles FROM g WHERE n > 0 OR named GROUP BY 1, 2"),
+    "j14_within": (j14_within, f"SELECT s_suppkey, round(km, 3) AS km FROM (SELECT s_suppkey, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 10.0) / 2), 2) + cos(radians(10.0)) * cos(radians(lat)) * pow(sin(radians(lon - 20.0) / 2), 2)))) AS km FROM {GEO}) WHERE km <= 3000"),
     "t1_folded": (t1_folded, f"SELECT term, count(DISTINCT doc_id) AS documents, CAST(count(*) AS BIGINT) AS uses FROM (SELECT doc_id, strip_accents(w) AS term FROM (SELECT doc_id, unnest({TOK}) AS w FROM documents) WHERE w NOT IN ('the', 'of')) GROUP BY 1"),
     "t1_stems": (t1_stems, None),
     "v3_inverted_file": (v3_inverted_file, None),

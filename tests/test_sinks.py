@@ -6,11 +6,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import graph
+from cairn.operators import evaluate, graph
 from cairn.plans import medallion
-from cairn.sources import merge, sinks
+from cairn.sources import files, merge, sinks
 
-def files(path):
+def stored(path):
     return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
 
 
@@ -19,11 +19,11 @@ def test_merges_write_only_changed_buckets_and_repeat_themselves(spark, tmp_path
     path = str(tmp_path / "m")
     first = spark.createDataFrame([(k, 0, "a") for k in range(200)] + [(None, 0, "n")], schema)
     assert len(merge.merge(first, 0, path, ["k"], newest, 16)) == 16
-    before = files(tmp_path / "m" / "data")
+    before = stored(tmp_path / "m" / "data")
     change = spark.createDataFrame([(3, 1, "b"), (3, 2, "c"), (4, -1, "late"), (500, 1, "new"), (None, 1, "m")], schema)
     changed = merge.merge(change, 1, path, ["k"], newest, 16)
     assert len(changed) <= 4
-    after = files(tmp_path / "m" / "data")
+    after = stored(tmp_path / "m" / "data")
     assert all(after[f] == t for f, t in before.items()) and {f.split("bucket=")[1].split("/")[0] for f in set(after) - set(before)} == set(map(str, changed))
     want = {(k, "a") for k in range(200) if k != 3} | {(3, "c"), (500, "new"), (None, "m")}
     rows = lambda: sorted(map(repr, ((r.k, r.v) for r in merge.current(spark, path, first.schema).collect())))
@@ -32,7 +32,7 @@ def test_merges_write_only_changed_buckets_and_repeat_themselves(spark, tmp_path
     for number in range(2, 6):
         merge.merge(spark.createDataFrame([(3, 10 + number, f"v{number}")], schema), number, path, ["k"], newest, 16)
     assert rows() == sorted(map(repr, (want - {(3, "c")}) | {(3, "v5")}))
-    kept = {f.split("data/")[1].rsplit("/", 1)[0] for f in files(tmp_path / "m" / "data")}
+    kept = {f.split("data/")[1].rsplit("/", 1)[0] for f in stored(tmp_path / "m" / "data")}
     assert len(kept) <= 2 * 16
     assert merge.merge(change.limit(0), 9, path, ["k"], newest, 16) == []
 
@@ -76,3 +76,17 @@ def test_frequent_sets_equal_a_count(spark, least):
         for f in k:
             chance *= share[f]
         assert lift == pytest.approx(n / len(held) / chance)
+
+
+def test_a_relational_table_is_read_in_ranges_of_its_key(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "id long, title string")
+    rows.write.jdbc(url, "articles", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    found = files.jdbc(spark, url, "SELECT \"id\", \"title\" FROM articles WHERE \"id\" < 90", '"id"', 0, 90, 3)
+    assert found.rdd.getNumPartitions() == 3 and sorted(map(tuple, found.collect())) == [(i, f"t{i}") for i in range(90)]
+
+
+def test_semantic_grades(spark):
+    concepts = spark.createDataFrame([(1, "sea", ["coast", "bay", "bay"]), (2, None, None)], "query_id long, concept string, related array<string>")
+    articles = spark.createDataFrame([(1, ["coast", "bay"], ["sea"]), (2, ["bay", "bay"], []), (3, [], ["sea", "sea"]), (4, ["sea"], ["bay"]), (5, None, None)], "doc_id long, categories array<string>, words array<string>")
+    assert {(r.query_id, r.doc_id): r.grade for r in evaluate.semantic_grades(concepts, articles).collect()} == {(1, 1): 3, (1, 2): 2, (1, 3): 1}
