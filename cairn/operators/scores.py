@@ -131,3 +131,42 @@ def grade(query: Column, title: Column, summary: Column, body: Column) -> Column
 
 def search_tags(kind: Column, size: Column, price: Column) -> Column:
     return F.array(kind, F.concat(size.cast("string"), F.lit("_size")), ladder(price, (100_000, 200_000, 400_000), ("budget", "affordable", "premium", "luxury")))
+
+
+# Words of a summary that put an article into a category, in order; topics of an article's categories; what a context is called.
+CATEGORY_RULES = (
+    ("park", ("park",)), ("historical", ("historical", "history")), ("landmark", ("landmark",)), ("recreation", ("ski", "resort")), ("coastal", ("coast", "beach")), ("mountain", ("mountain",)),
+    ("education", ("school", "education")), ("tourist_destination", ("tourist", "tourism")),
+)
+KEY_TOPICS = (("geography", ("geography", "location")), ("history", ("history", "historic")), ("business", ("business", "company")), ("culture", ("culture", "art")), ("infrastructure", ("transport", "infrastructure")))
+CONTEXTS = (("historic", "Historic"), ("residential", "Residential"), ("commercial", "Mixed-Use"))
+# A word of a query, words of a description, and what their meeting says.
+INSIGHTS = (
+    ("modern", ("modern", "contemporary", "updated", "new"), "modern features"), ("mountain", ("view", "mountain", "vista", "scenic"), "scenic location"),
+    ("open", ("open", "spacious", "floor plan", "concept"), "open layout"), ("home", ("family", "home", "residential", "neighborhood"), "residential character"),
+)
+
+
+def article_categories(title: Column, summary: Column, county: Column, city: Column, state: Column) -> Column:
+    """Category tags of an article in a fixed order: by its place or title, by words of its summary, by its state."""
+    tags = [F.when(has_any(title, ("county",)) | county.isNotNull(), "county"), F.when(has_any(title, ("city",)) | city.isNotNull(), "city")]
+    tags += [F.when(has_any(summary, words), tag) for tag, words in CATEGORY_RULES]
+    return F.array_compact(F.array(*tags, F.when(state == "Utah", "utah").when(state == "California", "california")))
+
+
+def key_topics(categories: Column) -> Column:
+    """Topics whose words the categories have, case kept; none for null."""
+    return F.coalesce(F.array_compact(F.array(*[F.when(categories.rlike("|".join(words)), topic) for topic, words in KEY_TOPICS])), F.array().cast("array<string>"))
+
+
+def context(extract: Column) -> Column:
+    """The first kind of area whose word the text has, case kept, else Standard."""
+    out = F
+    for word, name in CONTEXTS:
+        out = out.when(F.contains(extract, F.lit(word)), name)
+    return out.otherwise("Standard")
+
+
+def match_insights(query: Column, description: Column) -> Column:
+    """What a description has of what a query asks for."""
+    return F.array_compact(F.array(*[F.when(has_any(query, (word,)) & has_any(description, words), says) for word, words, says in INSIGHTS]))

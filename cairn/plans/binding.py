@@ -26,3 +26,20 @@ def listing_features(spark: SparkSession, d: str) -> DataFrame:
 
 def tagged_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), F.split("p_name", " ").alias("tags"))
+
+
+#: Phrases that articles are described by, picked by their number.
+PHRASES = (
+    "A historic district near the coast", "Ski resort below the mountain", "School and education centre", "Tourist landmark of some company", "Busy commercial port with new transport",
+    "Quiet residential park with a scenic view", "Spacious family home in a quiet neighborhood", "Art, culture and local geography",
+)
+
+
+def described_articles(spark: SparkSession, d: str) -> DataFrame:
+    """``doc_id, title, summary, county, city, state``: documents with a summary of two phrases and a place that some lack, by their number."""
+    i = F.col("doc_id")
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    return table(spark, d, "documents").select(
+        "doc_id", "n_chars", F.split("text", "\n")[0].alias("title"), F.concat_ws(". ", pick(PHRASES, i % 8), pick(PHRASES, F.floor(i / 8) % 8)).alias("summary"),
+        pick(("Summit County", None, None), i % 3).alias("county"), pick(("Park City", None), F.floor(i / 3) % 2).alias("city"), pick(("Utah", "California", "Nevada", None), i % 4).alias("state"),
+    )

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions import text
-from cairn.operators import chains, facets, graph, overlap, vector
-from cairn.plans.binding import listing_features, listings, tagged_parts
+from cairn.operators import chains, facets, graph, overlap, scores, vector
+from cairn.plans.binding import PHRASES, described_articles, listing_features, listings, tagged_parts
 from cairn.plans.queries_aggregate import BAND_SQL, BANDS, CUTS, LISTED
 from cairn.plans.queries_relational import FEATS
 from cairn.plans.queries_search import KNN, queries_of
@@ -253,8 +253,11 @@ def g45_coverage(s, d):
 
 
 def g46_context(s, d):
-    tag = F.when(F.contains("text", F.lit("the")), "one").when(F.contains("text", F.lit("der")), "two").otherwise("mixed")
-    return table(s, d, "documents").groupBy(tag.alias("context")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("chars"))
+    """Kinds of areas by the summaries of their articles, with the prices of the cities that the articles are on."""
+    prices = listings(s, d).groupBy("city").agg(F.count("*").alias("listings"), F.sum("price").alias("total"))
+    places = table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("city")).join(prices, "city")
+    kinds = described_articles(s, d).select((F.col("doc_id") % 25).cast("int").alias("n_nationkey"), scores.context(F.col("summary")).alias("context"))
+    return kinds.join(places, "n_nationkey").groupBy("context").agg(F.count("*").alias("articles"), F.sum("listings").alias("listings"), F.round(F.sum("total") / F.sum("listings"), 3).alias("mean"))
 
 
 def g47_correlation(s, d):
@@ -277,6 +280,8 @@ def path_sql(edges: str, start: str, hops: int, kind: str) -> str:
     return f"WITH {', '.join(out)} SELECT node, hops, array_to_string(path, ',') AS path FROM ({' UNION ALL '.join(f'FROM l{k}' for k in range(hops + 1))})"
 
 
+_PHRASE = lambda at: f"(CASE {at} " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PHRASES)) + " END)"
+PHRASED = f"{_PHRASE('doc_id % 8')} || '. ' || {_PHRASE('(doc_id // 8) % 8')}"
 SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
 QUERIES = {
     "g1_nodes": (g1_nodes, f"SELECT 'listing' AS node_label, count(DISTINCT listing_id) AS n FROM {LISTED} UNION ALL SELECT 'place', count(DISTINCT place_id) FROM {LISTED} UNION ALL SELECT 'city', count(DISTINCT city) FROM {LISTED} UNION ALL SELECT 'state', count(DISTINCT state) FROM {LISTED} UNION ALL SELECT 'feature', count(DISTINCT feature) FROM {FEATS} UNION ALL SELECT 'band', count(DISTINCT {PB}) FROM {LISTED}"),
@@ -312,6 +317,6 @@ QUERIES = {
     "g44_hubs": (g44_hubs, f"WITH p AS MATERIALIZED (FROM {PAIRS} WHERE together >= 4) SELECT u AS listing_id, count(*) AS links, round(avg(together), 6) AS shared, array_to_string(list_sort(list(v))[1:3], ',') AS connected_to FROM {BOTH} GROUP BY 1 HAVING count(*) >= 3"),
     "g44_feature_communities": (g44_feature_communities, f"SELECT feature, count(*) AS listings, round(avg(price), 3) AS mean, array_to_string(list_sort(list(listing_id))[1:5], ',') AS first FROM {FEATS} JOIN {LISTED} USING (listing_id) GROUP BY 1 HAVING count(*) >= 5"),
     "g45_coverage": (g45_coverage, "SELECT source, count(*) AS articles, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(quality), 6) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY 1"),
-    "g46_context": (g46_context, "SELECT CASE WHEN contains(text, 'the') THEN 'one' WHEN contains(text, 'der') THEN 'two' ELSE 'mixed' END AS context, count(*) AS n, round(avg(n_chars), 4) AS chars FROM documents GROUP BY 1"),
+    "g46_context": (g46_context, f"WITH p AS (SELECT city, count(*) AS n, sum(price) AS t FROM {LISTED} GROUP BY 1), a AS (SELECT doc_id % 25 AS k, {PHRASED} AS summary FROM documents) SELECT CASE WHEN contains(summary, 'historic') THEN 'Historic' WHEN contains(summary, 'residential') THEN 'Residential' WHEN contains(summary, 'commercial') THEN 'Mixed-Use' ELSE 'Standard' END AS context, count(*) AS articles, CAST(sum(n) AS BIGINT) AS listings, round(sum(t) / sum(n), 3) AS mean FROM a JOIN nation ON n_nationkey = k JOIN p ON city = n_name GROUP BY 1"),
     "g47_correlation": (g47_correlation, "SELECT tag, p_brand AS brand, count(*) AS n FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY 1, 2 HAVING count(*) >= 5"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from cairn.functions import text, vectors
 from cairn.operators import chains, checks, chunks, evaluate, facets, filters, graph, html, incremental, scores, search, vector
-from cairn.plans.binding import listing_features, listings, tagged_parts
+from cairn.plans.binding import PHRASES, described_articles, listing_features, listings, tagged_parts
 from cairn.plans.queries_aggregate import BANDS, CUTS, LISTED
 from cairn.plans.queries_documents import MET, run_and_grades
 from cairn.plans.queries_graph import PB
@@ -51,10 +51,9 @@ def e2_places(s, d):
 
 
 def e7_authority(s, d):
-    docs = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
+    docs = described_articles(s, d).join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     authority = 40 * F.least(F.col("n_chars") / 5000, F.lit(1.0)) + 30 * F.coalesce(F.col("quality"), F.lit(0)) + 30 * F.when(F.col("lang") == "en", 1.0).otherwise(0.5)
-    topics = text.topic_tags(F.col("text"), {"first": "the", "second": "und", "third": "que"})
-    return docs.select("doc_id", F.round(authority, 6).alias("authority"), F.array_join(topics, ",").alias("topics"))
+    return docs.select("doc_id", F.round(authority, 6).alias("authority"), F.array_join(scores.key_topics(F.col("summary")), ",").alias("topics"))
 
 
 def e11_rules(s, d):
@@ -81,8 +80,8 @@ def e14_derived(s, d):
 
 
 def e16_categories(s, d):
-    tags = text.topic_tags(F.lower("text"), {"county": "the", "city": "and", "park": "for", "school": "is"})
-    return table(s, d, "documents").select("doc_id", F.array_join(tags, ",").alias("categories"))
+    tags = scores.article_categories(*[F.col(c) for c in ("title", "summary", "county", "city", "state")])
+    return described_articles(s, d).select("doc_id", F.array_join(tags, ",").alias("categories"))
 
 
 def t10_excluded(s, d):
@@ -108,10 +107,13 @@ def t15_related(s, d):
     return best.join(table(s, d, "documents").select("doc_id", "source"), "doc_id").join(stats, "source").select("query_id", "doc_id", "source", "articles", "avg_chars")
 
 
+WISHES = ("modern home near the mountain", "open plan", "a home to be in", "cheap flat")
+
+
 def t16_insights(s, d):
-    docs = table(s, d, "documents").select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("t"))
-    groups = {"daily": ["the", "and"], "formal": ["der", "die", "das"], "other": ["que", "les"]}
-    return docs.select("doc_id", F.array_join(F.array_compact(F.array(*[F.when(F.arrays_overlap("t", F.array(*map(F.lit, w))), F.lit(n)) for n, w in groups.items()])), ",").alias("insights"))
+    """For each of some wishes what every article's summary has of it."""
+    asked = described_articles(s, d).select("doc_id", "summary", F.posexplode(F.array(*[F.lit(w) for w in WISHES])).alias("wish", "query"))
+    return asked.select("doc_id", "wish", F.array_join(scores.match_insights(F.col("query"), F.col("summary")), ",").alias("insights")).where("insights <> ''")
 
 
 def v2_like_this(s, d):
@@ -254,6 +256,11 @@ def i3b_dimension(s, d):
 ONES = "list_transform(range(64), lambda i: 1.0::DOUBLE)"
 DOCS = lambda where: BM25.replace("FROM documents)", f"FROM documents WHERE {where})")
 TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)"
+_ONE_OF = lambda words, column: "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+TAGGED = lambda rules, column: ", ".join(f"CASE WHEN {_ONE_OF(words, column)} THEN '{tag}' END" for tag, words in rules)
+_PHRASE = lambda at: f"(CASE {at} " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PHRASES)) + " END)"
+DESCRIBED = f"(SELECT *, string_split(text, chr(10))[1] AS title, {_PHRASE('doc_id % 8')} || '. ' || {_PHRASE('(doc_id // 8) % 8')} AS summary FROM documents)"
+WISHED = ", ".join(f"CASE WHEN contains(query, '{w}') AND {_ONE_OF(words, 'lower(summary)')} THEN '{says}' END" for w, words, says in scores.INSIGHTS)
 QUERIES = {
     "p1_flatten": (p1_flatten, f"SELECT listing_id, price, city, state FROM {LISTED}"),
     "p5_request": (lambda s, d: listings(s, d).where(filters.bool_query(filter=[{"terms": {"kind": ["1-URGENT", "2-HIGH"]}}, {"range": {"price": {"gte": 100_000, "lt": 300_000}}}, {"terms": {"status": ["O", "F"]}}])).select("listing_id"), f"SELECT listing_id FROM {LISTED} WHERE kind IN ('1-URGENT', '2-HIGH') AND price >= 100000 AND price < 300000 AND status IN ('O', 'F')"),
@@ -261,15 +268,15 @@ QUERIES = {
     "f5_hierarchy": (f5_hierarchy, "SELECT n_nationkey, r_name || ' > ' || n_name AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'city' ELSE 'county' END AS location_type, 'state:' || regexp_replace(lower(r_name), '[^a-z0-9]+', '_', 'g') AS parent_id FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "f16_summaries": (f16_summaries, r"SELECT doc_id, round(w / greatest(n, 1), 4) AS avg_sentence, CASE WHEN w > 300 AND d THEN 'high' WHEN w > 100 THEN 'medium' ELSE 'low' END AS level FROM (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS w, len(regexp_extract_all(text, '[.!?]')) AS n, contains(lower(text), 'the') AS d FROM documents)"),
     "e2_places": (e2_places, f"WITH g AS (SELECT place_id, city, count(*) AS n, avg(price) AS p FROM {LISTED} GROUP BY 1, 2), u AS (SELECT *, CASE WHEN n >= 15 THEN 'urban' WHEN n >= 8 THEN 'suburban' ELSE 'rural' END AS u, avg(p) OVER (PARTITION BY city) AS c FROM g) SELECT place_id, u AS lifestyle, round(least(30 * least(n / 20, 1.0) + 50 * least(p / c, 1.0) + 20 * 0.5::DOUBLE, 100.0), 6) AS investment, u || '|' || {PB.replace('price', 'p')} AS facets FROM u"),
-    "e7_authority": (e7_authority, "SELECT doc_id, round(40 * least(n_chars / 5000, 1.0::DOUBLE) + 30 * coalesce(quality, 0) + 30 * CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS authority, concat_ws(',', CASE WHEN contains(text, 'the') THEN 'first' END, CASE WHEN contains(text, 'und') THEN 'second' END, CASE WHEN contains(text, 'que') THEN 'third' END) AS topics FROM documents LEFT JOIN labels USING (doc_id)"),
+    "e7_authority": (e7_authority, f"SELECT doc_id, round(40 * least(n_chars / 5000, 1.0::DOUBLE) + 30 * coalesce(quality, 0) + 30 * CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS authority, concat_ws(',', {TAGGED(scores.KEY_TOPICS, 'summary')}) AS topics FROM {DESCRIBED} LEFT JOIN labels USING (doc_id)"),
     "e11_rules": (e11_rules, r"SELECT doc_id, round(CASE WHEN v THEN 0.0::DOUBLE ELSE t END, 6) AS score, NOT v AND t >= 0.5 AS relevant FROM (SELECT doc_id, length(text) < 20 AS v, 0.4::DOUBLE * (source IN ('src0', 'src1', 'src2'))::INT + 0.4::DOUBLE * least(20 * (contains(l, 'the')::INT + contains(l, 'and')::INT + contains(l, 'der')::INT + contains(l, 'und')::INT) / sqrt(w) / 4, 1.0::DOUBLE) + 0.2::DOUBLE * (lang = 'en')::INT AS t FROM (SELECT *, lower(text) AS l, greatest(len(regexp_extract_all(text, '\S+')), 1) AS w FROM documents))"),
     "e13b_classified": (e13b_classified, "SELECT doc_id, round(CASE WHEN toxic = 1 THEN 0.2::DOUBLE ELSE 0.4::DOUBLE * CASE WHEN n_chars < 500 THEN 0.8::DOUBLE WHEN n_chars < 2000 THEN 0.6::DOUBLE WHEN n_chars < 8000 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END + 0.4::DOUBLE * quality + 0.2::DOUBLE END, 6) AS score FROM documents JOIN labels USING (doc_id)"),
     "e14_derived": (e14_derived, f"SELECT listing_id, coalesce(n, 0) AS feature_count, price > 1.5 * avg(price) OVER (PARTITION BY city) AS premium, price / greatest(coalesce(n, 0), 1) AS per_feature FROM {LISTED} LEFT JOIN (SELECT listing_id, count(*) AS n FROM {FEATS} GROUP BY 1) USING (listing_id)"),
-    "e16_categories": (e16_categories, "SELECT doc_id, concat_ws(',', CASE WHEN contains(l, 'the') THEN 'county' END, CASE WHEN contains(l, 'and') THEN 'city' END, CASE WHEN contains(l, 'for') THEN 'park' END, CASE WHEN contains(l, 'is') THEN 'school' END) AS categories FROM (SELECT doc_id, lower(text) AS l FROM documents)"),
+    "e16_categories": (e16_categories, f"SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(title), 'county') OR doc_id % 3 = 0 THEN 'county' END, CASE WHEN contains(lower(title), 'city') OR (doc_id // 3) % 2 = 0 THEN 'city' END, {TAGGED(scores.CATEGORY_RULES, 'lower(summary)')}, CASE doc_id % 4 WHEN 0 THEN 'utah' WHEN 1 THEN 'california' END) AS categories FROM {DESCRIBED}"),
     "t10_excluded": (t10_excluded, f"WITH {DOCS(chr(115) + 'ource NOT IN (' + chr(39) + 'src0' + chr(39) + ', ' + chr(39) + 'src1' + chr(39) + ')')} SELECT query_id, doc_id, score FROM (SELECT query_id, doc_id, round(score, 6) AS score, {TOP} AS rank FROM bm) WHERE rank <= 2"),
     "t11_routes": (t11_routes, f"WITH q AS (SELECT query_id, unnest(list_distinct({TOK})) AS term FROM {ASKED}), t AS (SELECT 'chunks' AS route, conv_id * 1000 + turn AS doc_id, unnest(list_distinct({TOK})) AS term FROM conversations UNION ALL SELECT 'full', doc_id, unnest(list_distinct({TOK})) FROM documents UNION ALL SELECT 'summaries', doc_id, unnest(list_distinct({TOK})) FROM (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)), m AS (SELECT route, query_id, doc_id, count(*) AS matched FROM q JOIN t USING (term) GROUP BY 1, 2, 3) SELECT route, query_id, count(*) AS hits, max(matched) AS most FROM m GROUP BY 1, 2"),
     "t15_related": (t15_related, f"WITH {BM25} SELECT query_id, doc_id, source, articles, avg_chars FROM (SELECT query_id, doc_id, {TOP} AS rank FROM bm) JOIN documents USING (doc_id) JOIN (SELECT source, count(*) AS articles, round(avg(n_chars), 4) AS avg_chars FROM documents GROUP BY 1) USING (source) WHERE rank = 1"),
-    "t16_insights": (t16_insights, f"SELECT doc_id, concat_ws(',', CASE WHEN list_has_any(t, ['the', 'and']) THEN 'daily' END, CASE WHEN list_has_any(t, ['der', 'die', 'das']) THEN 'formal' END, CASE WHEN list_has_any(t, ['que', 'les']) THEN 'other' END) AS insights FROM (SELECT doc_id, {TOK} AS t FROM documents)"),
+    "t16_insights": (t16_insights, f"SELECT doc_id, wish, insights FROM (SELECT doc_id, CAST(wish AS INT) AS wish, concat_ws(',', {WISHED}) AS insights FROM {DESCRIBED}, (SELECT unnest(range({len(WISHES)})) AS wish, unnest({list(WISHES)}) AS query)) WHERE insights <> ''"),
     "v2_like_this": (v2_like_this, f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ({KNN}) WHERE rank <= 10"),
     "v3_lsh": (v3_lsh, None),
     "v9_linear": (v9_linear, f"WITH {BM25}, k AS ({ASKED_KNN}), b AS (SELECT query_id, doc_id, round(coalesce(v, 0) + coalesce(t, 0), 6) AS score FROM (SELECT query_id, id AS doc_id, score + 1 AS v FROM k WHERE rank <= 20) FULL JOIN (SELECT query_id, doc_id, 0.5::DOUBLE * score AS t FROM bm) USING (query_id, doc_id)) SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 10"),
