@@ -36,7 +36,10 @@ def _count(df: DataFrame, column: str, by: list[str], sought: list[Sought]) -> N
     v = F.col(column).cast("double")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
     met = df.alias("a").join(asked.alias("b"), [*same, (v >= F.col("_low")) & (v <= F.col("_high"))] if by else (v >= F.col("_low")) & (v <= F.col("_high")))
-    part = F.least(F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES), F.lit(RANGES - 1))
+    # The ends are ranges of their own, so that every round narrows, also where an end is infinite.
+    endless = (F.col("_low") == float("-inf")) | (F.col("_high") == float("inf"))
+    inner = F.when(endless, 0).otherwise(F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES))
+    part = F.when(v == F.col("_low"), -1).when(v == F.col("_high"), RANGES).otherwise(inner)
     found = met.groupBy("_i", part.alias("part")).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).collect()  # RANGES rows for each rank
     for i, s in enumerate(sought):
         below = s.below
@@ -61,6 +64,10 @@ def _sort(df: DataFrame, column: str, by: list[str], sought: list[Sought]) -> No
         s.value = sorted(values[i])[s.rank - s.below]
 
 
+def _between(a: float, b: float, part: float) -> float:
+    return a if a == b or not part else a + (b - a) * part
+
+
 def percentiles(df: DataFrame, column: str, percents: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """``*by, percent, value``: exact percentiles with linear interpolation, as ``percentile`` gives them.
 
@@ -88,6 +95,6 @@ def percentiles(df: DataFrame, column: str, percents: Sequence[float], by: Seque
     if few:
         _sort(kept, column, by, few)
     found = {k: s.low if s.value is None else s.value for k, s in sought.items()}
-    rows = [(*group, float(p), found[group, a] + (found[group, b] - found[group, a]) * part) for group, p, (a, b), part in wanted]
+    rows = [(*group, float(p), _between(found[group, a], found[group, b], part)) for group, p, (a, b), part in wanted]
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
     return df.sparkSession.createDataFrame(rows, f"{fields}percent double, value double")

@@ -29,6 +29,16 @@ def test_percentiles_of_groups_with_frequent_values(spark, few):
     assert len(got) == 20
 
 
+def test_percentiles_beside_infinite_values(spark, few):
+    values = [float("-inf")] * 30 + [float(i) for i in range(200)] + [float("inf")] * 40
+    got = {r.percent: r.value for r in selection.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0, 20, 50, 70, 100]).collect()}
+    ranked = sorted(values)
+    for p, v in got.items():
+        at = p / 100 * 269
+        a, b = ranked[int(at)], ranked[min(int(at) + 1, 269)]
+        assert v == pytest.approx(a if a == b else a + (b - a) * (at - int(at)))
+
+
 def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert selection.percentiles(df, "v", [50]).count() == 0
