@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geo, text, vectors
 from cairn.operators import checks, chunks, evaluate, facets, filters, graph, html, scores, search, vector
+from cairn.plans import queries_graph
 from cairn.sources import sinks
 from cairn.sources import merge
 from cairn.streaming import events
@@ -179,6 +180,22 @@ def test_shared_pairs_are_those_of_all_pairs(spark):
         assert {tuple(r) for r in graph.shared_pairs(df, "i", "f", least).collect()} == want
 
 
+def test_links_within_groups_are_all_pairs(spark):
+    rows = [(i, "large" if i < 23 else "two" if i < 25 else "one" if i < 26 else None) for i in range(28)] + [(None, "two"), (3, "two")]
+    want = sorted((a, b) for a, g in rows for b, h in rows if None not in (a, b, g, h) and g == h and a != b)
+    df = spark.createDataFrame(rows, "i long, g string")
+    for part in (3, 2000):
+        assert sorted(tuple(r) for r in graph.links_within(df, "i", "g", part).collect()) == want
+
+
+def test_near_has_a_row_for_every_link(spark, small):
+    city = {r.o_custkey: r.c_nationkey for r in spark.read.parquet(f"{small}/orders.parquet").join(spark.read.parquet(f"{small}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey")).collect()}
+    want = sorted((a, b) for a in city for b in city if a != b and city[a] == city[b])
+    got = queries_graph.g13_near(spark, small)
+    assert got.columns == ["a", "b"]
+    assert want and sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_labels_of_a_long_path_reach_their_end(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(150)], "a int, b int")
     assert {r.label for r in graph.component_labels(e).collect()} == {0}
