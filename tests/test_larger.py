@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cairn.operators import overlap
 from cairn.plans import queries_relational
 
 
@@ -19,3 +20,25 @@ def test_a_city_is_not_above_itself(spark, small, monkeypatch):
         spark.conf.unset("spark.sql.exchange.reuse")
     assert rows and all(r.a != r.b for r in rows)
     assert len({frozenset((r.a, r.b)) for r in rows}) == len(rows)
+
+
+def brute(held, least):
+    items = sorted(held)
+    return {(a, b, len(held[a] & held[b])) for i, a in enumerate(items) for b in items[i + 1 :] if len(held[a] & held[b]) >= least}
+
+
+def test_sets_as_bits_give_the_pairs_and_lists_of_sets_too(spark, monkeypatch):
+    rnd = random.Random(8)
+    held = {i: frozenset(rnd.sample(range(overlap.BITS), rnd.randint(1, 9))) for i in range(150)} | {500: frozenset(range(12)), 501: frozenset(range(50, overlap.BITS))}
+    facts = spark.createDataFrame([(i, f) for i, fs in held.items() for f in fs] * 2 + [(None, 3), (7, None)], "i long, f int")
+    bits = overlap.feature_bits(facts, "f")
+    sets = overlap.bit_sets(facts, "i", "f", bits)
+    monkeypatch.setattr(overlap, "PAIRS_PER_TASK", 100)
+    least = {fs: min(i for i, x in held.items() if x == fs) for fs in held.values()}
+    want = {x for x in brute({v: k for k, v in least.items()}, 2)}
+    for form in (sets, overlap.feature_sets(facts, "i", "f")):
+        pairs = overlap.class_pairs(overlap.classes(form), 2)
+        assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+        assert {(r.item, r.n) for r in form.select("item", overlap.count_of(form).alias("n")).collect()} == {(i, len(fs)) for i, fs in held.items()}
+    assert pairs.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism  # by the pairs, not by the few rows that make them
+    assert overlap.feature_bits(spark.range(overlap.BITS + 1), "id") is None
