@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cairn.operators import overlap
+from cairn.operators import overlap, positions
 from cairn.plans import queries_relational
 
 
@@ -42,3 +44,23 @@ def test_sets_as_bits_give_the_pairs_and_lists_of_sets_too(spark, monkeypatch):
         assert {(r.item, r.n) for r in form.select("item", overlap.count_of(form).alias("n")).collect()} == {(i, len(fs)) for i, fs in held.items()}
     assert pairs.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism  # by the pairs, not by the few rows that make them
     assert overlap.feature_bits(spark.range(overlap.BITS + 1), "id") is None
+
+
+def test_phrases_meet_by_their_rarest_term_without_a_shuffle_of_the_texts(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = [(i if i else None, " ".join(rnd.choice(["the", "of", "the", f"w{i % 40}"]) for _ in range(rnd.randint(0, 60)))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = [(1, "the of the"), (2, "the the the the"), (3, "of w7 the"), (4, "w7 of"), (5, "the gone"), (6, "of"), (7, "w0 the")]
+    positions.write_index(docs, f"{tmp_path}/p")
+    got = positions.phrase_matches(spark, f"{tmp_path}/p", spark.createDataFrame(asked, "query_id long, text string"))
+    times = lambda t, q: sum(t[i : i + len(q)] == q for i in range(len(t) - len(q) + 1))
+    want = {(k, i, times(t.split(), q.split())) for k, q in asked for i, t in texts if times(t.split(), q.split())}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and any(i is None for _, i, _ in rows)
+    plan = positions.postings(spark.read.parquet(f"{tmp_path}/p").select("doc_id", F.col("term").alias("text")), "doc_id", "text")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_rows_of_one_batch():
+    batch = positions.grouped(pa.array([7, 8, 9]), pa.array(["b", "a", "b", "a", "b", "b"]), np.array([3, 1, 2]))
+    assert [tuple(r.values()) for r in batch.to_pylist()] == [(7, "b", [0, 2]), (9, "b", [0, 1]), (7, "a", [1]), (8, "a", [0])]
