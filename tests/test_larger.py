@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cairn.operators import overlap, positions
+from cairn.operators import overlap, positions, vector
 from cairn.plans import queries_relational
 
 
@@ -64,3 +64,33 @@ def test_phrases_meet_by_their_rarest_term_without_a_shuffle_of_the_texts(spark,
 def test_postings_of_rows_of_one_batch():
     batch = positions.grouped(pa.array([7, 8, 9]), pa.array(["b", "a", "b", "a", "b", "b"]), np.array([3, 1, 2]))
     assert [tuple(r.values()) for r in batch.to_pylist()] == [(7, "b", [0, 2]), (9, "b", [0, 1]), (7, "a", [1]), (8, "a", [0])]
+
+
+def test_best_rows_equal_a_full_sort():
+    rng = np.random.default_rng(2)
+    c, q = np.round(rng.normal(size=(3000, 3)), 1), np.round(rng.normal(size=(40, 3)), 1)
+    c[100:2000], c[5], q[3] = c[100], 0, 0  # a very common row, and zeros
+    ci, qi = np.arange(3000) * 2, np.arange(40) * 2
+    cs, qs = rng.integers(0, 50, (3000, 2)), rng.integers(0, 50, (40, 2))
+    for same, marks in ((False, False), (True, False), (True, True)):
+        row, at, score = vector.best_rows(q, qi, c, ci, 6, same, *((qs, cs) if marks else ()))
+        for i in range(40):
+            made = q[i] @ c.T
+            may = [j for j in range(3000) if not (same and ci[j] == qi[i]) and (not marks or (qs[i] == cs[j]).any())]
+            want = sorted(may, key=lambda j: (-round(made[j], 9), j))[:6]
+            assert list(at[row == i]) == want and np.allclose(score[row == i], made[want])
+
+
+def test_buckets_and_vectors_are_sent_once_for_each_part(spark, monkeypatch):
+    """Before, each pair of blocks had its vectors, each candidate its two, and each block of a cell every query."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 4)))] + [(900, [0.0] * 4), (950, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(vector, "HELD", 400 * 4 * 8 // 6)
+    got = {(r.query_id, r.id): r.score for r in vector.nearest_join(df.where("vec_id % 50 = 0"), df, 3, same=True, distance=True).collect()}
+    unit = {i: np.array(v, np.float32).astype(float) / (np.linalg.norm(np.array(v, np.float32).astype(float)) or 1) for i, v in rows if v}
+    for a in (i for i in unit if i % 50 == 0):
+        best = sorted(((1 - ((unit[a] - unit[b]) ** 2).sum() / 2, -b) for b in unit if b != a), key=lambda x: (round(x[0], 9), x[1]), reverse=True)[:3]
+        assert {b for x, b in got if x == a} == {-b for _, b in best} and all(abs(got[a, -b] - x) < 1e-9 for x, b in best)
+    parts = vector.nearest_join(df.where("vec_id % 50 = 0"), df, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in parts and vector.parts_for(402, 4, 1) >= 6
