@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairn.operators import overlap, positions, vector
-from cairn.plans import queries_relational
+from cairn.plans import queries_named, queries_relational
 
 
 def test_a_city_is_not_above_itself(spark, small, monkeypatch):
@@ -94,3 +94,8 @@ def test_buckets_and_vectors_are_sent_once_for_each_part(spark, monkeypatch):
         assert {b for x, b in got if x == a} == {-b for _, b in best} and all(abs(got[a, -b] - x) < 1e-9 for x, b in best)
     parts = vector.nearest_join(df.where("vec_id % 50 = 0"), df, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in parts and vector.parts_for(402, 4, 1) >= 6
+
+
+def test_near_points_do_not_go_through_the_driver(spark, small):
+    plan = queries_named.g14_near_by(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
